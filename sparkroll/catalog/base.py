@@ -31,5 +31,10 @@ def r4(col):
     return F.round(col, 4)
 
 
+def r9(col):
+    """For averages of averages: fractions like 21/32 sit on the border of 4 decimals."""
+    return F.round(col, 9)
+
+
 def big(col):
     return (F.col(col) if isinstance(col, str) else col).cast("bigint")

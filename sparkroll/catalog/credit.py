@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkroll import fixtures as fx
 from sparkroll.catalog.base import big, query, r4
-from sparkroll.functions.text import TOKEN, tokens
+from sparkroll.functions.text import TOKEN, token_spans
 from sparkroll.operators import credit
 from sparkroll.skew import running
 
@@ -64,11 +64,10 @@ def _(spark, sf):
 
 def step_tokens(spark, sf):
     """Tokens of the steps with their start in the response and their rank in the trajectory."""
-    steps = fx.f3(spark, sf).withColumn("toks", tokens(F.col("step_text"))).withColumn("n", F.size("toks").cast("bigint"))
+    steps = fx.f3(spark, sf).withColumn("toks", token_spans(F.col("step_text"))).withColumn("n", F.size("toks").cast("bigint"))
     steps = running(steps, ["traj_id"], "step_idx", {"upto": ("sum", "n")})
-    exploded = steps.select("traj_id", "step_idx", "char_start", (F.col("upto") - F.col("n")).alias("before"), "toks", F.posexplode("toks").alias("p", "tok"))
-    offset = F.aggregate(F.slice("toks", F.lit(1), F.col("p")), F.lit(0).cast("bigint"), lambda acc, t: acc + F.length(t))
-    return exploded.select("traj_id", "step_idx", (F.col("char_start") + offset).alias("tok_start"), (F.col("before") + F.col("p")).alias("tok_pos"))
+    exploded = steps.select("traj_id", "step_idx", "char_start", (F.col("upto") - F.col("n")).alias("before"), F.posexplode("toks").alias("p", "tok"))
+    return exploded.select("traj_id", "step_idx", (F.col("char_start") + F.col("tok.start")).alias("tok_start"), (F.col("before") + F.col("p")).alias("tok_pos"))
 
 
 TOKS = f"""with u as (select traj_id, step_idx, char_start, regexp_extract_all(step_text, '{TOKEN}') as toks from f3),

@@ -45,7 +45,10 @@ def _(spark, sf):
     return rounded(lp.critic_value_stats(fx.f7(spark, sf)), "n")
 
 
-ACCEPT, PAIR = F.col("episode_id") % 2 == 0, F.floor(F.col("episode_id") / 2)
+def pair_table(spark, sf):
+    return lp.pair_sums(fx.f7(spark, sf), F.col("episode_id") % 2 == 0, F.floor(F.col("episode_id") / 2))
+
+
 PAIRS = """with s as (select episode_id // 2 as pair_id, episode_id % 2 = 0 as acc, count(*) filter (where is_action) as n, coalesce(sum(new_lp) filter (where is_action), 0) as lp,
   coalesce(sum(ref_lp) filter (where is_action), 0) as ref, coalesce(sum(new_lp - ref_lp) filter (where is_action), 0) as kl, arg_max(value, t) as v from f7 group by episode_id),
 p as (select a.n as an, a.lp as alp, a.ref as aref, a.kl as akl, a.v as av, r.n as rn, r.lp as rlp, r.ref as rref, r.kl as rkl, r.v as rv
@@ -56,20 +59,20 @@ p as (select a.n as an, a.lp as alp, a.ref as aref, a.kl as akl, a.v as av, r.n
 @query("pair_episode_metrics", "f7", PAIRS + """select count(*) as pairs, round(avg(an::double), 4) as accept_len, round(avg(alp), 4) as accept_lp, round(avg(aref), 4) as accept_ref, round(avg(akl), 4) as accept_kl,
   round(avg(rn::double), 4) as reject_len, round(avg(rlp), 4) as reject_lp, round(avg(rref), 4) as reject_ref, round(avg(rkl), 4) as reject_kl, round(avg((akl + rkl) / 2), 4) as kl_mean from p""")
 def _(spark, sf):
-    return rounded(lp.pair_episode_metrics(lp.pair_sums(fx.f7(spark, sf), ACCEPT, PAIR)), "pairs")
+    return rounded(lp.pair_episode_metrics(pair_table(spark, sf)), "pairs")
 
 
 @query("dpo_positive_diagnostics", "f7", PAIRS + """, l as (select *, (alp - rlp) - (aref - rref) - 0.5::double * greatest(0, aref - alp) as z from p)
 select round(avg((greatest(-0.3::double * z, 0) + ln(1 + exp(-abs(0.3::double * z)))) * 0.9::double + (greatest(0.3::double * z, 0) + ln(1 + exp(-abs(0.3::double * z)))) * 0.1::double), 4) as loss,
   round(avg((alp > rlp)::int::double), 4) as actor_ahr, round(avg((aref > rref)::int::double), 4) as ref_ahr, round(avg(alp - aref), 4) as accept_rewards, round(avg(rlp - rref), 4) as reject_rewards from l""")
 def _(spark, sf):
-    pairs = lp.pair_sums(fx.f7(spark, sf), ACCEPT, PAIR)
+    pairs = pair_table(spark, sf)
     return rounded(lp.dpo_positive_diagnostics(pairs, beta=0.3, lam=0.5, smoothing=0.1))
 
 
 @query("pairwise_reward_loss", "f7", PAIRS + "select round(avg(-ln(1 / (1 + exp(-(av - rv))) + 0.00001::double)), 4) as loss, round(avg((av > rv)::int::double), 4) as accuracy from p")
 def _(spark, sf):
-    return rounded(lp.pairwise_reward_loss(lp.pair_sums(fx.f7(spark, sf), ACCEPT, PAIR)))
+    return rounded(lp.pairwise_reward_loss(pair_table(spark, sf)))
 
 
 @query("binary_logit_loss", "f9", """with x as (select length(solution) % 11 / 2.0::double - 2 as z, target_prob as p from f9 where target_prob is not null)

@@ -249,5 +249,7 @@ def oracle(names: tuple[str, ...], sql: str) -> str:
     if not ctes:
         return body
     if body.lower().startswith("with "):
-        return f"with {ctes},\n{body[5:]}"
+        rest = body[5:]
+        recursive = "recursive " if rest.lower().startswith("recursive ") else ""
+        return f"with {recursive}{ctes},\n{rest[len(recursive):]}"
     return f"with {ctes}\n{body}"

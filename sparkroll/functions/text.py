@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping
 from string import Formatter
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +20,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def token_spans(text: Column) -> Column:
+    """ARRAY<STRUCT<tok, start, end>> in one linear pass per text, as an Arrow UDF."""
+    return _spans_udf()(text)
+
+
+def _spans_udf():
+    pattern = TOKEN
+
+    @F.pandas_udf("array<struct<tok:string,start:int,end:int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        find = re.compile(pattern).finditer
+        return texts.map(lambda t: None if t is None else [{"tok": m.group(), "start": m.start(), "end": m.end()} for m in find(t)])
+
+    return spans
+
+
 def token_ids(toks: Column) -> Column:
     """A stable integer per token text (28 bits of its digest), above the special ids."""
     return F.transform(toks, lambda t: (F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int") + FIRST_ID))

@@ -6,13 +6,15 @@ A pair's clipped matches of a gram are min(c_i, c_j), and
 
 where N_v counts the members that hold the gram at least v times. Numbering the
 occurrences of a gram inside a member therefore turns the quadratic self-join
-into two aggregations whose input is one row per token and gram length.
+into one aggregation whose input is one row per token and gram length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,27 +22,46 @@ MAX_N = 4
 WORDS = r"[^ \t\n\r\f]+"
 
 
+def _numbered_grams():
+    """All grams of a text as "length:occurrence:words", in one pass per text."""
+
+    @F.pandas_udf("array<string>")
+    def grams(texts: pd.Series) -> pd.Series:
+        find = re.compile(WORDS).findall
+
+        def one(text):
+            words, out = find(text or ""), []
+            for n in range(1, MAX_N + 1):
+                seen = {}
+                for at in range(len(words) - n + 1):
+                    gram = " ".join(words[at : at + n])
+                    seen[gram] = seen.get(gram, 0) + 1
+                    out.append(f"{n}:{seen[gram]}:{gram}")
+            return out
+
+        return texts.map(one)
+
+    return grams
+
+
 def group_bleu(members: DataFrame, group: Sequence[str], idx: str, text: str) -> DataFrame:
     """BLEU of every group of at least two members; member i predicts, each later j is a reference.
 
     `idx` is the dense 0-based position of the member in its group.
     """
     group = list(group)
-    words = members.select(*group, idx, F.regexp_extract_all(text, F.lit(WORDS), 0).alias("w"))
+    words = members.select(*group, idx, F.size(F.regexp_extract_all(text, F.lit(WORDS), 0)).alias("w"))
     sizes = words.groupBy(*group).agg(F.count(F.lit(1)).alias("m"))
-    # one row per gram with its number of occurrences in the member: combined before the shuffle
-    gram = F.expr(f"inline(flatten(transform(sequence(1, {MAX_N}), n -> transform(filter(sequence(0, size(w) - n), p -> p >= 0 and p <= size(w) - n), p -> named_struct('n', n, 'g', array_join(slice(w, p + 1, n), ' '))))))")
-    occurrences = words.where(F.size("w") > 0).select(*group, idx, gram).groupBy(*group, idx, "n", "g").agg(F.count(F.lit(1)).alias("c"))
-    layers = occurrences.select(*group, "n", "g", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("v"))
-    holders = layers.groupBy(*group, "n", "g", "v").agg(F.count(F.lit(1)).alias("h")).where("h > 1")
+    layers = members.select(*group, F.explode(_numbered_grams()(F.col(text))).alias("g"))
+    holders = layers.groupBy(*group, "g").agg(F.count(F.lit(1)).alias("h")).where("h > 1").withColumn("n", F.substring("g", 1, 1).cast("int"))
     matched = holders.groupBy(*group).agg(
         *[F.sum(F.when(F.col("n") == n, F.col("h") * (F.col("h") - 1) / 2).otherwise(0.0)).alias(f"match_{n}") for n in range(1, MAX_N + 1)]
     )
     later = F.col("m") - 1 - F.col(idx)
     lengths = words.join(sizes.where("m > 1"), group).groupBy(*group).agg(
-        F.sum(F.size("w") * later).alias("pred_len"),
-        F.sum(F.size("w") * F.col(idx)).alias("ref_len"),
-        *[F.sum(F.greatest(F.size("w") - (n - 1), F.lit(0)) * later).alias(f"possible_{n}") for n in range(1, MAX_N + 1)],
+        F.sum(F.col("w") * later).alias("pred_len"),
+        F.sum(F.col("w") * F.col(idx)).alias("ref_len"),
+        *[F.sum(F.greatest(F.col("w") - (n - 1), F.lit(0)) * later).alias(f"possible_{n}") for n in range(1, MAX_N + 1)],
         F.max("m").alias("members"),
     )
     both = lengths.join(matched, group, "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkroll.functions.arrays import let
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
@@ -20,8 +22,8 @@ def covariance_trace(vectors: DataFrame, vector: str, max_norm: float | None = N
     broken = F.exists("v", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     clean = vectors.select(v.alias("v")).where(~broken)
     if max_norm is not None:
-        factor = F.least(F.lit(1.0), F.lit(float(max_norm)) / (F.col("n") + 1e-6))
-        clean = clean.withColumn("n", norm(F.col("v"))).select(F.transform("v", lambda x: x * factor).alias("v"))
+        factor = F.least(F.lit(1.0), F.lit(float(max_norm)) / (norm(F.col("v")) + 1e-6))
+        clean = clean.select(let(factor, lambda f: F.transform("v", lambda x: x * f)).alias("v"))
     dims = clean.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("p"), F.var_samp("x").alias("s"), F.count("x").alias("n"))
     return dims.agg(
         F.sum("p").alias("trace_pop"), F.sum("s").alias("trace_samp"), F.avg("p").alias("mean_pop"), F.avg("s").alias("mean_samp"), F.max("n").alias("vectors"))
@@ -49,7 +51,5 @@ def softmax(df: DataFrame, group: list[str], x: str, theta: float, name: str = "
 def softmax_row(v: Column, theta: float) -> Column:
     """Softmax along an array column: no shuffle."""
     scaled = F.transform(v, lambda x: x.cast("double") * theta)
-    top = F.array_max(scaled)
-    exps = F.transform(scaled, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda e: e / total)
+    exps = let(scaled, lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))
+    return let(exps, lambda e: let(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total)))
