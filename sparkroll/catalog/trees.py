@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkroll import fixtures as fx
 from sparkroll.catalog.base import big, query, r9
+from sparkroll.functions.arrays import let
 from sparkroll.functions.text import TOKEN, token_spans
 from sparkroll.operators import paths as pp
 from sparkroll.operators import trees
@@ -334,7 +335,8 @@ def multi_step_episodes(path_rows):
     # at most max_depth borders: the first step whose end lies behind the token's start
     ends = F.transform(F.sequence(F.lit(1), F.size("steps")), lambda i: F.aggregate(F.slice("steps", F.lit(1), i), F.lit(0), lambda acc, s: acc + F.length(s["text"])))
     rows = rows.withColumn("ends", ends)
-    token_advantages = F.transform("spans", lambda t: F.element_at(F.col("steps"), F.size(F.filter("ends", lambda e: e <= t["start"])) + 1)["advantage"])
+    bound = F.struct("steps", "ends")
+    token_advantages = let(bound, lambda b: F.transform("spans", lambda t: F.element_at(b["steps"], F.size(F.filter(b["ends"], lambda e: e <= t["start"])) + 1)["advantage"]))
     finished = F.element_at(chain, -1)["answer"].isNotNull()
     body = rows.withColumn("advantages", token_advantages)
     with_eos = F.when(finished, F.concat("advantages", F.array(F.element_at("advantages", -1)))).otherwise(F.col("advantages"))

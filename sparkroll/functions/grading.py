@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkroll.functions.arrays import let
 from sparkroll.functions.normalize import normalize_answer, normalize_answer_loose
 
 TOLERANCE = 1e-3
@@ -106,7 +107,6 @@ def grade_normalized(given: Column, truth: Column) -> Column:
     Unreduced fractions must match as text, an integer never equals a
     non-integer, and numeric equality stands in for symbolic algebra.
     """
-    loose_g, loose_t = normalize_answer_loose(given), normalize_answer_loose(truth)
     is_tuple = r"^[(\[][^()\[\]]+[)\]]$"
 
     def elements(x: Column) -> Column:
@@ -120,13 +120,13 @@ def grade_normalized(given: Column, truth: Column) -> Column:
         numeric = F.coalesce(F.abs(_value(g) - _value(t)) < 1e-9, F.lit(False))
         return F.when(g.rlike(fraction) & t.rlike(fraction), g == t).when(_is_int(g) != _is_int(t), False).otherwise(numeric)
 
-    eg, et = elements(loose_g), elements(loose_t)
-    brackets = (F.substring(loose_g, 1, 1) == F.substring(loose_t, 1, 1)) & (F.right(loose_g, F.lit(1)) == F.right(loose_t, F.lit(1)))
-    by_element = (
-        (F.length(loose_g) > 0)
-        & (F.size(eg) == F.size(et))
-        & ((F.size(et) == 1) | brackets)
-        & F.forall(F.zip_with(eg, et, same), lambda ok: ok)
-    )
-    equal = (normalize_answer(given) == normalize_answer(truth)) | (loose_g == loose_t)
-    return F.coalesce(equal | by_element, F.lit(False))
+    def compare(v: Column) -> Column:
+        brackets = (F.substring(v["g"], 1, 1) == F.substring(v["t"], 1, 1)) & (F.right(v["g"], F.lit(1)) == F.right(v["t"], F.lit(1)))
+        by_element = let(
+            F.struct(elements(v["g"]).alias("g"), elements(v["t"]).alias("t")),
+            lambda e: (F.size(e["g"]) == F.size(e["t"])) & ((F.size(e["t"]) == 1) | brackets) & F.forall(F.zip_with(e["g"], e["t"], same), lambda ok: ok),
+        )
+        return (v["g"] == v["t"]) | ((F.length(v["g"]) > 0) & by_element)
+
+    loose = let(F.struct(normalize_answer_loose(given).alias("g"), normalize_answer_loose(truth).alias("t")), compare)
+    return F.coalesce((normalize_answer(given) == normalize_answer(truth)) | loose, F.lit(False))

@@ -1,4 +1,8 @@
-"""Answer normalisers: ordered LaTeX and text clean-ups as one column expression each."""
+"""Answer normalisers: ordered LaTeX and text clean-ups as one column expression each.
+
+Steps are single-use replacements where possible: a step that names its input
+twice would double the expression.
+"""
 
 from __future__ import annotations
 
@@ -39,14 +43,12 @@ def _slash_to_frac(x: Column) -> Column:
 
 
 def _leading_zero(x: Column) -> Column:
-    x = _swap(x, (" .", " 0."), ("{.", "{0."))
-    return F.when(x.startswith("."), F.concat(F.lit("0"), x)).otherwise(x)
+    return F.regexp_replace(_swap(x, (" .", " 0."), ("{.", "{0.")), r"^\.", "0.")
 
 
 def _assigned_value(x: Column) -> Column:
     """`k=5` becomes `5` when exactly one `=` follows at most two characters."""
-    sides = F.split(x, "=")
-    return F.when((F.size(sides) == 2) & (F.length(sides[0]) <= 2), sides[1]).otherwise(x)
+    return F.regexp_replace(x, "^[^=]{0,2}=([^=]*)$", "$1")
 
 
 def normalize_answer(answer: Column) -> Column:
@@ -58,7 +60,7 @@ def normalize_answer(answer: Column) -> Column:
     x = _leading_zero(_drop(x, "\\%"))
     x = _brace_sqrt(_assigned_value(x))
     x = _brace_frac(_drop(x, " "))
-    x = F.when(x == "0.5", "\\frac{1}{2}").otherwise(x)
+    x = F.regexp_replace(x, r"^0\.5$", r"\\frac{1}{2}")
     return _slash_to_frac(x)
 
 
@@ -69,28 +71,26 @@ def normalize_answer_loose(answer: Column) -> Column:
     for unit in UNITS:
         x = F.regexp_replace(x, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
     x = F.regexp_replace(x, r"\^ *\\circ", "")
-    x = F.when(x.rlike(r"^\{[\s\S]*\}$"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    x = F.regexp_replace(x, r"^\{([\s\S]*)\}$", "$1")
     x = F.regexp_replace(x, r",\\! *", "")
-    x = _integral_text(x, x)
+    x = _integral(x)
     x = F.regexp_replace(x, "- *", "-")
     x = F.regexp_replace(x, "([0-9]) +([0-9])", "$1+$2")
     x = F.lower(_drop(x, " ", "{", "}"))
-    return _integral_text(x, _drop(x, ","))
+    whole = r"^-?[\d,]*\d(\.0*)?$"
+    return F.when(x.rlike(whole), _integral(_drop(x, ","))).otherwise(x)
 
 
-def _integral_text(x: Column, number_text: Column) -> Column:
-    """A number equal to an integer is written as that integer; anything else stays."""
-    number = F.when(number_text.rlike(r"^-?[0-9]*\.?[0-9]+$"), number_text.try_cast("double"))
-    whole = (F.abs(number - F.round(number)) <= 1e-7) & (F.abs(number) < 1e15)
-    return F.when(whole, F.round(number).cast("bigint").cast("string")).otherwise(x)
+def _integral(x: Column) -> Column:
+    """A number equal to an integer to 7 decimals is written as that integer; anything else stays."""
+    return F.regexp_replace(x, r"^(-?)0*(\d+?)(?:\.0*|\.0{7}\d*)?$", "$1$2")
 
 
 def strip_string(answer: Column) -> Column:
     x = F.regexp_replace(_drop(F.trim(answer), "\n"), r"\.+$", "")
     x = F.regexp_replace(_drop(x, "\\!"), r"^\\text\{([\s\S]*)\}$", "$1")
     x = _drop(_swap(x, ("tfrac", "frac"), ("dfrac", "frac"), ("cfrac", "frac")), "\\left", "\\right")
-    without_unit = F.trim(F.regexp_replace(x, r"\\text\{.*?\}$", ""))
-    x = F.when(without_unit != "", without_unit).otherwise(x)
+    x = F.trim(F.regexp_replace(x, r"(\S)\s*\\text\{.*?\}$", "$1"))
     x = F.trim(_drop(x, "^{\\circ}", "^\\circ"))
     x = F.trim(F.regexp_replace(x, r"\{(c|m)?m\}(\^(2|3))?", ""))
     x = F.trim(F.regexp_replace(x, r"p\.m\.$", ""))
@@ -103,8 +103,7 @@ def strip_string(answer: Column) -> Column:
     x = F.when(x.contains("j") & ~x.contains("i"), _swap(x, ("j", "i"))).otherwise(x)
     x = F.regexp_replace(x, r"(\d+)\.0+([^\d])", "$1$2")
     x = F.regexp_replace(x, r"(\d+)\.0+$", "$1")
-    x = F.when(x.startswith("."), F.concat(F.lit("0"), x)).otherwise(x)
-    x = _brace_sqrt(x)
+    x = _brace_sqrt(F.regexp_replace(x, r"^\.", "0."))
     x = F.regexp_replace(x, r"\\tan(-?[0-9.a-zA-Z]+)", r"\\tan{$1}")
     x = F.regexp_replace(x, r"\\tan\s+(\w+)$", r"\\tan{$1}")
     x = _slash_to_frac(_brace_frac(_drop(x, " ")))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkroll.functions.arrays import let
+
 MAX_WORDS = 5
 MAX_CHARS = 8
 WORD = r"[^ \t\n\r\f]+"
@@ -40,7 +42,7 @@ def attach_source_row(queries: DataFrame, query_id: str, query: str, problems: D
     words = F.regexp_extract_all("__problem", F.lit(WORD), F.lit(0))
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2))
     pool = pool.withColumns({"__inner": inner, "__n": F.least(F.size(F.coalesce(inner, F.array().cast("array<string>"))), F.lit(MAX_WORDS))})
-    worded = pool.where("__n > 0").select("__pid", "__n", F.explode(_word_grams(F.col("__inner"), F.col("__n"))).alias("__g"))
+    worded = pool.where("__n > 0").select("__pid", "__n", F.explode(let(F.col("__inner"), lambda w: _word_grams(w, F.col("__n")))).alias("__g"))
     frequency = worded.groupBy("__n", "__g").agg(F.count(F.lit(1)).alias("__f"))
     rarest = worded.join(frequency, ["__n", "__g"]).groupBy("__pid", "__n").agg(F.min_by("__g", F.struct("__f", "__g")).alias("__g"))
     anchors = rarest.select("__pid", F.xxhash64(F.lit("w"), "__n", "__g").alias("__anchor"))
@@ -53,12 +55,13 @@ def attach_source_row(queries: DataFrame, query_id: str, query: str, problems: D
         anchors = anchors.unionByName(short.select("__pid", F.xxhash64(F.lit("c"), "__c", head).alias("__anchor")))
 
     texts = queries.select(F.col(query).alias("__query")).distinct().withColumn("__qid", F.sha2("__query", 256))
-    query_words = F.regexp_extract_all("__query", F.lit(WORD), F.lit(0))
-    keys = [_hashes("w", n, _word_grams(query_words, n)) for n in word_sizes]
-    keys += [_hashes("c", n, _char_grams(F.col("__query"), n)) for n in char_sizes]
-    if not keys:
-        keys = [F.array().cast("array<bigint>")]
-    query_keys = texts.select("__qid", F.explode(F.array_distinct(F.concat(*keys))).alias("__anchor"))
+    def all_keys(words: Column) -> Column:
+        keys = [_hashes("w", n, _word_grams(words, n)) for n in word_sizes]
+        keys += [_hashes("c", n, _char_grams(F.col("__query"), n)) for n in char_sizes]
+        return F.array_distinct(F.concat(*keys)) if keys else F.array().cast("array<bigint>")
+
+    # the words are bound once: a lambda would split the text again for every gram
+    query_keys = texts.select("__qid", F.explode(let(F.regexp_extract_all("__query", F.lit(WORD), F.lit(0)), all_keys)).alias("__anchor"))
     candidates = query_keys.join(anchors, "__anchor").select("__qid", "__pid").distinct()
     checked = candidates.join(texts, "__qid").join(pool.select("__pid", "__problem"), "__pid").where(F.col("__query").contains(F.col("__problem")))
     firsts = checked.groupBy("__qid").agg(F.min("__pid").alias(problem_id))

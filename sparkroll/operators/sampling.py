@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkroll.functions.arrays import let
 from sparkroll.skew import rank_by_hash, rank_by_id, seeded, with_group_stats
 
 
@@ -153,15 +154,18 @@ def union_shards(shards: Sequence[DataFrame], shard_names: Sequence[int] | None
     return merged
 
 
-def systematic_picks(size: Column, wanted: int, seed: int, *key: str) -> Column:
+def systematic_picks(size: Column, wanted: int, seed: int | Column, *key: str) -> Column:
     """min(size, wanted) distinct positions of [0, size), each equally likely, as an array.
 
     Evenly spaced picks from a seeded start: no list of the whole range is built.
     """
     count = F.least(size, F.lit(wanted)).cast("bigint")
     start = F.pmod(F.conv(F.substring(seeded(seed, *key), 1, 12), 16, 10).cast("bigint"), size)
-    picks = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), count - 1),
-        lambda j: F.pmod(start + (j * size - F.pmod(j * size, count)) / count, size).cast("bigint"),
+    picks = let(
+        F.struct(start.alias("start"), count.alias("count"), size.alias("size")),
+        lambda v: F.transform(
+            F.sequence(F.lit(0).cast("bigint"), v["count"] - 1),
+            lambda j: F.pmod(v["start"] + (j * v["size"] - F.pmod(j * v["size"], v["count"])) / v["count"], v["size"]).cast("bigint"),
+        ),
     )
     return F.when(count > 0, picks).otherwise(F.array().cast("array<bigint>"))
