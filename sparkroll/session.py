@@ -1,7 +1,7 @@
 """Session settings the operators rely on, and the reliable checkpoint folder."""
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +41,25 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "sparkrol
     return spark
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder of spark.checkpoint.dir, so lost executors cost nothing."""
-    spark = df.sparkSession
+def _checkpoint_root(spark: SparkSession) -> str:
+    """The folder the cluster names; a temporary one only in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-            folder = tempfile.mkdtemp(prefix="sparkroll-checkpoint-", dir=os.environ.get("TMPDIR"))
+            folder = tempfile.mkdtemp(prefix="sparkroll-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder of spark.checkpoint.dir, so lost executors cost nothing."""
+    _checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, for tables that must outlive an executor."""
+    return f"{_checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
