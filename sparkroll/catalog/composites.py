@@ -101,10 +101,10 @@ def _(spark, sf):
 @query("ppo_batches", "f7", """with x as (select *, max(t) over (partition by episode_id) as last_t from f7),
 r as (select episode_id, t, value, -0.1::double * (actor_lp - ref_lp) + case when t = last_t then score else 0 end as reward from x where is_action),
 d as (select *, reward + lead(value, 1, 0) over (partition by episode_id order by t) - value as delta from r),
-g as (select episode_id, t, value, sum(pow(0.95::double, t) * delta) over (partition by episode_id order by t desc) / pow(0.95::double, t) as adv from d), s as (select avg(adv) as m, var_samp(adv) as v from g)
+g as (select episode_id, t, value, sum(pow(0.9613::double, t) * delta) over (partition by episode_id order by t desc) / pow(0.9613::double, t) as adv from d), s as (select avg(adv) as m, var_samp(adv) as v from g)
 select episode_id, t, round(adv + value, 7) as ret, round((adv - m) / sqrt(v + 1e-8), 6) as whitened from g, s""")
 def _(spark, sf):
-    df = composites.ppo_batches(fx.f7(spark, sf), 0.1, 1.0, 0.95)
+    df = composites.ppo_batches(fx.f7(spark, sf), 0.1, 1.0, 0.9613)
     return df.select("episode_id", "t", F.round("gae_return", 7).alias("ret"), F.round("whitened", 6).alias("whitened"))
 
 

@@ -68,7 +68,7 @@ def filled(ids, filler):
 @query("pad_pair_batches", "f7", PAIRED + f"""select pair_id, batch, max_len, {filled('aids', 0)} as accept_input_ids, {filled('al', -100)} as accept_labels, {filled('rids', 0)} as reject_input_ids, {filled('rl', -100)} as reject_labels,
  {filled('list_transform(aids, lambda x: 1)', 0)} as accept_attention_mask, {filled('list_transform(rids, lambda x: 1)', 0)} as reject_attention_mask from q""")
 def _(spark, sf):
-    df = ep.pad_pair_batches(ep.pair_arrays(fx.f7(spark, sf), token_id(), MAX_LEN), BATCH)
+    df = ep.pad_pair_batches(fx.f7(spark, sf), token_id(), BATCH, MAX_LEN)
     names = [f"{s}_{c}" for s in ("accept", "reject") for c in ("input_ids", "labels", "attention_mask")]
     return df.select("pair_id", "batch", big("max_len").alias("max_len"), *[text_of(c).alias(c) for c in names])
 
@@ -76,7 +76,7 @@ def _(spark, sf):
 @query("pad_stacked_pairs", "f7", PAIRED + f"""select pair_id, batch, side, side * n + pos % 16 as row, {filled('case when side = 0 then aids else rids end', 0)} as input_ids, max_len * -100 as label_sum
 from q, (select unnest([0, 1])::bigint as side)""")
 def _(spark, sf):
-    df = ep.pad_stacked_pairs(ep.pair_arrays(fx.f7(spark, sf), token_id(), MAX_LEN), BATCH)
+    df = ep.pad_stacked_pairs(fx.f7(spark, sf), token_id(), BATCH, MAX_LEN)
     total = F.aggregate("labels", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return df.select("pair_id", "batch", big("side").alias("side"), big("row").alias("row"), text_of("input_ids").alias("input_ids"), total.alias("label_sum"))
 

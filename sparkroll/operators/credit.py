@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkroll.skew import SLICE_ROWS, neighbour, running, same_keys, with_group_stats
+from sparkroll.skew import SLICE_ROWS, has_hot_group, neighbour, running, same_keys, with_group_stats
 
 CHAR_BUCKET = 256
 TRAJ = ["traj_id"]
@@ -26,6 +26,8 @@ def step_rewards(steps: DataFrame, score: Column, unfinished: Column, penalty: f
 
 def fill_missing_values_tail(steps: DataFrame, hot: bool | None = None) -> DataFrame:
     """Missing trailing values become the rewards still to come; a gap before a known value stays null."""
+    if hot is None:
+        hot = has_hot_group(steps, TRAJ)
     known = F.max(F.when(F.col("value_est").isNotNull(), F.col("step_idx")))
     marked = with_group_stats(steps, TRAJ, {"__known": known}, hot)
     summed = running(marked, TRAJ, "step_idx", {"__to_come": ("sum", "step_reward")}, reverse=True, hot=hot)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkroll.operators.sampling import seeded
@@ -47,11 +47,12 @@ def collect_short(tokens: DataFrame, max_seq_len: int, columns: Mapping[str, Col
     return rows.select(EPISODE, "len", "response_len", *[F.col(f"rows.{n}").alias(n) for n in columns])
 
 
-def in_batches(episodes: DataFrame, order: str, batch_size: int, length: Column) -> DataFrame:
-    """Consecutive batches in id order, each with the length of its longest member."""
-    placed = rank_by_id(episodes.select(order, length.alias("__len")), order, "pos").withColumn("batch", F.floor(F.col("pos") / batch_size))
-    longest = placed.groupBy("batch").agg(F.max("__len").cast("int").alias("max_len"))
-    return episodes.join(placed.join(longest, "batch").select(order, "batch", "pos", "max_len"), order)
+def in_batches(sizes: DataFrame, key: str, batch_size: int) -> DataFrame:
+    """Consecutive batches in key order, each with the length of its longest member, from (key, len) rows."""
+    placed = rank_by_id(sizes.select(key, F.col("len").cast("int").alias("__len")), key, "pos").withColumn("batch", F.floor(F.col("pos") / batch_size))
+    # a batch has at most batch_size rows
+    members = Window.partitionBy("batch")
+    return placed.select(key, "batch", "pos", F.max("__len").over(members).alias("max_len"), F.count(F.lit(1)).over(members).alias("members"))
 
 
 def pad(values: Column, to: Column, filler: Column) -> Column:
@@ -64,7 +65,8 @@ def pad_batches(tokens: DataFrame, token_id: Column, batch_size: int, max_seq_le
     arrays = collect_short(tokens, max_seq_len, {
         "ids": token_id, "labels": F.when(action, token_id).otherwise(IGNORED_LABEL), "adv": F.when(action, F.col("advantage")).otherwise(0.0),
         "lp": F.col("actor_lp"), "values": F.col("value")})
-    rows = in_batches(arrays, EPISODE, batch_size, F.col("len"))
+    short = lengths(tokens).where(F.col("len") <= max_seq_len)
+    rows = arrays.join(in_batches(short, EPISODE, batch_size), EPISODE)
     size = F.col("max_len")
     query_len = F.col("len") - F.col("response_len")
     # log-probs are those of the next token: the first kept one is at the last query position
@@ -89,9 +91,16 @@ def pair_arrays(tokens: DataFrame, token_id: Column, max_seq_len: int) -> DataFr
     return accept.join(reject, "pair_id")
 
 
-def pad_pair_batches(pairs: DataFrame, batch_size: int) -> DataFrame:
+def pair_sizes(tokens: DataFrame, max_seq_len: int) -> DataFrame:
+    """The longer side of every complete pair, from token counts."""
+    short = lengths(tokens).where(F.col("len") <= max_seq_len)
+    pairs = short.groupBy(F.floor(F.col(EPISODE) / 2).alias("pair_id")).agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("sides"))
+    return pairs.where("sides = 2")
+
+
+def pad_pair_batches(tokens: DataFrame, token_id: Column, batch_size: int, max_seq_len: int) -> DataFrame:
     """One maximal length over both sides of a batch."""
-    rows = in_batches(pairs, "pair_id", batch_size, F.greatest(F.size("accept_ids"), F.size("reject_ids")))
+    rows = pair_arrays(tokens, token_id, max_seq_len).join(in_batches(pair_sizes(tokens, max_seq_len), "pair_id", batch_size), "pair_id")
     sides = []
     for side in ("accept", "reject"):
         sides += [
@@ -102,15 +111,13 @@ def pad_pair_batches(pairs: DataFrame, batch_size: int) -> DataFrame:
     return rows.select("pair_id", "batch", "max_len", *sides)
 
 
-def pad_stacked_pairs(pairs: DataFrame, batch_size: int) -> DataFrame:
+def pad_stacked_pairs(tokens: DataFrame, token_id: Column, batch_size: int, max_seq_len: int) -> DataFrame:
     """Chosen rows, then rejected rows of a batch as one stack of twice the size; all labels ignored."""
-    rows = in_batches(pairs, "pair_id", batch_size, F.greatest(F.size("accept_ids"), F.size("reject_ids")))
-    full = F.least(F.lit(batch_size), F.count(F.lit(1)))
-    sizes = rows.groupBy("batch").agg(full.alias("n"))
+    rows = pair_arrays(tokens, token_id, max_seq_len).join(in_batches(pair_sizes(tokens, max_seq_len), "pair_id", batch_size), "pair_id")
     both = F.array(F.struct(F.lit(0).alias("side"), F.col("accept_ids").alias("ids")), F.struct(F.lit(1).alias("side"), F.col("reject_ids").alias("ids")))
-    stacked = rows.join(sizes, "batch").select("pair_id", "batch", "pos", "max_len", "n", F.inline(both))
+    stacked = rows.select("pair_id", "batch", "pos", "max_len", "members", F.inline(both))
     return stacked.select(
-        "pair_id", "batch", (F.col("side") * F.col("n") + F.col("pos") % batch_size).alias("row"), "side", "max_len",
+        "pair_id", "batch", (F.col("side") * F.col("members") + F.col("pos") % batch_size).alias("row"), "side", "max_len",
         pad(F.col("ids"), F.col("max_len"), F.lit(PAD_ID)).alias("input_ids"), F.array_repeat(F.lit(IGNORED_LABEL), F.col("max_len")).alias("labels"))
 
 

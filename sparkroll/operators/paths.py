@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkroll.functions.arrays import last, let
 from sparkroll.operators.sampling import sample_per_group
 from sparkroll.plugins import Registry
-from sparkroll.skew import rank_in_group, with_group_stats
+from sparkroll.skew import has_hot_group, rank_in_group, with_group_stats
 
 CHAIN = "chain"
 EPSILON = 1e-6
@@ -148,8 +148,9 @@ def path_value(reduction: str = "mean") -> Column:
 @aggregators.register("top_k_percent")
 def top_k_percent(paths: DataFrame, top_k_percent: float, keep_at_least_one: bool = True, reduction: str = "mean") -> DataFrame:
     valued = paths.withColumn("__value", path_value(reduction))
-    ranked = rank_in_group(valued, ["tree_id"], [F.col("__value").desc(), F.col("path_key")], "__rank")
-    counted = with_group_stats(ranked, ["tree_id"], {"__n": F.count(F.lit(1))})
+    hot = has_hot_group(valued, ["tree_id"])
+    ranked = rank_in_group(valued, ["tree_id"], [F.col("__value").desc(), F.col("path_key")], "__rank", hot)
+    counted = with_group_stats(ranked, ["tree_id"], {"__n": F.count(F.lit(1))}, hot)
     keep = F.floor(F.col("__n") * top_k_percent)
     return counted.where(F.col("__rank") < (F.greatest(keep, F.lit(1)) if keep_at_least_one else keep)).drop("__value", "__rank", "__n")
 

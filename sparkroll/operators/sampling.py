@@ -16,10 +16,10 @@ from sparkroll.functions.arrays import let
 from sparkroll.skew import rank_by_hash, rank_by_id, seeded, with_group_stats
 
 
-def shuffled(df: DataFrame, key: Sequence[str], seed: int, name: str = "pos") -> DataFrame:
-    """Position of each row in a seeded permutation of the table."""
+def shuffled(df: DataFrame, key: Sequence[str], seed: int, name: str = "pos", first: int | None = None) -> DataFrame:
+    """Position of each row in a seeded permutation of the table, or its first rows."""
     hashed = df.withColumn("__h", seeded(seed, *key))
-    return rank_by_hash(hashed, "__h", key, name).drop("__h")
+    return rank_by_hash(hashed, "__h", key, name, first).drop("__h")
 
 
 def shuffle_take(df: DataFrame, key: Sequence[str], seed: int, n: int | None = None, portion: float | None = None) -> DataFrame:
@@ -28,20 +28,15 @@ def shuffle_take(df: DataFrame, key: Sequence[str], seed: int, n: int | None = N
         raise ValueError("give a count or a portion, not both")
     if n is not None and df.count() < n:
         raise ValueError(f"fewer than {n} rows to sample from")
-    ranked = shuffled(df, key, seed)
-    if n is not None:
-        return ranked.where(F.col("pos") < n)
-    return _first_portion(ranked, df, portion)
-
-
-def _first_portion(ranked: DataFrame, df: DataFrame, portion: float) -> DataFrame:
-    return ranked.where(F.col("pos") < int(df.count() * portion))
+    return shuffled(df, key, seed, first=n if n is not None else int(df.count() * portion))
 
 
 def portion(df: DataFrame, id_col: str, share: float, seed: int | None = None) -> DataFrame:
     """First int(rows * share) rows by id, or of a seeded permutation."""
-    ranked = rank_by_id(df, id_col, "pos") if seed is None else shuffled(df, [id_col], seed)
-    return _first_portion(ranked, df, share)
+    wanted = int(df.count() * share)
+    if seed is not None:
+        return shuffled(df, [id_col], seed, first=wanted)
+    return rank_by_id(df, id_col, "pos").where(F.col("pos") < wanted)
 
 
 def epoch_slice(df: DataFrame, id_col: str, seed: int, per_iteration: int, total_iterations: int, iteration: int) -> DataFrame:
@@ -70,7 +65,7 @@ def resize(df: DataFrame, key: Sequence[str], seed: int, target: int, fill_missi
         return shuffle_take(df, key, seed, n=target).withColumn("copy", F.lit(0).cast("bigint"))
     copies = target // size + 1
     repeated = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("copy", F.col("copy").cast("bigint"))
-    return shuffled(repeated, [*key, "copy"], seed).where(F.col("pos") < target)
+    return shuffled(repeated, [*key, "copy"], seed, first=target)
 
 
 def take_and_leave(df: DataFrame, key: Sequence[str], seed: int, n: int) -> DataFrame:

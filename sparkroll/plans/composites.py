@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkroll.functions import text
+from sparkroll.functions.arrays import let
 from sparkroll.functions.grading import grade_exact, reward
 from sparkroll.operators import credit, evaluation, logprobs, pairs, sampling
 from sparkroll.plugins import model_score_batch
@@ -28,11 +29,19 @@ def graded_rollouts(rollouts: DataFrame, penalty: float, evaluator: Evaluator |
 def ppo_episodes(rollouts: DataFrame, query: Column, response: Column, max_len: int, penalty: float) -> DataFrame:
     """Reward, tokenise together, truncate, drop empty responses."""
     df = graded_rollouts(rollouts, penalty).withColumns({"query_text": query, "response_text": response})
-    df = df.withColumn("toks", text.tokens(F.concat("query_text", "response_text"))).withColumn("n_query", text.tokens_before(F.col("toks"), F.length("query_text")))
-    cut = F.size("toks") > max_len
-    n_response = F.when(cut, F.greatest(F.lit(max_len) - F.col("n_query"), F.lit(0))).otherwise(F.size("toks") - F.col("n_query"))
-    df = df.withColumns({"n_response": n_response, "reward": F.when(cut, float(penalty)).otherwise(F.col("reward")), "is_unfinished": F.col("is_unfinished") | cut})
-    ids = text.token_ids(F.slice("toks", F.col("n_query") + 1, F.col("n_response")))
+
+    def split(toks: Column) -> Column:
+        n_query = text.tokens_before(toks, F.length("query_text"))
+        return let(n_query, lambda n: F.struct(
+            n.alias("n_query"), F.size(toks).alias("size"),
+            text.token_ids(F.slice(toks, n + 1, F.greatest(F.least(F.size(toks), F.lit(max_len)) - n, F.lit(0)))).alias("ids")))
+
+    df = df.withColumn("__s", let(text.tokens(F.concat("query_text", "response_text")), split))
+    cut = F.col("__s.size") > max_len
+    df = df.withColumns({
+        "n_query": F.col("__s.n_query"), "n_response": F.size("__s.ids"),
+        "reward": F.when(cut, float(penalty)).otherwise(F.col("reward")), "is_unfinished": F.col("is_unfinished") | cut})
+    ids = F.col("__s.ids")
     return df.where("n_response > 0").withColumn("response_token_ids", F.when(F.col("is_unfinished"), ids).otherwise(F.concat(ids, F.array(F.lit(text.EOS_ID)))))
 
 
@@ -42,7 +51,11 @@ def restem_episodes(episodes: DataFrame, threshold: float, per_question: int) ->
 
 
 def dpo_episodes(episodes: DataFrame, threshold: float, max_pairs: int, seed: int) -> DataFrame:
-    """Preference pairs with the texts of both sides; empty responses went before pairing."""
+    """Preference pairs with the texts of both sides; empty responses went before pairing.
+
+    The episode table is read for the ranks and for both sides, so it is stored once.
+    """
+    episodes = reliable_checkpoint(episodes.select("question_id", "rollout_idx", "reward", "query_text", "response_text"))
     chosen = pairs.dpo_pairs(episodes.select("question_id", "rollout_idx", "reward"), threshold, max_pairs, seed)
     sides = episodes.select("question_id", "rollout_idx", "query_text", "response_text")
     accept = sides.select("question_id", F.col("rollout_idx").alias("accept_idx"), "query_text", F.col("response_text").alias("accept_text"))

@@ -34,11 +34,16 @@ def hot_limit(df: DataFrame) -> int:
 
 
 def has_hot_group(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True if a group of `keys` has more rows than one window task should hold."""
+    """True if a group of `keys` has more rows than one window task should hold.
+
+    Measured once per session and source: the optimised plan of the count is the
+    same for all frames that differ only in columns the count does not need.
+    """
     limit = hot_limit(df)
-    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
+    sizes = df.groupBy(*keys).count()
+    plan = sizes._jdf.queryExecution().optimizedPlan().semanticHash()
+    memo = (df.sparkSession.sparkContext.applicationId, plan, limit)
     if memo not in _measured:
-        sizes = df.groupBy(*keys).count()
         _measured[memo] = bool(sizes.where(F.col("count") > limit).take(1))
     return _measured[memo]
 
@@ -72,14 +77,16 @@ def _rank_over_slices(placed: DataFrame, keys: list[str], order: Sequence[Column
     return ranked.withColumn(name, (F.col("__before") + F.col("__inside")).cast("bigint")).drop("__slice", "__inside", "__before")
 
 
-def rank_by_hash(df: DataFrame, hash_col: str, tie: Sequence[str], name: str) -> DataFrame:
-    """0-based rank of the whole table in the order of a hex digest.
+def rank_by_hash(df: DataFrame, hash_col: str, tie: Sequence[str], name: str, first: int | None = None) -> DataFrame:
+    """0-based rank of the whole table in the order of a hex digest, or of its first rows only.
 
     Digests spread evenly, so their leading digits are ready-made ordered
-    slices; the carry has at most 16 ** HASH_DIGITS rows and is broadcast.
+    slices; the carry has at most 16 ** HASH_DIGITS rows and is broadcast. With
+    `first`, slices that start behind it are gone before anything is shuffled.
     """
     placed = df.withColumn("__slice", F.substring(hash_col, 1, HASH_DIGITS))
-    return _rank_with_bounded_carry(placed, [F.col(hash_col), *[F.col(c) for c in tie]], name)
+    ranked = _rank_with_bounded_carry(placed, [F.col(hash_col), *[F.col(c) for c in tie]], name, first)
+    return ranked if first is None else ranked.where(F.col(name) < first)
 
 
 def rank_by_id(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -93,20 +100,23 @@ def rank_by_id(df: DataFrame, col: str, name: str) -> DataFrame:
         return df.withColumn(name, F.lit(0).cast("bigint"))
     width = max(1, -(-(int(high) - int(low) + 1) // ID_SLICES))
     placed = df.withColumn("__slice", F.floor((F.col(col) - F.lit(low)) / F.lit(width)))
-    if has_hot_group(placed.select("__slice"), ["__slice"]):
+    # ids are unique, so a slice holds at most `width` rows
+    if width > hot_limit(df) and has_hot_group(placed.select("__slice"), ["__slice"]):
         slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranged = df.repartitionByRange(slices, F.col(col)).withColumn("__slice", F.spark_partition_id())
         placed = reliable_checkpoint(ranged)
     return _rank_with_bounded_carry(placed, [F.col(col)], name)
 
 
-def _rank_with_bounded_carry(placed: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def _rank_with_bounded_carry(placed: DataFrame, order: Sequence[Column], name: str, first: int | None = None) -> DataFrame:
     sizes = placed.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
     # one row per slice, at most 65,536: a single task and a broadcast of about 1 MB
     before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = sizes.select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    if first is not None:
+        carry = carry.where(F.col("__before") < first)
     inside = F.row_number().over(Window.partitionBy("__slice").orderBy(*order)) - 1
-    ranked = placed.withColumn("__inside", inside).join(F.broadcast(carry), "__slice")
+    ranked = placed.join(F.broadcast(carry), "__slice").withColumn("__inside", inside)
     return ranked.withColumn(name, (F.col("__before") + F.col("__inside")).cast("bigint")).drop("__slice", "__inside", "__before")
 
 
