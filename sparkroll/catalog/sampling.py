@@ -27,7 +27,7 @@ def _(spark, sf):
     return sampling.shuffle_take(fx.f1(spark, sf), ["question_id"], SEED, n=1000)
 
 
-@query("initial_subset", "f1", f"select question_id, gold, split from ({ranked(Q, seed=5)}) where pos < (select floor(count(*) * 0.25) from f1)")
+@query("initial_subset", "f1", f"select question_id, gold, split from ({ranked(Q, seed=5)}) where pos < (select floor(count(*) * 0.25::double) from f1)")
 def _(spark, sf):
     return sampling.shuffle_take(fx.f1(spark, sf), ["question_id"], 5, portion=0.25).drop("pos")
 
@@ -58,7 +58,7 @@ def _(spark, sf):
     return sampling.take_and_leave(rollouts, ["question_id", "rollout_idx"], SEED, 5000)
 
 
-@query("portion", "f1", "select * from (select *, row_number() over (order by question_id) - 1 as pos from f1) where pos < (select floor(count(*) * 0.29) from f1)")
+@query("portion", "f1", "select * from (select *, row_number() over (order by question_id) - 1 as pos from f1) where pos < (select floor(count(*) * 0.29::double) from f1)")
 def _(spark, sf):
     return sampling.portion(fx.f1(spark, sf), "question_id", 0.29)
 

@@ -50,24 +50,23 @@ def group_bleu(members: DataFrame, group: Sequence[str], idx: str, text: str) ->
     `idx` is the dense 0-based position of the member in its group.
     """
     group = list(group)
-    words = members.select(*group, idx, F.size(F.regexp_extract_all(text, F.lit(WORDS), 0)).alias("w"))
-    sizes = words.groupBy(*group).agg(F.count(F.lit(1)).alias("m"))
-    layers = members.select(*group, F.explode(_numbered_grams()(F.col(text))).alias("g"))
-    holders = layers.groupBy(*group, "g").agg(F.count(F.lit(1)).alias("h")).where("h > 1").withColumn("n", F.substring("g", 1, 1).cast("int"))
-    matched = holders.groupBy(*group).agg(
-        *[F.sum(F.when(F.col("n") == n, F.col("h") * (F.col("h") - 1) / 2).otherwise(0.0)).alias(f"match_{n}") for n in range(1, MAX_N + 1)]
-    )
-    later = F.col("m") - 1 - F.col(idx)
-    lengths = words.join(sizes.where("m > 1"), group).groupBy(*group).agg(
-        F.sum(F.col("w") * later).alias("pred_len"),
-        F.sum(F.col("w") * F.col(idx)).alias("ref_len"),
-        *[F.sum(F.greatest(F.col("w") - (n - 1), F.lit(0)) * later).alias(f"possible_{n}") for n in range(1, MAX_N + 1)],
-        F.max("m").alias("members"),
+    words = members.select(*group, idx, F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("__w"))
+    sizes = words.groupBy(*group).agg(F.count(F.lit(1)).alias("__m"))
+    layers = members.select(*group, F.explode(_numbered_grams()(F.col(text))).alias("__g"))
+    holders = layers.groupBy(*group, "__g").agg(F.count(F.lit(1)).alias("__h")).where("__h > 1").withColumn("__n", F.substring("__g", 1, 1).cast("int"))
+    orders = range(1, MAX_N + 1)
+    matched = holders.groupBy(*group).agg(*[F.sum(F.when(F.col("__n") == n, F.col("__h") * (F.col("__h") - 1) / 2).otherwise(0.0)).alias(f"__match_{n}") for n in orders])
+    later = F.col("__m") - 1 - F.col(idx)
+    lengths = words.join(sizes.where("__m > 1"), group).groupBy(*group).agg(
+        F.sum(F.col("__w") * later).alias("__pred_len"),
+        F.sum(F.col("__w") * F.col(idx)).alias("__ref_len"),
+        *[F.sum(F.greatest(F.col("__w") - (n - 1), F.lit(0)) * later).alias(f"__possible_{n}") for n in orders],
+        F.max("__m").alias("members"),
     )
     both = lengths.join(matched, group, "left")
-    precision = [F.coalesce(F.col(f"match_{n}"), F.lit(0.0)) / F.when(F.col(f"possible_{n}") > 0, F.col(f"possible_{n}")) for n in range(1, MAX_N + 1)]
-    usable = (F.least(*[F.coalesce(p, F.lit(0.0)) for p in precision]) > 0) & (F.col("ref_len") > 0)
+    precision = [F.coalesce(F.col(f"__match_{n}"), F.lit(0.0)) / F.when(F.col(f"__possible_{n}") > 0, F.col(f"__possible_{n}")) for n in orders]
+    usable = (F.least(*[F.coalesce(p, F.lit(0.0)) for p in precision]) > 0) & (F.col("__ref_len") > 0)
     mean_log = sum((F.log(p) for p in precision[1:]), F.log(precision[0])) / MAX_N
-    ratio = F.col("pred_len") / F.col("ref_len")
+    ratio = F.col("__pred_len") / F.col("__ref_len")
     brevity = F.when(ratio > 1, 1.0).otherwise(F.exp(1 - 1 / ratio))
     return both.select(*group, "members", F.when(usable, F.exp(mean_log) * brevity).otherwise(0.0).alias("bleu"))

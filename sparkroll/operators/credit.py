@@ -68,7 +68,9 @@ def mc_token_advantage(tokens: DataFrame, steps: DataFrame) -> DataFrame:
     return body.unionByName(eos)
 
 
-def discounted_suffix_sum(df: DataFrame, keys: Sequence[str], pos: str, term: str, discount: float, name: str, slice_rows: int | None = None) -> DataFrame:
+def discounted_suffix_sum(
+    df: DataFrame, keys: Sequence[str], pos: str, term: str, discount: float, name: str, slice_rows: int | None = None, depth: int = 0
+) -> DataFrame:
     """S_t = term_t + discount * S_(t+1) along a dense position.
 
     Slices are short enough that powers of the discount neither vanish nor grow
@@ -81,18 +83,19 @@ def discounted_suffix_sum(df: DataFrame, keys: Sequence[str], pos: str, term: st
     width = slice_rows or SLICE_ROWS
     magnitude = abs(math.log10(abs(discount)))
     if magnitude > 0:
-        width = max(1, min(width, 256 if slice_rows is None else width, int(250 / magnitude)))
+        width = max(2, min(width, 256, int(250 / magnitude)))
     top = df.agg(F.max(pos)).first()[0]
     if top is None or top < width:
         return _short_suffix_sum(df, keys, pos, F.col(pos), term, discount, name)
-    sliced = df.withColumns({"__slice": F.floor(F.col(pos) / width), "__in": F.pmod(F.col(pos), F.lit(width))})
-    totals = sliced.groupBy(*keys, "__slice").agg(F.sum(F.pow(F.lit(discount), F.col("__in")) * F.col(term)).alias("__total"))
-    above = discounted_suffix_sum(totals, keys, "__slice", "__total", discount**width, "__above", slice_rows)
-    local = _short_suffix_sum(sliced, [*keys, "__slice"], "__in", F.col("__in"), term, discount, name)
-    carry = above.select(*keys, (F.col("__slice") - 1).alias("__slice"), "__above")
-    joined = same_keys(local, carry, [*keys, "__slice"])
-    rest = F.pow(F.lit(discount), F.lit(width) - F.col("__in")) * F.coalesce("__above", F.lit(0.0))
-    return joined.withColumn(name, F.col(name) + rest).drop("__slice", "__in", "__above")
+    cut, inside, total, above = (f"__{c}{depth}" for c in ("slice", "in", "total", "above"))
+    sliced = df.withColumns({cut: F.floor(F.col(pos) / width), inside: F.pmod(F.col(pos), F.lit(width))})
+    totals = sliced.groupBy(*keys, cut).agg(F.sum(F.pow(F.lit(discount), F.col(inside)) * F.col(term)).alias(total))
+    later = discounted_suffix_sum(totals, keys, cut, total, discount**width, above, slice_rows, depth + 1)
+    local = _short_suffix_sum(sliced, [*keys, cut], inside, F.col(inside), term, discount, name)
+    carry = later.select(*keys, (F.col(cut) - 1).alias(cut), above)
+    joined = same_keys(local, carry, [*keys, cut])
+    rest = F.pow(F.lit(discount), F.lit(width) - F.col(inside)) * F.coalesce(above, F.lit(0.0))
+    return joined.withColumn(name, F.col(name) + rest).drop(cut, inside, above)
 
 
 def _short_suffix_sum(df: DataFrame, keys: list[str], pos: str, exponent: Column, term: str, discount: float, name: str) -> DataFrame:

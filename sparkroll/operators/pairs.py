@@ -61,15 +61,15 @@ def concordant_pairs(rows: DataFrame, group: Sequence[str], tie: str, gt: str, p
     group = list(group)
     if hot is None:
         hot = has_hot_group(rows, group)
-    ranked = rank_in_group(rows, group, [F.col(gt), F.col(pred).desc(), F.col(tie)], "p", hot)
-    ranked = rank_in_group(ranked, group, [F.col(pred), F.col(gt).desc(), F.col(tie).desc()], "q", hot)
-    sized = with_group_stats(ranked.select(*group, "p", "q"), group, {"n": F.count(F.lit(1))}, hot)
-    bits = F.length(F.bin(F.col("n") - 1)) - 1
-    exploded = sized.select(*group, "p", "q", F.explode(F.sequence(F.lit(0), bits)).alias("bit"))
-    split = exploded.select(*group, "bit", "q", F.expr("shiftright(p, bit + 1)").alias("block"), F.expr("1 - (shiftright(p, bit) & 1)").alias("low"))
-    counted = running(split, [*group, "bit", "block"], "q", {"before": ("sum", "low")}, hot=hot)
-    hits = counted.groupBy(*group).agg(F.sum(F.when(F.col("low") == 0, F.col("before")).otherwise(0)).alias("concordant"))
-    pairs = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).select(*group, F.expr("n * (n - 1) div 2").alias("pairs"))
+    ranked = rank_in_group(rows, group, [F.col(gt), F.col(pred).desc(), F.col(tie)], "__p", hot)
+    ranked = rank_in_group(ranked, group, [F.col(pred), F.col(gt).desc(), F.col(tie).desc()], "__q", hot)
+    sized = with_group_stats(ranked.select(*group, "__p", "__q"), group, {"__n": F.count(F.lit(1))}, hot)
+    bits = F.length(F.bin(F.col("__n") - 1)) - 1
+    exploded = sized.select(*group, "__p", "__q", F.explode(F.sequence(F.lit(0), bits)).alias("__bit"))
+    split = exploded.select(*group, "__bit", "__q", F.expr("shiftright(__p, __bit + 1)").alias("__block"), F.expr("1 - (shiftright(__p, __bit) & 1)").alias("__low"))
+    counted = running(split, [*group, "__bit", "__block"], "__q", {"__before": ("sum", "__low")}, hot=hot)
+    hits = counted.groupBy(*group).agg(F.sum(F.when(F.col("__low") == 0, F.col("__before")).otherwise(0)).alias("concordant"))
+    pairs = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).select(*group, F.expr("__n * (__n - 1) div 2").alias("pairs"))
     return pairs.where("pairs > 0").join(hits, group)
 
 
