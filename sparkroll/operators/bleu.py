@@ -50,19 +50,21 @@ def group_bleu(members: DataFrame, group: Sequence[str], idx: str, text: str) ->
     `idx` is the dense 0-based position of the member in its group.
     """
     group = list(group)
-    words = members.select(*group, idx, F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("__w"))
-    sizes = words.groupBy(*group).agg(F.count(F.lit(1)).alias("__m"))
+    orders = range(1, MAX_N + 1)
     layers = members.select(*group, F.explode(_numbered_grams()(F.col(text))).alias("__g"))
     holders = layers.groupBy(*group, "__g").agg(F.count(F.lit(1)).alias("__h")).where("__h > 1").withColumn("__n", F.substring("__g", 1, 1).cast("int"))
-    orders = range(1, MAX_N + 1)
     matched = holders.groupBy(*group).agg(*[F.sum(F.when(F.col("__n") == n, F.col("__h") * (F.col("__h") - 1) / 2).otherwise(0.0)).alias(f"__match_{n}") for n in orders])
-    later = F.col("__m") - 1 - F.col(idx)
-    lengths = words.join(sizes.where("__m > 1"), group).groupBy(*group).agg(
-        F.sum(F.col("__w") * later).alias("__pred_len"),
-        F.sum(F.col("__w") * F.col(idx)).alias("__ref_len"),
-        *[F.sum(F.greatest(F.col("__w") - (n - 1), F.lit(0)) * later).alias(f"__possible_{n}") for n in orders],
-        F.max("__m").alias("members"),
-    )
+    # member i predicts m - 1 - i times and is the reference i times: sums of sizes and of i * sizes say it all
+    size = F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))
+    measured = members.select(*group, F.col(idx).cast("bigint").alias("__i"), size.cast("bigint").alias("__w"))
+    grams = {n: F.greatest(F.col("__w") - (n - 1), F.lit(0)) for n in orders}
+    sums = measured.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("members"),
+        *[F.sum(g).alias(f"__s_{n}") for n, g in grams.items()],
+        *[F.sum(F.col("__i") * g).alias(f"__is_{n}") for n, g in grams.items()],
+    ).where("members > 1")
+    predicted = {n: (F.col("members") - 1) * F.col(f"__s_{n}") - F.col(f"__is_{n}") for n in orders}
+    lengths = sums.select(*group, "members", predicted[1].alias("__pred_len"), F.col("__is_1").alias("__ref_len"), *[p.alias(f"__possible_{n}") for n, p in predicted.items()])
     both = lengths.join(matched, group, "left")
     precision = [F.coalesce(F.col(f"__match_{n}"), F.lit(0.0)) / F.when(F.col(f"__possible_{n}") > 0, F.col(f"__possible_{n}")) for n in orders]
     usable = (F.least(*[F.coalesce(p, F.lit(0.0)) for p in precision]) > 0) & (F.col("__ref_len") > 0)

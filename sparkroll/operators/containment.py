@@ -37,7 +37,7 @@ def _hashes(kind: str, n: int, grams: Column) -> Column:
 
 
 def attach_source_row(queries: DataFrame, query_id: str, query: str, problems: DataFrame, problem_id: str, problem: str) -> DataFrame:
-    """Each query id with the lowest problem id whose text it holds; queries without one are left out."""
+    """Each (unique) query id with the lowest problem id whose text it holds; queries without one are left out."""
     pool = problems.where(F.length(problem) > 0).groupBy(F.col(problem).alias("__problem")).agg(F.min(problem_id).alias("__pid"))
     words = F.regexp_extract_all("__problem", F.lit(WORD), F.lit(0))
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2))
@@ -54,7 +54,7 @@ def attach_source_row(queries: DataFrame, query_id: str, query: str, problems: D
         head = F.substring("__problem", F.lit(1), F.col("__c"))
         anchors = anchors.unionByName(short.select("__pid", F.xxhash64(F.lit("c"), "__c", head).alias("__anchor")))
 
-    texts = queries.select(F.col(query).alias("__query")).distinct().withColumn("__qid", F.sha2("__query", 256))
+    texts = queries.select(F.col(query_id).alias("__qid"), F.col(query).alias("__query"))
     def all_keys(words: Column) -> Column:
         keys = [_hashes("w", n, _word_grams(words, n)) for n in word_sizes]
         keys += [_hashes("c", n, _char_grams(F.col("__query"), n)) for n in char_sizes]
@@ -62,7 +62,7 @@ def attach_source_row(queries: DataFrame, query_id: str, query: str, problems: D
 
     # the words are bound once: a lambda would split the text again for every gram
     query_keys = texts.select("__qid", F.explode(let(F.regexp_extract_all("__query", F.lit(WORD), F.lit(0)), all_keys)).alias("__anchor"))
+    # only ids and hashes meet here; texts follow for the few candidates
     candidates = query_keys.join(anchors, "__anchor").select("__qid", "__pid").distinct()
-    checked = candidates.join(texts, "__qid").join(pool.select("__pid", "__problem"), "__pid").where(F.col("__query").contains(F.col("__problem")))
-    firsts = checked.groupBy("__qid").agg(F.min("__pid").alias(problem_id))
-    return queries.select(query_id, F.sha2(query, 256).alias("__qid")).join(firsts, "__qid").drop("__qid")
+    checked = candidates.join(pool.select("__pid", "__problem"), "__pid").join(texts, "__qid").where(F.col("__query").contains(F.col("__problem")))
+    return checked.groupBy(F.col("__qid").alias(query_id)).agg(F.min("__pid").alias(problem_id))
