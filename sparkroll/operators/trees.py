@@ -4,7 +4,9 @@ Columns: tree_id, node_id, parent_id, depth, expanded, answer, is_correct, and
 any others. Depth is bounded by the tree configuration, so a level is one
 filtered scan, and chains from the root are arrays of at most max_depth + 1
 structs. Wide nodes and big trees stay spread: children meet their parent by an
-equi-join and are averaged with map-side combine.
+equi-join and are averaged with map-side combine. A level feeds both the result
+and the next level, so it is stored once in the checkpoint folder: nothing is
+computed twice and a lost executor costs one level at most.
 """
 
 from __future__ import annotations
@@ -22,9 +24,6 @@ from sparkroll.operators.sampling import sample_per_group
 from sparkroll.session import reliable_checkpoint
 from sparkroll.skew import has_hot_group, rank_in_group
 
-CHECKPOINT_EVERY = 8  # levels between lineage cuts
-
-
 def level(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.where(F.col("depth") == depth)
 
@@ -39,14 +38,10 @@ def tree_score(nodes: DataFrame, max_depth: int, correct: Column | None = None)
             F.col("tree_id").alias("__tree"), F.col("parent_id").alias("__node"), "__mean")
         here = level(nodes, depth).join(means, (F.col("tree_id") == F.col("__tree")) & (F.col("node_id") == F.col("__node")), "left")
         scored = here.withColumn("score", F.when(answered, grade).otherwise(F.coalesce("__mean", F.lit(0.0)))).drop("__tree", "__node", "__mean")
-        levels.append(_cut(scored, max_depth - depth))
+        levels.append(reliable_checkpoint(scored) if depth > 0 else scored)
     return _union(levels)
 
 
-def _cut(df: DataFrame, step: int) -> DataFrame:
-    return reliable_checkpoint(df) if step % CHECKPOINT_EVERY == 0 else df
-
-
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -83,7 +78,7 @@ def chains(nodes: DataFrame, max_depth: int, fields: Sequence[str], branch_facto
         advantage = F.when(parent["open"], F.col("score") - parent["score"]) if scored else nothing
         mine = entry(advantage, parent["open"] & F.col("answer").isNull())
         here = joined.select(*base, F.concat("__chain", F.array(mine)).alias("chain"), F.concat("__key", F.array("node_id")).alias("path_key"))
-        levels.append(_cut(here, depth))
+        levels.append(reliable_checkpoint(here) if depth < max_depth else here)
     return _union(levels)
 
 
