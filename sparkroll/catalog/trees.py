@@ -159,7 +159,7 @@ REWRITES = {
     "non_last_nodes_score_to_zero": "select * replace (case when pos < last_pos then 0 else score end as score) from c9",
     "non_last_nodes_advantage_to_zero": "select * replace (case when pos < last_pos and advantage is not null then 0 else advantage end as advantage) from c9",
     "fill_advantage_from_score": "select * replace (case when pos >= 1 then score else advantage end as advantage) from c9",
-    "apply_importance_weights": "select * replace (advantage * weight as advantage) from c9",
+    "apply_importance_weights": "select * replace (advantage * weight as advantage) from c",
     "last_step_advantage_to_one": "select * replace (case when pos = last_pos then 1.0::double else advantage end as advantage) from c9",
 }
 
@@ -172,7 +172,9 @@ def rounded_paths(spark, sf):
 def _register_rewrite(name, sql):
     @tree_query(f"pp_{name}", C9 + f", z as ({sql}) " + SUMMARY.format(src="z"))
     def _(spark, sf):
-        return summary(rounded_paths(spark, sf).withColumn("chain", pp.post_processors[name](F.col("chain"))))
+        # weights would multiply the rounding, and no zero is tested here
+        source = paths if name == "apply_importance_weights" else rounded_paths
+        return summary(source(spark, sf).withColumn("chain", pp.post_processors[name](F.col("chain"))))
 
 
 for _name, _sql in REWRITES.items():
@@ -185,7 +187,7 @@ def _(spark, sf):
     return pp.drop_query_only(chopped).select("tree_id", F.col("node_id").alias("leaf_id"), big(F.size("chain")).alias("nodes"))
 
 
-@tree_query("path_unique", C9 + """, u as (select leaf_id, tree_id, list([pos::varchar, coalesce(answer, '-'), coalesce(is_correct::varchar, '-'), round(score, 12)::varchar, coalesce(advantage::varchar, '-')] order by pos) as content from c9 group by all),
+@tree_query("path_unique", C9 + """, u as (select leaf_id, tree_id, list([pos::varchar, coalesce(answer, '-'), coalesce(is_correct::varchar, '-'), (round(score, 12) + 0.0::double)::varchar, coalesce((advantage + 0.0::double)::varchar, '-')] order by pos) as content from c9 group by all),
 r as (select *, row_number() over (partition by tree_id, content order by path_key) as rn from u join k using (leaf_id))
 select tree_id, leaf_id from r where rn = 1""")
 def _(spark, sf):

@@ -131,7 +131,13 @@ def identity(paths: DataFrame) -> DataFrame:
 @aggregators.register("unique")
 def unique(paths: DataFrame, fields: Sequence[str] = ("depth", "answer", "is_correct", "score", "advantage", "weight")) -> DataFrame:
     """Distinct whole paths of a tree by the given node fields; the first in DFS order stays."""
-    content = F.transform(CHAIN, lambda n: F.struct(*[n[f].alias(f) for f in fields]))
+    types = {f.name: f.dataType.typeName() for f in paths.schema[CHAIN].dataType.elementType.fields}
+
+    def comparable(node: Column, field: str) -> Column:
+        # adding zero makes -0.0 and 0.0 one value, as they are equal numbers
+        return (node[field] + F.lit(0.0) if types[field] == "double" else node[field]).alias(field)
+
+    content = F.transform(CHAIN, lambda n: F.struct(*[comparable(n, f) for f in fields]))
     keyed = paths.withColumn("__content", F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256))
     firsts = keyed.groupBy("tree_id", "__content").agg(F.min_by(F.struct(*paths.columns), "path_key").alias("p"))
     return firsts.select("p.*")

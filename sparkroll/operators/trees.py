@@ -24,6 +24,7 @@ from sparkroll.operators.sampling import sample_per_group
 from sparkroll.session import reliable_checkpoint
 from sparkroll.skew import has_hot_group, rank_in_group
 
+
 def level(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.where(F.col("depth") == depth)
 
