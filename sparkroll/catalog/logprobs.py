@@ -98,38 +98,38 @@ def _(spark, sf):
 MEANS = "with a as (select *, new_lp - actor_lp as d, exp(new_lp - actor_lp) as ratio from f7 where is_action), l as (select *, -advantage * ratio as l1, -advantage * least(greatest(ratio, 0.95::double), 1.05::double) as l2 from a)"
 
 
-@query("ppo_clip_diagnostics", "f7", MEANS + """ select batch_id, round(avg(greatest(l1, l2)), 10) as pg_loss, round(avg((l2 > l1)::int::double), 10) as clip_frac, round(0.5::double * avg(d * d), 10) as approx_kl,
-  round(avg(-d), 10) as policy_kl, round(avg(ratio), 10) as ratio, avg(ratio) > 0.961 as is_skipped from l group by batch_id""")
+@query("ppo_clip_diagnostics", "f7", MEANS + """ select batch_id, round(avg(greatest(l1, l2)), 12) as pg_loss, round(avg((l2 > l1)::int::double), 12) as clip_frac, round(0.5::double * avg(d * d), 12) as approx_kl,
+  round(avg(-d), 12) as policy_kl, round(avg(ratio), 12) as ratio, avg(ratio) > 0.961 as is_skipped from l group by batch_id""")
 def _(spark, sf):
-    return rounded(lp.ppo_clip_diagnostics(fx.f7(spark, sf), clip=0.05, ratio_threshold=0.961), "batch_id", "is_skipped", digits=10)
+    return rounded(lp.ppo_clip_diagnostics(fx.f7(spark, sf), clip=0.05, ratio_threshold=0.961), "batch_id", "is_skipped", digits=12)
 
 
 @query("kl_loss_term", "f7", """with s as (select batch_id, episode_id, sum(least(greatest(case when is_action then new_lp - ref_lp else 0 end, -0.05::double), 0.05::double)) as s from f7 group by batch_id, episode_id)
-select batch_id, round(0.1::double * avg(s), 10) as ref_kl_loss from s group by batch_id""")
+select batch_id, round(0.1::double * avg(s), 12) as ref_kl_loss from s group by batch_id""")
 def _(spark, sf):
-    return lp.kl_loss_term(fx.f7(spark, sf), BETA, -0.05, 0.05).select("batch_id", F.round("ref_kl_loss", 10).alias("ref_kl_loss"))
+    return lp.kl_loss_term(fx.f7(spark, sf), BETA, -0.05, 0.05).select("batch_id", F.round("ref_kl_loss", 12).alias("ref_kl_loss"))
 
 
 @query("value_clip_diagnostics", "f7", """with v as (select *, value + score * 0.3::double - 0.1::double as nv, advantage + value as ret from f7 where is_action),
 c as (select *, (nv - ret) * (nv - ret) as l1, pow(least(greatest(nv, value - 0.15::double), value + 0.15::double) - ret, 2) as l2 from v)
-select batch_id, round(0.5::double * avg(greatest(l1, l2)), 9) as vf_loss, round(avg(l1), 9) as mse, round(avg((l2 > l1 + 1e-9)::int::double), 9) as clip_frac, round(avg(nv), 9) as value from c group by batch_id""")
+select batch_id, round(0.5::double * avg(greatest(l1, l2)), 12) as vf_loss, round(avg(l1), 12) as mse, round(avg((l2 > l1 + 1e-9)::int::double), 12) as clip_frac, round(avg(nv), 12) as value from c group by batch_id""")
 def _(spark, sf):
     new = F.col("value") + F.col("score") * 0.3 - 0.1
-    return rounded(lp.value_clip_diagnostics(fx.f7(spark, sf), new, F.col("advantage") + F.col("value"), 0.15), "batch_id", digits=9)
+    return rounded(lp.value_clip_diagnostics(fx.f7(spark, sf), new, F.col("advantage") + F.col("value"), 0.15), "batch_id", digits=12)
 
 
 NLL = """with e as (select batch_id, episode_id, coalesce(sum(-new_lp * {a}) filter (where is_action), 0) {s} as s, count(*) filter (where is_action) as n from f7 group by batch_id, episode_id)
-select batch_id, round(sum(s) / sum(n), 10) as total_tokens, round(sum(case when n > 0 then s / n end) / count(*), 10) as per_instance, round(sum(s) / count(*), 10) as per_batch from e group by batch_id"""
+select batch_id, round(sum(s) / sum(n), 12) as total_tokens, round(sum(case when n > 0 then s / n end) / count(*), 12) as per_instance, round(sum(s) / count(*), 12) as per_batch from e group by batch_id"""
 
 
 @query("advantage_weighted_nll", "f7", NLL.format(a="advantage", s=""))
 def _(spark, sf):
-    return rounded(lp.advantage_weighted_nll(fx.f7(spark, sf)), "batch_id", digits=10)
+    return rounded(lp.advantage_weighted_nll(fx.f7(spark, sf)), "batch_id", digits=12)
 
 
 @query("advantage_weighted_nll_upscaled", "f7", NLL.format(a="value", s="* count(*) filter (where is_action) / sum(value) filter (where is_action)"))
 def _(spark, sf):
-    return rounded(lp.advantage_weighted_nll(fx.f7(spark, sf), "value", upscale=True), "batch_id", digits=10)
+    return rounded(lp.advantage_weighted_nll(fx.f7(spark, sf), "value", upscale=True), "batch_id", digits=12)
 
 
 RW = """with x as (select *, max(t) over (partition by episode_id) as last_t from f7),
@@ -150,16 +150,16 @@ k as (select batch_id, avg(k) as kl_mean from (select batch_id, episode_id, sum(
 BATCH_METRICS = ["advantage_mean", "advantage_std", "advantage_close_to_zero", "reward_mean", "return_mean", "kl_mean"]
 
 
-@query("batch_step_metrics", "f7", BM + "select batch_id, num_tokens, " + ", ".join(f"round({m}, 10) as {m}" for m in BATCH_METRICS) + " from b join k using (batch_id)")
+@query("batch_step_metrics", "f7", BM + "select batch_id, num_tokens, " + ", ".join(f"round({m}, 12) as {m}" for m in BATCH_METRICS) + " from b join k using (batch_id)")
 def _(spark, sf):
-    return rounded(lp.batch_step_metrics(lp.token_rewards(fx.f7(spark, sf), BETA)), "batch_id", "num_tokens", digits=10)
+    return rounded(lp.batch_step_metrics(lp.token_rewards(fx.f7(spark, sf), BETA)), "batch_id", "num_tokens", digits=12)
 
 
-@query("token_weighted_metrics", "f7", BM + """select batch_id // 8 as interval, round(sum(reward_mean * num_tokens) / sum(num_tokens), 10) as reward_mean, round(sum(return_mean * num_tokens) / sum(num_tokens), 10) as return_mean,
-  round(avg(kl_mean), 10) as kl_mean, count(*) as steps from b join k using (batch_id) group by batch_id // 8""")
+@query("token_weighted_metrics", "f7", BM + """select batch_id // 8 as interval, round(sum(reward_mean * num_tokens) / sum(num_tokens), 12) as reward_mean, round(sum(return_mean * num_tokens) / sum(num_tokens), 12) as return_mean,
+  round(avg(kl_mean), 12) as kl_mean, count(*) as steps from b join k using (batch_id) group by batch_id // 8""")
 def _(spark, sf):
     steps = lp.batch_step_metrics(lp.token_rewards(fx.f7(spark, sf), BETA))
-    return rounded(lp.token_weighted_metrics(steps, F.floor(F.col("batch_id") / 8), ["reward_mean", "return_mean"], ["kl_mean"]), "interval", "steps", digits=10)
+    return rounded(lp.token_weighted_metrics(steps, F.floor(F.col("batch_id") / 8), ["reward_mean", "return_mean"], ["kl_mean"]), "interval", "steps", digits=12)
 
 
 @query("kl_with_reference", "f7", EP + "select round(avg(coalesce(kla, 0)), 4) as kl_with_reference, count(*) as episodes from e")
