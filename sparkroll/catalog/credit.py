@@ -99,9 +99,9 @@ def _(spark, sf):
 
 
 @query("mc_value_requests", "f3", """select traj_id, step_idx, concat('T', cast(traj_id as varchar), ':', cast(step_idx as varchar)) as request_id, num_steps, step_idx = 0 as is_query_state,
-  step_idx = num_steps - 1 as is_last, round(value_est, 4) as predicted from f3 where step_idx <= 8""")
+  step_idx = num_steps - 1 as is_last, round(value_est, 4) as predicted from f3""")
 def _(spark, sf):
-    steps = fx.f3(spark, sf).where("step_idx <= 8")
+    steps = fx.f3(spark, sf)
     rid = F.concat(F.lit("T"), F.col("traj_id").cast("string"), F.lit(":"), F.col("step_idx").cast("string"))
     return steps.select("traj_id", "step_idx", rid.alias("request_id"), "num_steps", (F.col("step_idx") == 0).alias("is_query_state"),
                         (F.col("step_idx") == F.col("num_steps") - 1).alias("is_last"), r4("value_est").alias("predicted"))

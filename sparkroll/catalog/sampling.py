@@ -43,12 +43,12 @@ def _(spark, sf):
     return sampling.epoch_slice(questions, "question_id", SEED, per, 4, 2)
 
 
-@query("resize_episodes", "f1", f"""with c as (select question_id, unnest(range(2)) as copy from f1 where split = 'test'),
-n as (select count(*) as size from f1 where split = 'test')
+@query("resize_episodes", "f1", f"""with c as (select question_id, unnest(range(2)) as copy from f1),
+n as (select count(*) as size from f1)
 select question_id, copy, pos from ({ranked("cast(question_id as varchar), '|', cast(copy as varchar)", "c", tie="question_id, copy")}), n where pos < (size * 3) // 2""")
 def _(spark, sf):
-    test = fx.f1(spark, sf).where("split = 'test'").select("question_id")
-    return sampling.resize(test, ["question_id"], SEED, test.count() * 3 // 2)
+    questions = fx.f1(spark, sf).select("question_id")
+    return sampling.resize(questions, ["question_id"], SEED, questions.count() * 3 // 2)
 
 
 @query("leftover_cache", "f1 f2", f"""select question_id, rollout_idx, pos, pos < 5000 as taken

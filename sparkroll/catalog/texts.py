@@ -165,14 +165,14 @@ def _(spark, sf):
     return with_steps(spark, sf).select("doc_id", big(F.size("ix") - 1).alias("num_steps"))
 
 
-@query("prefix_states", "f9", BORDERS + """, q as (select doc_id, solution, ix, unnest(range(least(len(ix) - 2, 5))) as step from ix)
+@query("prefix_states", "f9", BORDERS + """, q as (select doc_id, solution, ix, unnest(range(len(ix) - 2)) as step from ix)
 select doc_id, 0 as state_idx, length('Q' || doc_id::varchar) as state_len, md5('Q' || doc_id::varchar) as digest from f9
 union all select doc_id, step + 1, ix[step + 2] + length('Q' || doc_id::varchar), md5('Q' || doc_id::varchar || substr(solution, 1, ix[step + 2])) from q""")
 def _(spark, sf):
-    """The query is state 0; then the text up to the end of each step but the last, at most five."""
+    """The query is state 0; then the text up to the end of each step but the last."""
     rows = with_steps(spark, sf)
     question = F.concat(F.lit("Q"), F.col("doc_id").cast("string"))
-    count = F.least(F.size("ix") - 2, F.lit(5))
+    count = F.size("ix") - 2
     exploded = rows.where(count > 0).select("doc_id", "solution", "ix", question.alias("q"), F.explode(F.sequence(F.lit(0), count - 1)).alias("step"))
     state = F.concat("q", steps.prefix_of(F.col("solution"), F.col("ix"), F.col("step")))
     inner = exploded.select("doc_id", big(F.col("step") + 1).alias("state_idx"), state.alias("state"))
@@ -180,10 +180,10 @@ def _(spark, sf):
     return first.unionByName(inner).select("doc_id", "state_idx", big(F.length("state")).alias("state_len"), F.md5("state").alias("digest"))
 
 
-@query("suffix_responses", "f9", BORDERS + """, q as (select doc_id, solution, ix, unnest(range(least(len(ix) - 1, 5))) as step from ix)
+@query("suffix_responses", "f9", BORDERS + """, q as (select doc_id, solution, ix, unnest(range(len(ix) - 1)) as step from ix)
 select doc_id, step, md5(substr(solution, ix[step + 1] + 1)) as digest from q""")
 def _(spark, sf):
-    rows = with_steps(spark, sf).select("doc_id", "solution", "ix", F.explode(F.sequence(F.lit(0), F.least(F.size("ix") - 1, F.lit(5)) - 1)).alias("step"))
+    rows = with_steps(spark, sf).select("doc_id", "solution", "ix", F.explode(F.sequence(F.lit(0), F.size("ix") - 2)).alias("step"))
     return rows.select("doc_id", big("step").alias("step"), F.md5(steps.suffix_of(F.col("solution"), F.col("ix"), F.col("step"))).alias("digest"))
 
 
@@ -220,10 +220,10 @@ def _(spark, sf):
     return fx.f9(spark, sf).select("doc_id", F.md5(full).alias("digest"))
 
 
-@query("fish_bone_spine", "f9", """with l as (select doc_id, 'P' || doc_id::varchar || ': ' as q, string_split(solution, '. ') as ls from f9), p as (select doc_id, q, ls, unnest(range(len(ls))) as i from l)
-select doc_id, i as depth, md5(case when i = 0 then q || ls[1] else ls[i + 1] end) as text, md5(q || array_to_string(ls[1:i + 1], '')) as full_text from p where i < 6""")
+@query("fish_bone_spine", "f9", """with l as (select doc_id, 'P' || doc_id::varchar || ': ' as q, string_split(solution, chr(10)) as ls from f9), p as (select doc_id, q, ls, unnest(range(len(ls))) as i from l)
+select doc_id, i as depth, md5(case when i = 0 then q || ls[1] else ls[i + 1] end) as text, md5(q || array_to_string(ls[1:i + 1], '')) as full_text from p""")
 def _(spark, sf):
-    rows = fx.f9(spark, sf).select("doc_id", F.slice(F.split("solution", r"\. "), 1, 6).alias("steps"))
+    rows = fx.f9(spark, sf).select("doc_id", F.split("solution", "\n").alias("steps"))
     spine = spine_of(rows, "doc_id", "steps", F.concat(F.lit("P"), F.col("doc_id").cast("string"), F.lit(": ")))
     return spine.select("doc_id", "depth", F.md5("text").alias("text"), F.md5("full_text").alias("full_text"))
 
@@ -240,14 +240,13 @@ def _(spark, sf):
     return fx.f6(spark, sf).select("conv_id", "turn", text.extract_abcd(F.col("response_text")).alias("letter"))
 
 
-# solutions with every answer form: the number n is the expected answer
-MARKED = "'Step of ' || doc_id::varchar || case doc_id % 3 when 0 then '' when 1 then chr(10) || '# Answer' || chr(10) || '  ' || (doc_id * 7)::varchar || ' ' else '# Answer' || chr(10) || 'x# Answer' || chr(10) || 'y' end"
+# whole solutions with every answer form behind them: the number n is the expected answer
 
 
 @query("extract_answer_marker", "f9", "select doc_id, case when doc_id % 3 = 1 then (doc_id * 7)::varchar end as answer from f9")
 def _(spark, sf):
     forms = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("\n# Answer\n  "), (F.col("doc_id") * 7).cast("string"), F.lit(" "))).otherwise("# Answer\nx# Answer\ny")
-    return fx.f9(spark, sf).select("doc_id", text.extract_answer_marker(F.concat(F.lit("Step of "), F.col("doc_id").cast("string"), forms)).alias("answer"))
+    return fx.f9(spark, sf).select("doc_id", text.extract_answer_marker(F.concat("solution", forms)).alias("answer"))
 
 
 NUMBER = r"(?:[+-]?\d+\.\d*|[+-]?\.\d+|[+-]?\d+e[-+]?\d+|[+-]?\d+)"
@@ -285,9 +284,9 @@ def _(spark, sf):
         0: F.concat(F.lit("Hence the final answer is $"), n, F.lit("$. I hope it is correct.")), 1: F.concat(F.lit(r"thus \boxed{"), n, F.lit("}.")),
         2: F.concat(F.lit("The answer is: "), n, F.lit(".\nNext line")), 3: F.concat(F.lit("run\n```output\n"), n, F.lit("\n```\nend")), 4: F.concat(F.lit("first 1,000 then "), n, F.lit(" items")),
     }
-    t = F.lit("no digits here")
+    t = F.regexp_replace("solution", "[0-9]", "")
     for i, form in forms.items():
-        t = F.when(F.col("doc_id") % 6 == i, form).otherwise(t)
+        t = F.when(F.col("doc_id") % 6 == i, F.concat("solution", F.lit("\n"), form)).otherwise(t)
     return fx.f9(spark, sf).select("doc_id", extraction.extract_answer_cascade(t).alias("answer"))
 
 

@@ -159,13 +159,16 @@ def expand_frontier(roots: DataFrame, generator: Generator, factor: Callable[[Co
 
 def fish_bone_spine(solutions: DataFrame, key: str, steps: str, prompt: Column) -> DataFrame:
     """Solution steps as a spine: node i holds its text and everything up to it; the root holds prompt and step 0."""
+    def ends(lengths: Column) -> Column:
+        # one running sum: the fold carries the array of ends
+        start = F.array(F.length(prompt))
+        return F.aggregate(lengths, start, lambda acc, n: F.concat(acc, F.array(last(acc) + n)))
+
     whole = F.concat(prompt, F.array_join(steps, ""))
-    ends = solutions.select(key, whole.alias("whole"), F.length(prompt).alias("lead"), F.col(steps).alias("steps"))
-    nodes = ends.select(key, "whole", "lead", "steps", F.posexplode("steps").alias("pos", "step"))
-    upto = F.col("lead") + F.aggregate(F.slice("steps", F.lit(1), F.col("pos") + 1), F.lit(0), lambda acc, s: acc + F.length(s))
-    spine = nodes.withColumn("upto", upto)
-    text = F.when(F.col("pos") == 0, F.substring("whole", F.lit(1), F.col("upto"))).otherwise(F.col("step"))
-    return spine.select(key, F.col("pos").cast("bigint").alias("depth"), text.alias("text"), F.substring("whole", F.lit(1), F.col("upto")).alias("full_text"))
+    rows = solutions.select(key, whole.alias("whole"), F.arrays_zip(F.col(steps).alias("step"), F.slice(ends(F.transform(steps, lambda s: F.length(s))), F.lit(2), F.size(steps)).alias("upto")).alias("nodes"))
+    spine = rows.select(key, "whole", F.posexplode("nodes").alias("pos", "n"))
+    full = F.substring("whole", F.lit(1), F.col("n.upto"))
+    return spine.select(key, F.col("pos").cast("bigint").alias("depth"), F.when(F.col("pos") == 0, full).otherwise(F.col("n.step")).alias("text"), full.alias("full_text"))
 
 
 def tree_bleu(nodes: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
