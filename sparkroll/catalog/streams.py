@@ -10,7 +10,8 @@ from sparkroll.streaming import jobs
 
 def event_stream(spark, sf):
     schema = fx.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # a pattern is read both if the table is one file and if it is a folder of files
+    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
 
 
 def scores_of(events):
