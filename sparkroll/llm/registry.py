@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkroll.llm import bpe, html, language, quality, simhash, tokens
+from sparkroll.llm import bpe, html, language, quality, simhash, sketch, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": sketch.op1_fingerprints,
     "op2_language_id": language.op2_language_id,
     "op3_simhash": simhash.op3_simhash,
     "op5_token_counts": tokens.op5_token_counts,
