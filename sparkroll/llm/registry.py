@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkroll.llm import bpe, html, language, quality, simhash, sketch, tokens
+from sparkroll.llm import bpe, html, language, quality, sharding, simhash, sketch, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": sketch.op1_fingerprints,
     "op2_language_id": language.op2_language_id,
     "op3_simhash": simhash.op3_simhash,
+    "op4_kd_shards": sharding.op4_kd_shards,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_html_text": html.op6_html_text,
     "op7_quality": quality.op7_quality,
