@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkroll.llm import bpe, html, language, lm, quality, sharding, simhash, sketch, tokens
+from sparkroll.llm import bpe, decontaminate, html, language, lm, quality, sharding, simhash, sketch, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": sketch.op1_fingerprints,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": html.op6_html_text,
     "op7_quality": quality.op7_quality,
     "op8_deleted_interpolation": lm.op8_deleted_interpolation,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {}
