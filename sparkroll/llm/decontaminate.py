@@ -131,13 +131,17 @@ def read_items(rows: list) -> Items:
     for size in range(LEAST_WORDS, WINDOW + 1):
         own = lengths == size if size < WINDOW else lengths >= WINDOW
         if own.any():
-            place, found = windows(words, of, owner, size)
-            mine = own[owner[place]]
-            places.append(place[mine])
-            hashes.append(found[mine])
+            # names also as plain words, for copies in capitals or in lower case
+            for seen, kinds in ((words, of), (np.where(of == NAME, actual, words), np.where(of == NAME, WORD, of))):
+                place, found = windows(seen, kinds, owner, size)
+                mine = own[owner[place]]
+                places.append(place[mine])
+                hashes.append(found[mine])
             sizes.append(size)
     found = np.concatenate(hashes or [np.zeros(0, np.uint64)])
     place = np.concatenate(places or [np.zeros(0, np.int64)])
+    _, once = np.unique(np.stack([found, place.astype(np.uint64)]), axis=1, return_index=True)
+    found, place = found[once], place[once]
     order = np.argsort(found, kind="stable")
     unique, first = np.unique(found[order], return_index=True)
     sieve = np.zeros(1 << 22, bool)
