@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkroll.fixtures import oracle
+from sparkroll.operators.sampling import STRIDES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,13 @@ def query(key: str, fixtures: str = "", sql: str | None = None):
     return register
 
 
+def picks_sql(seed: str, key: str, size: str) -> str:
+    """`start` and `stride` of `permuted_picks`, for the oracle."""
+    digest = f"md5(concat({seed}, '|', {key}::varchar))"
+    usable = f"list_filter({list(STRIDES)}, lambda x: {size} = 1 or x % ({size}) <> 0)"
+    return f"('0x' || substr({digest}, 1, 12))::bigint % ({size}) as start, {usable}[1 + ('0x' || substr({digest}, 13, 8))::bigint % len({usable})] % ({size}) as stride"
+
+
 def r4(col):
     """Round to the 4 decimals both engines agree on."""
     return F.round(col, 4)

@@ -53,7 +53,7 @@ def _(spark, sf):
     runs = fx.f10(spark, sf).select(
         "name", F.struct(F.struct(i.alias("iteration"), F.struct(s.alias("step")).alias("opt")).alias("trainer"), F.array(i + s, i - s).alias("seeds")).alias("config"),
         F.struct(F.struct(r4("accuracy").alias("accuracy")).alias("eval"), (s * 2).alias("steps")).alias("summary"))
-    return readers.flatten_run_records(runs, "config", "summary", list_size=2)
+    return readers.flatten_run_records(runs, "config", "summary")
 
 
 @query("flatten_metrics", "f10", """select name, k as key, case k when 'eval/acc' then case when step % 3 = 0 then 'None' else step::varchar end when 'eval/deep/it' then iteration::varchar else (iteration * step)::varchar end as value

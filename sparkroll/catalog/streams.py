@@ -18,16 +18,17 @@ def scores_of(events):
     return events.select(F.lit("main").alias("run"), F.dayofmonth("ts").cast("bigint").alias("iteration"), F.col("value").alias("score"))
 
 
-CUMULATIVE = """with i as (select iteration, count(*) as n, sum(score) as s, sum(score * score) as ss, avg(score) as bm, stddev_samp(score) as bs from f13 group by iteration),
-c as (select *, sum(n) over w as tn, sum(s) over w as ts, sum(ss) over w as tss from i window w as (order by iteration))
-select iteration, tn::bigint as count, round(ts / tn, 4) as mean, round(tss / tn - (ts / tn) * (ts / tn), 2) as var, round(sqrt((tss / tn - (ts / tn) * (ts / tn)) * tn / (tn - 1)), 4) as std, round(bm, 4) as batch_mean, round(bs, 4) as batch_std from c"""
+CUMULATIVE = """with i as (select iteration, count(*) as n, sum(score) as s, avg(score) as bm, stddev_samp(score) as bs from f13 group by iteration),
+v as (select distinct iteration, var_pop(score) over (order by iteration) as vp from f13),
+c as (select *, sum(n) over w as tn, sum(s) over w as ts from i join v using (iteration) window w as (order by iteration))
+select iteration, tn::bigint as count, round(ts / tn, 4) as mean, round(vp, 4) as var, round(sqrt(vp * tn / (tn - 1)), 4) as std, round(bm, 4) as batch_mean, round(bs, 4) as batch_std from c"""
 
 
 @query("running_moments", "f13", CUMULATIVE)
 def _(spark, sf):
     scores = fx.f13(spark, sf).withColumn("run", F.lit("main"))
     df = jobs.running_moments(jobs.moments(scores, ["run", "iteration"], "score"), "run", "iteration")
-    return df.select("iteration", "count", r4("mean").alias("mean"), F.round("var", 2).alias("var"), *[r4(c).alias(c) for c in ("std", "batch_mean", "batch_std")])
+    return df.select("iteration", "count", r4("mean").alias("mean"), r4("var").alias("var"), *[r4(c).alias(c) for c in ("std", "batch_mean", "batch_std")])
 
 
 @query("stream_running_moments", "f13", CUMULATIVE)
@@ -36,7 +37,7 @@ def _(spark, sf):
     folder = shared_folder(spark, "moments")
     jobs.accumulate_moments(scores_of(event_stream(spark, sf)), ["run", "iteration"], "score", f"{folder}/table", f"{folder}/progress").awaitTermination()
     df = jobs.running_moments(spark.read.parquet(f"{folder}/table"), "run", "iteration")
-    return df.select("iteration", "count", r4("mean").alias("mean"), F.round("var", 2).alias("var"), *[r4(c).alias(c) for c in ("std", "batch_mean", "batch_std")])
+    return df.select("iteration", "count", r4("mean").alias("mean"), r4("var").alias("var"), *[r4(c).alias(c) for c in ("std", "batch_mean", "batch_std")])
 
 
 @query("adaptive_kl_coef", "f13", """with i as (select iteration, avg(score) / 50 as kl, count(*) as n_steps from f13 group by iteration),

@@ -46,7 +46,7 @@ def nodes(spark, sf):
 
 
 def scored(spark, sf):
-    return reliable_checkpoint(trees.tree_score(nodes(spark, sf), DEPTH))
+    return reliable_checkpoint(trees.tree_score(nodes(spark, sf)))
 
 
 def chained(spark, sf):
@@ -83,7 +83,7 @@ GRADED = SCORES.rstrip().rstrip(",").replace("is_correct::double", "(answer in (
 @tree_query("tree_score_graded", "select tree_id, node_id, round(score, 9) as score from s", GRADED)
 def _(spark, sf):
     grade = F.col("answer").isin("A", "R")
-    return trees.tree_score(nodes(spark, sf), DEPTH, grade).select("tree_id", "node_id", r9("score").alias("score"))
+    return trees.tree_score(nodes(spark, sf), grade).select("tree_id", "node_id", r9("score").alias("score"))
 
 
 @tree_query("tree_advantage", "select tree_id, node_id, round(score, 9) as score, round(advantage, 9) as advantage from sa", SCORES.rstrip().rstrip(",") + " ")
@@ -286,13 +286,23 @@ def _(spark, sf):
 
 @query("tree_from_json", "f1 f2 f4", "select tree_id, node_id, parent_id, depth, expanded, answer from f4")
 def _(spark, sf):
-    docs = reliable_checkpoint(trees.tree_to_json(nodes(spark, sf), DEPTH))
-    return trees.tree_from_json(docs, "tree", DEPTH).select("tree_id", "node_id", "parent_id", "depth", "expanded", "answer")
+    """The texts of the documents are the ids of the nodes they were made of."""
+    docs = reliable_checkpoint(trees.tree_to_json(nodes(spark, sf)))
+    rows = reliable_checkpoint(trees.tree_from_json(docs, "tree"))
+    above = rows.select("tree_id", F.col("node_id").alias("parent_id"), F.col("text").alias("above"))
+    return rows.join(above, ["tree_id", "parent_id"], "left").select("tree_id", F.col("text").alias("node_id"), F.col("above").alias("parent_id"), "depth", "expanded", "answer")
 
 
-@query("tree_to_json")
+def _json_level(depth):
+    """SQL of the documents of one level, over those of the level below."""
+    below = f"(select parent_id, '[' || string_agg(doc, ', ' order by node_id) || ']' as kids from d{depth + 1} group by parent_id)" if depth < DEPTH else "(select null::varchar as parent_id, null::varchar as kids)"
+    return f"""d{depth} as (select n.tree_id, n.node_id, n.parent_id, '{{' || concat_ws(', ', '"answer": ' || to_json(n.answer)::varchar, case when n.expanded then '"children": ' || coalesce(c.kids, '[]') end,
+  '"depth": {depth}', '"text": ' || to_json(n.node_id)::varchar) || '}}' as doc from f4 n left join {below} c on n.node_id = c.parent_id where n.depth = {depth})"""
+
+
+@query("tree_to_json", "f1 f2 f4", "with " + ", ".join(_json_level(d) for d in range(DEPTH, -1, -1)) + " select tree_id, doc as tree from d0")
 def _(spark, sf):
-    return trees.tree_to_json(nodes(spark, sf), DEPTH)
+    return trees.tree_to_json(nodes(spark, sf))
 
 
 TEXT_SQL = """case when depth = 3 then 'the answer of this step is ' || coalesce(answer, 'x') || ' with score ' || is_correct::varchar else 'step ' || substr(node_id, 1, 1) || ' of tree ' || (tree_id % 7)::varchar || ' has ' || length(node_id)::varchar || ' letters' end"""

@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkroll.skew import neighbour, rank_by_id, rank_in_group
+from sparkroll.skew import neighbour, rank_in_group
 
 # Fixed value: the directory name of a checkpoint.
 NAME = r"^ckpt--iter_(\d+)--epoch_(\d+)--step_(\d+)$"
 
 
 def parse_names(df: DataFrame, name: str = "name") -> DataFrame:
-    return df.withColumns({c: F.regexp_extract(name, NAME, g).cast("bigint") for g, c in enumerate(["p_iter", "p_epoch", "p_step"], 1)})
+    """The numbers of each name; null for a name of another form."""
+    return df.withColumns({c: F.regexp_extract(name, NAME, g).try_cast("bigint") for g, c in enumerate(["p_iter", "p_epoch", "p_step"], 1)})
 
 
 def last_checkpoint(df: DataFrame, name: str = "name") -> DataFrame:
-    return parse_names(df, name).agg(F.max_by(name, F.struct("p_iter", "p_epoch", "p_step")).alias("last_name"))
+    return parse_names(df, name).where("p_iter is not null").agg(F.max_by(name, F.struct("p_iter", "p_epoch", "p_step")).alias("last_name"))
 
 
 def every_nth_keep_last(df: DataFrame, n: int, name: str = "name") -> DataFrame:
-    """Each n-th checkpoint in the order of its parsed name, and always the last."""
-    size = df.count()
-    parsed = parse_names(df, name)
-    # iteration, epoch and step packed into one sortable integer
-    key = (F.col("p_iter") * (1 << 16) + F.col("p_epoch")) * (1 << 28) + F.col("p_step")
-    ranked = rank_by_id(parsed.withColumn("__k", key), "__k", "pos").drop("__k")
+    """Each n-th checkpoint in the order of its parsed name, and always the last; names of another form are no checkpoints."""
+    parsed = parse_names(df, name).where("p_iter is not null")
+    size = parsed.count()
+    ranked = rank_in_group(parsed, [], [F.col(c) for c in ("p_iter", "p_epoch", "p_step", name)], "pos", hot=True)
     return ranked.where((F.col("pos") % n == 0) | (F.col("pos") == size - 1))
 
 

@@ -1,7 +1,7 @@
 """Episode tables: length filter, row checks, padding into batches, reports.
 
-Tokens stay rows until an episode is known to be short enough: arrays are only
-collected below `max_seq_len`, which bounds every collected group.
+Padding takes every episode it is given; which ones are short enough for a model
+is the business of `filter_long_episodes`.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from sparkroll.skew import rank_by_id
 EPISODE = "episode_id"
 # Fixed values of the padded positions.
 PAD_ID, IGNORED_LABEL, PAD_LOGPROB = 0, -100, -1e9
+# An array of more tokens than this is taken for a mistake in the data.
+MOST_TOKENS = 10_000_000
 
 
 def lengths(tokens: DataFrame) -> DataFrame:
@@ -39,12 +41,12 @@ def validate(tokens: DataFrame, reward: Column, scores: Column) -> DataFrame:
     return checks.withColumn("valid", F.col("has_query") & F.col("has_response") & F.col("advantages_match"))
 
 
-def collect_short(tokens: DataFrame, max_seq_len: int, columns: Mapping[str, Column]) -> DataFrame:
-    """One row per episode of at most max_seq_len tokens, its columns as arrays in token order."""
-    short = lengths(tokens).where(F.col("len") <= max_seq_len)
-    picked = tokens.select(EPISODE, "t", *[c.alias(n) for n, c in columns.items()]).join(short.select(EPISODE, "len", "response_len"), EPISODE)
-    rows = picked.groupBy(EPISODE, "len", "response_len").agg(F.array_sort(F.collect_list(F.struct("t", *columns))).alias("rows"))
-    return rows.select(EPISODE, "len", "response_len", *[F.col(f"rows.{n}").alias(n) for n in columns])
+def collect_tokens(tokens: DataFrame, columns: Mapping[str, Column], most: int = MOST_TOKENS) -> DataFrame:
+    """One row per episode, its columns as arrays in token order; an episode of more than `most` tokens raises."""
+    rows = tokens.select(EPISODE, "t", "is_action", *[c.alias(n) for n, c in columns.items()]).groupBy(EPISODE).agg(
+        F.count(F.lit(1)).alias("len"), F.count_if("is_action").alias("response_len"), F.array_sort(F.collect_list(F.struct("t", *columns))).alias("rows"))
+    held = F.when(F.col("len") <= most, F.col("len")).otherwise(F.raise_error(F.lit(f"an episode has more than {most} tokens")).cast("bigint"))
+    return rows.select(EPISODE, held.alias("len"), "response_len", *[F.col(f"rows.{n}").alias(n) for n in columns])
 
 
 def in_batches(sizes: DataFrame, key: str, batch_size: int) -> DataFrame:
@@ -59,14 +61,13 @@ def pad(values: Column, to: Column, filler: Column) -> Column:
     return F.concat(values, F.array_repeat(filler, F.greatest(to - F.size(values), F.lit(0))))
 
 
-def pad_batches(tokens: DataFrame, token_id: Column, batch_size: int, max_seq_len: int) -> DataFrame:
+def pad_batches(tokens: DataFrame, token_id: Column, batch_size: int) -> DataFrame:
     """Input ids, labels, mask, advantages, shifted log-probs and values of every episode, padded to its batch."""
     action = F.col("is_action")
-    arrays = collect_short(tokens, max_seq_len, {
+    arrays = collect_tokens(tokens, {
         "ids": token_id, "labels": F.when(action, token_id).otherwise(IGNORED_LABEL), "adv": F.when(action, F.col("advantage")).otherwise(0.0),
         "lp": F.col("actor_lp"), "values": F.col("value")})
-    short = lengths(tokens).where(F.col("len") <= max_seq_len)
-    rows = arrays.join(in_batches(short, EPISODE, batch_size), EPISODE)
+    rows = arrays.join(in_batches(lengths(tokens), EPISODE, batch_size), EPISODE)
     size = F.col("max_len")
     query_len = F.col("len") - F.col("response_len")
     # log-probs are those of the next token: the first kept one is at the last query position
@@ -82,25 +83,24 @@ def pad_batches(tokens: DataFrame, token_id: Column, batch_size: int, max_seq_le
     )
 
 
-def pair_arrays(tokens: DataFrame, token_id: Column, max_seq_len: int) -> DataFrame:
+def pair_arrays(tokens: DataFrame, token_id: Column) -> DataFrame:
     """Accept (even) and reject (odd) episodes of each pair; pairs with a missing half are left out."""
-    arrays = collect_short(tokens, max_seq_len, {"ids": token_id, "labels": F.when(F.col("is_action"), token_id).otherwise(IGNORED_LABEL)})
+    arrays = collect_tokens(tokens, {"ids": token_id, "labels": F.when(F.col("is_action"), token_id).otherwise(IGNORED_LABEL)})
     pair = F.floor(F.col(EPISODE) / 2).alias("pair_id")
     accept = arrays.where(F.col(EPISODE) % 2 == 0).select(pair, F.col("ids").alias("accept_ids"), F.col("labels").alias("accept_labels"))
     reject = arrays.where(F.col(EPISODE) % 2 == 1).select(pair, F.col("ids").alias("reject_ids"), F.col("labels").alias("reject_labels"))
     return accept.join(reject, "pair_id")
 
 
-def pair_sizes(tokens: DataFrame, max_seq_len: int) -> DataFrame:
+def pair_sizes(tokens: DataFrame) -> DataFrame:
     """The longer side of every complete pair, from token counts."""
-    short = lengths(tokens).where(F.col("len") <= max_seq_len)
-    pairs = short.groupBy(F.floor(F.col(EPISODE) / 2).alias("pair_id")).agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("sides"))
+    pairs = lengths(tokens).groupBy(F.floor(F.col(EPISODE) / 2).alias("pair_id")).agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("sides"))
     return pairs.where("sides = 2")
 
 
-def pad_pair_batches(tokens: DataFrame, token_id: Column, batch_size: int, max_seq_len: int) -> DataFrame:
+def pad_pair_batches(tokens: DataFrame, token_id: Column, batch_size: int) -> DataFrame:
     """One maximal length over both sides of a batch."""
-    rows = pair_arrays(tokens, token_id, max_seq_len).join(in_batches(pair_sizes(tokens, max_seq_len), "pair_id", batch_size), "pair_id")
+    rows = pair_arrays(tokens, token_id).join(in_batches(pair_sizes(tokens), "pair_id", batch_size), "pair_id")
     sides = []
     for side in ("accept", "reject"):
         sides += [
@@ -111,9 +111,9 @@ def pad_pair_batches(tokens: DataFrame, token_id: Column, batch_size: int, max_s
     return rows.select("pair_id", "batch", "max_len", *sides)
 
 
-def pad_stacked_pairs(tokens: DataFrame, token_id: Column, batch_size: int, max_seq_len: int) -> DataFrame:
+def pad_stacked_pairs(tokens: DataFrame, token_id: Column, batch_size: int) -> DataFrame:
     """Chosen rows, then rejected rows of a batch as one stack of twice the size; all labels ignored."""
-    rows = pair_arrays(tokens, token_id, max_seq_len).join(in_batches(pair_sizes(tokens, max_seq_len), "pair_id", batch_size), "pair_id")
+    rows = pair_arrays(tokens, token_id).join(in_batches(pair_sizes(tokens), "pair_id", batch_size), "pair_id")
     both = F.array(F.struct(F.lit(0).alias("side"), F.col("accept_ids").alias("ids")), F.struct(F.lit(1).alias("side"), F.col("reject_ids").alias("ids")))
     stacked = rows.select("pair_id", "batch", "pos", "max_len", "members", F.inline(both))
     return stacked.select(
@@ -121,9 +121,9 @@ def pad_stacked_pairs(tokens: DataFrame, token_id: Column, batch_size: int, max_
         pad(F.col("ids"), F.col("max_len"), F.lit(PAD_ID)).alias("input_ids"), F.array_repeat(F.lit(IGNORED_LABEL), F.col("max_len")).alias("labels"))
 
 
-def sample_report(tokens: DataFrame, seed: int, n: int, max_seq_len: int, columns: Mapping[str, Column]) -> DataFrame:
+def sample_report(tokens: DataFrame, seed: int, n: int, columns: Mapping[str, Column]) -> DataFrame:
     """A seeded sample of episodes with their columns joined to text, for the log."""
-    ids = lengths(tokens).where(F.col("len") <= max_seq_len).orderBy(seeded(seed, EPISODE), EPISODE).limit(n).select(EPISODE)
-    arrays = collect_short(tokens.join(ids, EPISODE, "left_semi"), max_seq_len, columns)
+    ids = lengths(tokens).orderBy(seeded(seed, EPISODE), EPISODE).limit(n).select(EPISODE)
+    arrays = collect_tokens(tokens.join(ids, EPISODE, "left_semi"), columns)
     return arrays.select(EPISODE, F.col("len").alias("instance_length"), *[F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c) for c in columns])
 

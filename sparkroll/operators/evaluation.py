@@ -86,18 +86,12 @@ def mc_value(requests: DataFrame, rollouts: DataFrame, penalty: float = 0.0, key
 
 def mc_rollout_metrics(rollouts: DataFrame) -> DataFrame:
     """Means over requests; the reward spread counts only requests with more than one rollout."""
-    by_answer = rollouts.groupBy(QUESTION, "answer").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum((F.col("finish_reason") == "length").cast("bigint")).alias("cut"),
-        F.sum("reward").alias("s"),
-        F.sum(F.col("reward") * F.col("reward")).alias("ss"),
-    )
-    n = F.sum("n")
-    per_request = by_answer.groupBy(QUESTION).agg(
-        n.alias("n"), (F.sum("cut") / n).alias("trunc"), (F.count(F.lit(1)) / n).alias("unique"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
-    )
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))
+    n = F.count(F.lit(1))
+    answers = F.count_distinct("answer") + F.max(F.col("answer").isNull().cast("int"))
+    per_request = rollouts.groupBy(QUESTION).agg(
+        n.alias("n"), (F.count_if(F.col("finish_reason") == "length") / n).alias("trunc"), (answers / n).alias("unique"),
+        F.avg("reward").alias("mean"), F.stddev_pop("reward").alias("std"))
+    mean, std = F.col("mean"), F.col("std")
     length = wald_ci_length(mean, F.col("n"))  # undefined where rewards leave [0, 1]
     return per_request.agg(
         F.avg("trunc").alias("mc_roll_trunc_frac"),

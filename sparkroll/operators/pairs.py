@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkroll.operators.bleu import MAX_N, WORDS
-from sparkroll.operators.sampling import systematic_picks
+from sparkroll.operators.sampling import permuted_picks
 from sparkroll.session import reliable_checkpoint
 from sparkroll.skew import has_hot_group, rank_in_group, running, with_group_stats
 
@@ -35,7 +35,7 @@ def dpo_pairs(rewarded: DataFrame, threshold: float, max_pairs: int, seed: int)
     sided = rewarded.withColumn("accepted", F.col("reward") >= threshold)
     placed = rank_in_group(sided, [QUESTION, "accepted"], [F.col("rollout_idx")], "side_pos")
     sizes = rewarded.groupBy(QUESTION).agg(F.count_if(F.col("reward") >= threshold).alias("a"), F.count_if(F.col("reward") < threshold).alias("r"))
-    picks = sizes.where("a > 0 and r > 0").select(QUESTION, "r", F.explode(systematic_picks(F.col("a") * F.col("r"), max_pairs, seed, QUESTION)).alias("pair"))
+    picks = sizes.where("a > 0 and r > 0").select(QUESTION, "r", F.explode(permuted_picks(F.col("a") * F.col("r"), max_pairs, seed, QUESTION)).alias("pair"))
     picks = picks.select(QUESTION, "pair", F.expr("pair div r").alias("accept_pos"), (F.col("pair") % F.col("r")).alias("reject_pos"))
     accepted = placed.where("accepted").select(QUESTION, F.col("side_pos").alias("accept_pos"), F.col("rollout_idx").alias("accept_idx"))
     rejected = placed.where("not accepted").select(QUESTION, F.col("side_pos").alias("reject_pos"), F.col("rollout_idx").alias("reject_idx"))

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkroll.functions.arrays import let
 from sparkroll.skew import rank_by_hash, rank_by_id, seeded, with_group_stats
 
 
@@ -149,18 +148,21 @@ def union_shards(shards: Sequence[DataFrame], shard_names: Sequence[int] | None
     return merged
 
 
-def systematic_picks(size: Column, wanted: int, seed: int | Column, *key: str) -> Column:
+# Primes from which the stride of a permutation is drawn; one that does not divide the size has no common factor with it.
+STRIDES = (1000000000039, 1000000000061, 1000000000063, 1000000000091, 1000000000121, 1000000000163, 1000000000169, 1000000000177)
+
+
+def permuted_picks(size: Column, wanted: int, seed: int | Column, *key: str) -> Column:
     """min(size, wanted) distinct positions of [0, size), each equally likely, as an array.
 
-    Evenly spaced picks from a seeded start: no list of the whole range is built.
+    The first positions of the permutation start + j * stride modulo size, with start
+    and stride drawn by the seed. For pairs numbered first * n + second the second
+    halves differ as long as there are any left: the stride has no common factor with n. No list of the range is built.
     """
+    digest = seeded(seed, *key)
     count = F.least(size, F.lit(wanted)).cast("bigint")
-    start = F.pmod(F.conv(F.substring(seeded(seed, *key), 1, 12), 16, 10).cast("bigint"), size)
-    picks = let(
-        F.struct(start.alias("start"), count.alias("count"), size.alias("size")),
-        lambda v: F.transform(
-            F.sequence(F.lit(0).cast("bigint"), v["count"] - 1),
-            lambda j: F.pmod(v["start"] + (j * v["size"] - F.pmod(j * v["size"], v["count"])) / v["count"], v["size"]).cast("bigint"),
-        ),
-    )
-    return F.when(count > 0, picks).otherwise(F.array().cast("array<bigint>"))
+    start = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint"), size)
+    usable = F.filter(F.array(*[F.lit(p) for p in STRIDES]), lambda p: p % size != 0)
+    stride = F.element_at(usable, (F.pmod(F.conv(F.substring(digest, 13, 8), 16, 10).cast("bigint"), F.size(usable)) + 1).cast("int"))
+    picks = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), lambda j: F.pmod(start + j * F.pmod(stride, size), size).cast("bigint"))
+    return F.when(count > 0, F.when(size == 1, F.array(F.lit(0).cast("bigint"))).otherwise(picks)).otherwise(F.array().cast("array<bigint>"))

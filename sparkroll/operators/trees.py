@@ -1,9 +1,9 @@
 """Reasoning trees as an adjacency table, worked level by level.
 
 Columns: tree_id, node_id, parent_id, depth, expanded, answer, is_correct, and
-any others. Depth is bounded by the tree configuration, so a level is one
-filtered scan, and chains from the root are arrays of at most max_depth + 1
-structs. Wide nodes and big trees stay spread: children meet their parent by an
+any others. A level is one filtered scan, and there are as many as the deepest
+node has; `max_depth` only says how deep a tree was meant to be, for weights and
+repeats. Chains from the root are arrays of one struct a level. Wide nodes and big trees stay spread: children meet their parent by an
 equi-join and are averaged with map-side combine. A level feeds both the result
 and the next level, so it is stored once in the checkpoint folder: nothing is
 computed twice and a lost executor costs one level at most.
@@ -11,30 +11,35 @@ computed twice and a lost executor costs one level at most.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkroll.functions.arrays import last
 from sparkroll.operators.bleu import group_bleu
 from sparkroll.operators.sampling import sample_per_group
 from sparkroll.session import reliable_checkpoint
-from sparkroll.skew import has_hot_group, rank_in_group
+from sparkroll.skew import rank_in_group
 
 
 def level(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.where(F.col("depth") == depth)
 
 
-def tree_score(nodes: DataFrame, max_depth: int, correct: Column | None = None) -> DataFrame:
+def deepest(nodes: DataFrame) -> int:
+    """Depth of the deepest node: the levels are those of the data, whatever depth the trees were meant to have."""
+    return nodes.agg(F.max("depth")).first()[0] or 0
+
+
+def tree_score(nodes: DataFrame, correct: Column | None = None) -> DataFrame:
     """Score of every node: its grade if answered, else the unweighted mean of its children, 0 without any."""
     grade = F.coalesce((F.col("is_correct") if correct is None else correct).cast("double"), F.lit(0.0))
     answered = F.col("answer").isNotNull()
-    levels = [level(nodes, max_depth).withColumn("score", F.when(answered, grade).otherwise(0.0))]
-    for depth in range(max_depth - 1, -1, -1):
+    bottom = deepest(nodes)
+    levels = [level(nodes, bottom).withColumn("score", F.when(answered, grade).otherwise(0.0))]
+    for depth in range(bottom - 1, -1, -1):
         means = levels[-1].groupBy("tree_id", "parent_id").agg(F.avg("score").alias("__mean")).select(
             F.col("tree_id").alias("__tree"), F.col("parent_id").alias("__node"), "__mean")
         here = level(nodes, depth).join(means, (F.col("tree_id") == F.col("__tree")) & (F.col("node_id") == F.col("__node")), "left")
@@ -69,7 +74,8 @@ def chains(nodes: DataFrame, max_depth: int, fields: Sequence[str], branch_facto
     roots = level(nodes, 0)
     nothing = F.lit(None)
     levels = [roots.select(*base, F.array(entry(nothing, F.col("answer").isNull())).alias("chain"), F.array("node_id").alias("path_key"))]
-    for depth in range(1, max_depth + 1):
+    bottom = deepest(nodes)
+    for depth in range(1, bottom + 1):
         children = level(nodes, depth)
         if depth == 1 and keep_child is not None:
             children = keep_child(children)
@@ -79,7 +85,7 @@ def chains(nodes: DataFrame, max_depth: int, fields: Sequence[str], branch_facto
         advantage = F.when(parent["open"], F.col("score") - parent["score"]) if scored else nothing
         mine = entry(advantage, parent["open"] & F.col("answer").isNull())
         here = joined.select(*base, F.concat("__chain", F.array(mine)).alias("chain"), F.concat("__key", F.array("node_id")).alias("path_key"))
-        levels.append(reliable_checkpoint(here) if depth < max_depth else here)
+        levels.append(reliable_checkpoint(here) if depth < bottom else here)
     return _union(levels)
 
 
@@ -182,43 +188,42 @@ def tree_bleu(nodes: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return per_node, summary
 
 
-def json_schema(max_depth: int) -> T.StructType:
-    """The nested node type down to max_depth; `children` is null where the key is missing."""
-    fields = [
-        T.StructField("text", T.StringType()), T.StructField("depth", T.LongType()), T.StructField("answer", T.StringType()), T.StructField("finish_reason", T.StringType()),
-    ]
-    if max_depth == 0:
-        # one level deeper than allowed would be lost silently: keep its presence
-        return T.StructType([*fields, T.StructField("children", T.ArrayType(T.StringType()))])
-    return T.StructType([*fields, T.StructField("children", T.ArrayType(json_schema(max_depth - 1)))])
+NODE_FIELDS = {"answer": "string", "finish_reason": "string"}
 
 
-def tree_from_json(docs: DataFrame, column: str, max_depth: int) -> DataFrame:
-    """JSON trees to node rows; invalid documents are dropped, an empty child list still counts as expanded."""
-    parsed = docs.select("tree_id", F.from_json(column, json_schema(max_depth)).alias("n")).where("n.text is not null")
-    rows, parts = parsed.withColumns({"parent_id": F.lit(None).cast("string"), "child_idx": F.lit(0)}), []
-    for depth in range(max_depth + 1):
-        parts.append(rows.select(
-            "tree_id", F.col("n.text").alias("node_id"), "parent_id", F.lit(depth).cast("bigint").alias("depth"), F.col("child_idx").cast("bigint").alias("child_idx"),
-            F.col("n.children").isNotNull().alias("expanded"), F.col("n.answer").alias("answer"), F.col("n.finish_reason").alias("finish_reason")))
-        if depth < max_depth:
-            rows = rows.select("tree_id", F.col("n.text").alias("parent_id"), F.posexplode("n.children").alias("child_idx", "n"))
-    return _union(parts)
-
-
-def tree_to_json(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """One sorted-key JSON document per tree; a tree too large for one document raises."""
-    if has_hot_group(nodes, ["tree_id"]):
-        raise ValueError("a tree is too large for one JSON document; keep it as rows")
+def tree_from_json(docs: DataFrame, column: str, fields: Mapping[str, str] = NODE_FIELDS) -> DataFrame:
+    """JSON trees of any depth to node rows; invalid documents are dropped, an empty child list still counts as expanded.
 
+    A node's id is the path of its child indexes, so equal texts are different nodes; `fields` names what else
+    is read of a node, with types. Each level is parsed one node deep; the documents of the next one
+    stay text, and are stored so that no level is parsed again for those below.
+    """
+    schema = ", ".join(["text string", *[f"`{n}` {t}" for n, t in fields.items()], "children array<string>"])
+    rows = docs.select("tree_id", F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("bigint").alias("child_idx"), F.from_json(column, schema).alias("n"))
+    rows, parts, depth = rows.where("n.text is not null"), [], 0
+    while True:
+        parts.append(rows.select(
+            "tree_id", "node_id", "parent_id", F.lit(depth).cast("bigint").alias("depth"), "child_idx", F.col("n.text").alias("text"),
+            F.col("n.children").isNotNull().alias("expanded"), *[F.col(f"n.{n}").alias(n) for n in fields]))
+        below = rows.select("tree_id", "node_id", F.posexplode("n.children").alias("pos", "doc"))
+        below = reliable_checkpoint(below)
+        if below.isEmpty():
+            return _union(parts)
+        rows = below.select(
+            "tree_id", F.concat_ws(".", "node_id", "pos").alias("node_id"), F.col("node_id").alias("parent_id"), F.col("pos").cast("bigint").alias("child_idx"), F.from_json("doc", schema).alias("n"))
+        depth += 1
+
+
+def tree_to_json(nodes: DataFrame, text: str = "node_id", fields: Sequence[str] = ("answer",)) -> DataFrame:
+    """One sorted-key JSON document per tree, of whatever depth: text, depth, children, and the given string columns."""
     below = None
-    for depth in range(max_depth, -1, -1):
+    for depth in range(deepest(nodes), -1, -1):
         here = level(nodes, depth)
         children: Column = F.when(F.col("expanded"), F.lit("[]"))
         if below is not None:
             here = here.join(below, (F.col("tree_id") == F.col("__tree")) & (F.col("node_id") == F.col("__node")), "left")
             children = F.when(F.col("expanded"), F.coalesce("__children", F.lit("[]")))
-        doc = _object({"answer": _string(F.col("answer")), "children": children, "depth": F.col("depth").cast("string"), "text": _string(F.col("node_id"))})
+        doc = _object({**{f: _string(F.col(f)) for f in fields}, "children": children, "depth": F.col("depth").cast("string"), "text": _string(F.col(text))})
         here = here.select("tree_id", "node_id", "parent_id", doc.alias("doc"))
         if depth == 0:
             return here.select("tree_id", F.col("doc").alias("tree"))

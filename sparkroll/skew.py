@@ -36,13 +36,13 @@ def hot_limit(df: DataFrame) -> int:
 def has_hot_group(df: DataFrame, keys: Sequence[str]) -> bool:
     """True if a group of `keys` has more rows than one window task should hold.
 
-    Measured once per session and source: the optimised plan of the count is the
+    Measured once per session and set of source files: the optimised plan of the count is the
     same for all frames that differ only in columns the count does not need.
     """
     limit = hot_limit(df)
     sizes = df.groupBy(*keys).count()
     plan = sizes._jdf.queryExecution().optimizedPlan().semanticHash()
-    memo = (df.sparkSession.sparkContext.applicationId, plan, limit)
+    memo = (df.sparkSession.sparkContext.applicationId, plan, tuple(sorted(df.inputFiles())), limit)
     if memo not in _measured:
         _measured[memo] = bool(sizes.where(F.col("count") > limit).take(1))
     return _measured[memo]
@@ -90,17 +90,17 @@ def rank_by_hash(df: DataFrame, hash_col: str, tie: Sequence[str], name: str, fi
 
 
 def rank_by_id(df: DataFrame, col: str, name: str) -> DataFrame:
-    """0-based rank of the whole table by a unique integer id.
+    """0-based rank of the whole table by a unique integer id; null ids come first.
 
     Equal-width id slices when they are balanced enough, else ranges chosen by
-    Spark's range partitioner.
+    Spark's range partitioner. Slices are cut in floating point, which keeps the order of ids of any size.
     """
     low, high = df.agg(F.min(col), F.max(col)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    width = max(1, -(-(int(high) - int(low) + 1) // ID_SLICES))
-    placed = df.withColumn("__slice", F.floor((F.col(col) - F.lit(low)) / F.lit(width)))
-    # ids are unique, so a slice holds at most `width` rows
+    low, high = (0, 0) if low is None else (int(low), int(high))
+    width = max(1, -(-(high - low + 1) // ID_SLICES))
+    slice_of = F.floor((F.col(col).cast("double") - F.lit(float(low))) / F.lit(float(width))).cast("bigint")
+    placed = df.withColumn("__slice", F.coalesce(slice_of, F.lit(-1).cast("bigint")))
+    # ids are unique, so a slice holds at most about `width` rows
     if width > hot_limit(df) and has_hot_group(placed.select("__slice"), ["__slice"]):
         slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranged = df.repartitionByRange(slices, F.col(col)).withColumn("__slice", F.spark_partition_id())

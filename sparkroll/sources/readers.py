@@ -74,41 +74,34 @@ def resume_pending(requests: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return requests.join(done.select(key), key, "left_anti")
 
 
-def flatten_columns(dtype: T.DataType, path: Column, name: str, separator: str, list_size: int = 0) -> list[Column]:
-    """Leaf columns of a nested struct, named by their path; lists by index up to list_size."""
+def flatten_columns(df: DataFrame, dtype: T.DataType, path: Column, name: str, separator: str) -> list[Column]:
+    """Leaf columns of a nested struct, named by their path; lists by index, as many as the longest list in the data has."""
     if isinstance(dtype, T.StructType):
-        return [c for f in dtype.fields for c in flatten_columns(f.dataType, path[f.name], f"{name}{separator}{f.name}" if name else f.name, separator, list_size)]
+        return [c for f in dtype.fields for c in flatten_columns(df, f.dataType, path.getField(f.name), f"{name}{separator}{f.name}", separator)]
     if isinstance(dtype, T.ArrayType):
-        return [c for i in range(list_size) for c in flatten_columns(dtype.elementType, F.get(path, F.lit(i)), f"{name}{separator}{i}", separator, list_size)]
+        longest = df.agg(F.max(F.size(path))).first()[0] or 0
+        return [c for i in range(longest) for c in flatten_columns(df, dtype.elementType, F.get(path, F.lit(i)), f"{name}{separator}{i}", separator)]
     return [path.alias(name)]
 
 
-def flatten_run_records(df: DataFrame, config: str, summary: str, list_size: int) -> DataFrame:
+def flatten_run_records(df: DataFrame, config: str, summary: str) -> DataFrame:
     """Run config as `cfg__a.b` columns and run summary as `sum__a#b` columns next to the other columns."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cfg = [c for f in types[config].fields for c in flatten_columns(f.dataType, F.col(config)[f.name], f"cfg__{f.name}", ".", list_size)]
-    summ = [c for f in types[summary].fields for c in flatten_columns(f.dataType, F.col(summary)[f.name], f"sum__{f.name}", "#", list_size)]
-    return df.select(*[c for c in df.columns if c not in (config, summary)], *cfg, *summ)
+    flat = []
+    for column, prefix, separator in ((config, "cfg__", "."), (summary, "sum__", "#")):
+        for f in df.schema[column].dataType.fields:
+            flat += flatten_columns(df, f.dataType, F.col(column).getField(f.name), f"{prefix}{f.name}", separator)
+    return df.select(*[c for c in df.columns if c not in (config, summary)], *flat)
 
 
 def flatten_metrics(df: DataFrame, column: str, keys: Sequence[str], delimiter: str = "/") -> DataFrame:
-    """Nested metrics as (key, value) rows, null as the text "None"."""
-    dtype = df.schema[column].dataType
-    leaves = _leaf_paths(dtype, "", delimiter)
-    pairs = [F.struct(F.lit(name).alias("key"), F.coalesce(_at(F.col(column), name, delimiter).cast("string"), F.lit("None")).alias("value")) for name in leaves]
-    return df.select(*keys, F.inline(F.array(*pairs)))
+    """Nested metrics as (key, value) rows, null as the text "None". Field names may hold the delimiter."""
 
+    def leaves(dtype: T.DataType, path: Column, names: list[str]) -> list[Column]:
+        if isinstance(dtype, T.StructType):
+            return [c for f in dtype.fields for c in leaves(f.dataType, path.getField(f.name), [*names, f.name])]
+        return [F.struct(F.lit(delimiter.join(names)).alias("key"), F.coalesce(path.cast("string"), F.lit("None")).alias("value"))]
 
-def _leaf_paths(dtype: T.DataType, name: str, delimiter: str) -> list[str]:
-    if not isinstance(dtype, T.StructType):
-        return [name]
-    return [p for f in dtype.fields for p in _leaf_paths(f.dataType, f"{name}{delimiter}{f.name}" if name else f.name, delimiter)]
-
-
-def _at(root: Column, path: str, delimiter: str) -> Column:
-    for part in path.split(delimiter):
-        root = root[part]
-    return root
+    return df.select(*keys, F.inline(F.array(*leaves(df.schema[column].dataType, F.col(column), []))))
 
 
 def server_log_stats(lines: DataFrame, line: str = "line") -> DataFrame:

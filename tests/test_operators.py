@@ -8,8 +8,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sparkroll.functions import extraction, grading, normalize, steps, text
-from sparkroll.operators import bleu, containment, credit, evaluation, fewshot, forecasting, logprobs, pairs, paths, sampling, trees
+from sparkroll.operators import bleu, checkpoints, containment, credit, episodes, evaluation, fewshot, forecasting, logprobs, pairs, paths, sampling, trees
 from sparkroll.plugins import Registry, model_score_batch, row_generator
+from sparkroll.skew import rank_by_id
 from sparkroll.sources import readers, writers
 from sparkroll.streaming import jobs
 
@@ -112,7 +113,7 @@ NODES = [  # an answered inner node, an expanded node without children, a leaf w
 @pytest.fixture(scope="module")
 def chained(spark):
     nodes = spark.createDataFrame(NODES, "tree_id int, node_id string, parent_id string, depth int, expanded boolean, answer string, is_correct int")
-    return trees.chains(trees.tree_score(nodes, 2), 2, ["node_id", "depth", "answer", "is_correct", "score"], branch_factor=3)
+    return trees.chains(trees.tree_score(nodes), 2, ["node_id", "depth", "answer", "is_correct", "score"], branch_factor=3)
 
 
 def test_scores_are_means_of_means(chained):
@@ -148,17 +149,87 @@ def test_path_rewrites(spark):
 
 
 def test_tree_json(spark):
+    leaf = {"text": "same", "depth": 2}
     docs = [
-        (1, json.dumps({"text": "r", "depth": 0, "children": [{"text": "a", "depth": 1, "answer": "7", "children": [{"text": "x", "depth": 2}]}, {"text": "b", "depth": 1, "children": []}]})),
+        (1, json.dumps({"text": "r", "depth": 0, "children": [{"text": "a", "depth": 1, "answer": "7", "children": [leaf, leaf]}, {"text": "a", "depth": 1, "children": [], "finish_reason": "stop", "cost": 3}]})),
         (2, json.dumps({"text": "only", "depth": 0})), (3, "{broken"),
     ]
-    rows = trees.tree_from_json(spark.createDataFrame(docs, "tree_id int, tree string"), "tree", 2).collect()
-    got = {r["node_id"]: (r["parent_id"], r["depth"], r["expanded"], r["answer"]) for r in rows}
-    assert got == {"r": (None, 0, True, None), "a": ("r", 1, True, "7"), "b": ("r", 1, True, None), "x": ("a", 2, False, None), "only": (None, 0, False, None)}
-    nodes = spark.createDataFrame([(r["tree_id"], r["node_id"], r["parent_id"], r["depth"], r["expanded"], r["answer"]) for r in rows], "tree_id int, node_id string, parent_id string, depth bigint, expanded boolean, answer string")
-    back = {r["tree_id"]: json.loads(r["tree"]) for r in trees.tree_to_json(nodes, 2).collect()}
+    rows = trees.tree_from_json(spark.createDataFrame(docs, "tree_id int, tree string"), "tree", {**trees.NODE_FIELDS, "cost": "int"}).collect()
+    got = {(r["tree_id"], r["node_id"]): (r["parent_id"], r["depth"], r["text"], r["expanded"], r["answer"], r["cost"]) for r in rows}
+    assert got == {
+        (1, "0"): (None, 0, "r", True, None, None), (1, "0.0"): ("0", 1, "a", True, "7", None), (1, "0.1"): ("0", 1, "a", True, None, 3),
+        (1, "0.0.0"): ("0.0", 2, "same", False, None, None), (1, "0.0.1"): ("0.0", 2, "same", False, None, None), (2, "0"): (None, 0, "only", False, None, None),
+    }
+    nodes = spark.createDataFrame(rows)
+    back = {r["tree_id"]: json.loads(r["tree"]) for r in trees.tree_to_json(nodes, "text", ["answer", "finish_reason"]).collect()}
     assert back[2] == {"text": "only", "depth": 0}
-    assert back[1]["children"][1] == {"text": "b", "depth": 1, "children": []} and back[1]["children"][0]["children"][0]["text"] == "x"
+    assert back[1]["children"][1] == {"text": "a", "depth": 1, "children": [], "finish_reason": "stop"} and len(back[1]["children"][0]["children"]) == 2
+    # two leaves of equal text are two paths
+    chains = trees.chains(nodes, 2, ["node_id", "text"])
+    assert trees.tree_paths(chains).where("tree_id = 1").count() == 2
+
+
+def test_trees_deeper_than_meant(spark):
+    chain = [(1, f"n{d}", f"n{d - 1}" if d else None, d, d < 5, "7" if d == 5 else None, 1 if d == 5 else None) for d in range(6)]
+    nodes = spark.createDataFrame(chain, "tree_id int, node_id string, parent_id string, depth int, expanded boolean, answer string, is_correct int")
+    scored = trees.tree_score(nodes)
+    assert {r["score"] for r in scored.collect()} == {1.0}
+    paths_of = trees.tree_paths(trees.chains(scored, 2, ["node_id", "score"])).collect()
+    assert [len(r["chain"]) for r in paths_of] == [6]
+
+
+def test_padding_keeps_long_episodes(spark):
+    rows = [(e, t, t > 0, -0.5, 0.1, 0.2) for e, n in ((1, 3), (2, 40)) for t in range(n)]
+    tokens = spark.createDataFrame(rows, "episode_id bigint, t bigint, is_action boolean, actor_lp double, advantage double, value double")
+    padded = episodes.pad_batches(tokens, F.col("t").cast("int"), 2).collect()
+    assert {(r["episode_id"], len(r["input_ids"]), sum(r["attention_mask"])) for r in padded} == {(1, 40, 3), (2, 40, 40)}
+    with pytest.raises(PySparkException):
+        episodes.collect_tokens(tokens, {"ids": F.col("t")}, most=10).collect()
+
+
+def test_ranks_of_null_and_wide_ids(spark):
+    ids = [None, -(2**63), -5, 0, 3, 2**62, 2**63 - 1]
+    ranked = rank_by_id(spark.createDataFrame([(i,) for i in ids], "id bigint"), "id", "pos").collect()
+    assert sorted((r["pos"], r["id"]) for r in ranked) == list(enumerate(ids))
+    assert rank_by_id(spark.createDataFrame([(None,), (None,)], "id bigint"), "id", "pos").count() == 2
+
+
+def test_ragged_lists_and_odd_names_are_flattened(spark):
+    df = spark.createDataFrame([(1, {"l": [1, 2, 3, 4], "eval/acc": 0.5}), (2, {"l": [], "eval/acc": None})], "id int, m struct<l:array<int>,`eval/acc`:double>")
+    flat = readers.flatten_run_records(df.select("id", F.col("m").alias("c"), F.struct("id").alias("s")), "c", "s").orderBy("id").collect()
+    assert [flat[0][f"cfg__l.{k}"] for k in range(4)] == [1, 2, 3, 4] and flat[1]["cfg__l.3"] is None
+    metrics = readers.flatten_metrics(df.select("id", F.struct(F.col("m").getField("eval/acc").alias("eval/acc")).alias("m")), "m", ["id"]).collect()
+    assert {(r["id"], r["key"], r["value"]) for r in metrics} == {(1, "eval/acc", "0.5"), (2, "eval/acc", "None")}
+
+
+def test_checkpoints_of_other_names(spark):
+    names = ["ckpt--iter_0002--epoch_70000--step_1", "other", "ckpt--iter_0001--epoch_1--step_900000000", "ckpt--iter_0001--epoch_2--step_1"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert {r["name"]: r["pos"] for r in checkpoints.every_nth_keep_last(df, 1).collect()} == {names[2]: 0, names[3]: 1, names[0]: 2}
+    assert checkpoints.last_checkpoint(df).first()["last_name"] == names[0]
+
+
+def test_variance_far_from_zero(spark):
+    scores = spark.createDataFrame([("m", i // 2, 1e9 + 0.1 * i) for i in range(5)], "run string, iteration bigint, score double")
+    last = jobs.running_moments(jobs.moments(scores, ["run", "iteration"], "score"), "run", "iteration").orderBy("iteration").collect()[-1]
+    assert last["var"] == pytest.approx(0.02, rel=1e-4) and last["mean"] == pytest.approx(1e9 + 0.2)
+    whole = jobs.episode_metrics(jobs.moments(scores, ["run", "iteration"], "score"), ["run"]).first()
+    assert whole["score_std"] == pytest.approx(0.02**0.5, rel=1e-4) and whole["episodes"] == 5
+
+
+def test_kl_coefficient_with_negative_and_zero_updates(spark):
+    rows = [("m", i, kl, n) for i, (kl, n) in enumerate([(0.0, 20), (0.0, 20), (0.0, 10), (1.0, 5), (1.0, 5)])]
+    df = spark.createDataFrame(rows, "run string, iteration bigint, kl double, n_steps bigint")
+    got = [r["kl_coef"] for r in jobs.adaptive_kl_coef(df, "run", "iteration", 0.5, 1.0, 2.0).orderBy("iteration").collect()]
+    # updates: 1 - 0.2 * 20 / 2 = -1, -1, 0, 1, 1
+    assert got == pytest.approx([0.5, -0.5, 0.5, 0.0, 0.0])
+
+
+def test_pairs_use_both_sides(spark):
+    rows = [(1, i, 1.0 if i < 4 else 0.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "question_id int, rollout_idx int, reward double")
+    got = pairs.dpo_pairs(df, 0.5, 4, 3).collect()
+    assert len(got) == 4 and len({r["reject_idx"] for r in got}) == 4
 
 
 def test_expand_frontier_closes_nodes(spark):
@@ -236,8 +307,14 @@ def test_prose_steps_cover_the_text():
     assert all(p for p in steps.lossy_pieces(raw))
 
 
-def test_boxed():
-    assert extraction.boxed_contents(r"\boxed{\frac{1}{2}} and \boxed{3}% and \boxed{open") == [r"\frac{1}{2}", "3}"]
+def test_boxed(spark):
+    assert one(spark, extraction.extract_boxed(F.col("t")), t=r"\boxed{\frac{1}{2}} and \boxed{3}% and \boxed{open") == [r"\frac{1}{2}", "3}"]
+    assert one(spark, extraction.extract_boxed(F.col("t")), t="boxed{}boxed{a}% boxed{b {c}}{d}") == ["", "a}", "b {c}"]
+
+
+def test_formula_spans():
+    raw = r"a $x$ b \(y $ z\) c $$d$$ \begin{e}f\end{e} costs \$5 and [asy] g [/asy] $ open"
+    assert [raw[a:b] for a, b in steps.formula_spans(raw)] == ["$x$", r"\(y $ z\)", "$$d$$", r"\begin{e}f\end{e}", "[asy] g [/asy]"]
 
 
 def test_tokens_partition_any_text(spark):

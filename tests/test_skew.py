@@ -103,8 +103,8 @@ def test_concordant_pairs_with_ties(spark, hot):
     assert 3 not in got
 
 
-def test_systematic_picks_are_distinct_and_complete(spark):
-    df = spark.range(1, 60).select("id", sampling.systematic_picks(F.col("id"), 7, 3, "id").alias("p"))
+def test_permuted_picks_are_distinct_and_complete(spark):
+    df = spark.range(1, 60).select("id", sampling.permuted_picks(F.col("id"), 7, 3, "id").alias("p"))
     for r in df.collect():
         assert len(set(r["p"])) == len(r["p"]) == min(7, r["id"])
         assert all(0 <= x < r["id"] for x in r["p"])
