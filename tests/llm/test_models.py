@@ -95,7 +95,9 @@ def test_ftrl_learns_and_stays_sparse():
     target = rng.integers(0, 2, 400).astype(float)
     samples = [(np.array([3 if y else 4, 100 + int(rng.integers(50))]), np.array([1.0, 1.0])) for y in target]
     model = quality.fit(samples, target, 0)
-    assert model.weights[3] > 1 and model.weights[4] < -1 and np.count_nonzero(model.weights) <= 52
+    z = [model.bias + quality.SCALE / 2 * model.weights[numbers].sum() for numbers, _ in samples]
+    assert ((np.array(z) > 1) == (target == 1)).all() and ((np.array(z) < -1) == (target == 0)).all()
+    assert model.weights[3] > 0 > model.weights[4] and np.count_nonzero(model.weights) <= 52
 
 
 def test_bounded_sample(spark):
