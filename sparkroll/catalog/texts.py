@@ -300,22 +300,24 @@ def _(spark, sf):
 
 # raw answers of orders, and what each normaliser must make of them
 FORMS = {
-    0: (r"\dfrac{K}{7}", r"\frac{K}{7}", r"\dfrac{K}{7}", r"\frac{K}{7}"),
+    0: (r"\dfrac{K}{7}", r"\frac{K}{7}", "K/7", r"\frac{K}{7}"),
     1: ("K/7", r"\frac{K}{7}", "K/7", r"\frac{K}{7}"),
     2: ("0.5", r"\frac{1}{2}", "0.5", "0.5"),
     3: ("x=K", "K", "x=K", "x=K"),
     4: (r"K\%", "K", "K", "K%"),
     5: (r"\text{Word K}", "WordK", "wordK", "WordK"),
     6: ("K cm", "Kcm", "K", "Kcm"),
-    7: (r"\sqrt3", r"\sqrt{3}", r"\sqrt3", r"\sqrt{3}"),
+    7: (r"\sqrt3", r"\sqrt{3}", "sqrt(3)", r"\sqrt{3}"),
     8: (r"K^\circ", "K", "K", "K"),
     9: ("K.0", "K.0", "K", "K"),
+    10: (r"K \frac{3}{4}", r"K\frac{3}{4}", "K+3/4", r"K\frac{3}{4}"),
+    11: (r"\sqrt{K}/2", r"\sqrt{K}/2", "sqrt(K)/2", r"\frac{\sqrt{K}}{2}"),
 }
 
 
 def forms_sql(which):
     cases = " ".join(f"when {i} then replace('{f[which]}', 'K', (o_orderkey % 50 + 2)::varchar)" for i, f in FORMS.items())
-    return f"case o_orderkey % 10 {cases} end"
+    return f"case o_orderkey % {len(FORMS)} {cases} end"
 
 
 def forms_col(which):
@@ -323,7 +325,7 @@ def forms_col(which):
     number = (key % 50 + 2).cast("string")
     out = F.lit(None).cast("string")
     for i, f in FORMS.items():
-        out = F.when(key % 10 == i, F.replace(F.lit(f[which]), F.lit("K"), number)).otherwise(out)
+        out = F.when(key % len(FORMS) == i, F.replace(F.lit(f[which]), F.lit("K"), number)).otherwise(out)
     return out
 
 
@@ -332,7 +334,7 @@ def _(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey", normalize.normalize_answer(forms_col(0)).alias("answer"))
 
 
-@query("normalize_answer_loose", "", f"select o_orderkey, case when o_orderkey % 10 = 0 then regexp_replace({forms_sql(2)}, '[{{}}]', '', 'g') else {forms_sql(2)} end as answer from orders")
+@query("normalize_answer_loose", "", f"select o_orderkey, {forms_sql(2)} as answer from orders")
 def _(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey", normalize.normalize_answer_loose(forms_col(0)).alias("answer"))
 
@@ -344,7 +346,9 @@ def _(spark, sf):
 
 # pairs of answers with the grade each must get
 GRADES = {0: (r"\frac{K}{7}", "K/7", True), 1: ("(K,2)", "(K, 2)", True), 2: ("(K,2)", "[K,2]", False), 3: ("K", "K.5", False), 4: ("2/4", "1/2", False),
-          5: ("0.25", "1/4", True), 6: ("K dollars", "K euros", False), 7: ("1,234", "1234", True), 8: (r"K\%", "K", True), 9: ("K", "K.0", True)}
+          5: ("0.25", "1/4", True), 6: ("K dollars", "K euros", False), 7: ("1,234", "1234", True), 8: (r"K\%", "K", True), 9: ("K", "K.0", True),
+          10: (r"\frac{3}{4}", "0.75", True), 11: (r"(\frac{1}{2},K)", "(0.5,K)", True), 12: ("7 3/4", "31/4", True), 13: (r"K \dfrac{1}{4}", "K.25", True), 14: (r"2\sqrt{3}", r"\sqrt{12}", True),
+          15: (r"\frac{\pi}{2}", "0.5*pi", True), 16: (r"\frac{K}{3}", "K", False), 17: (r"\sqrt{K}", "K.5", False)}
 TOLERANT = {0: ("K", "K.0004", True), 1: ("K%", "K", True), 2: ("1,234", "1234", True), 3: ("K", "K.01", False), 4: ("word", "word", True), 5: ("word", "K", False), 6: (r"50\%", "0.5", True), 7: ("K", "K00", True), 8: ("", "", True), 9: ("-K", "K", False)}
 SHAPES = {0: ("(K,0.5)", "(K, 0.5001)", True), 1: ("(K,1)", "(K,1,2)", False), 2: (r"\begin{pmatrix} 1 & K \\ 3 & 4 \end{pmatrix}", r"\begin{pmatrix}1&K\\3&4\end{pmatrix}", True),
           3: (r"[0,1] \cup (2,K)", r"(2,K)\cup[0,1]", True), 4: (r"[0,1] \cup (2,K)", r"(2,K)\cup[0,7]", False), 5: ("[1,2)", "[1,2)", True), 6: ("(1,2)", "3", False), 7: (r"\begin{pmatrix}1\\2\end{pmatrix}", r"\begin{pmatrix}1\\3\end{pmatrix}", False), 8: ("K", "K", True), 9: ("(K,7)", "[K,7]", True)}
@@ -355,13 +359,13 @@ def graded(spark, sf, table, grade):
     number = (key % 50 + 2).cast("string")
     given, truth = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (g, t, _) in table.items():
-        given = F.when(key % 10 == i, F.replace(F.lit(g), F.lit("K"), number)).otherwise(given)
-        truth = F.when(key % 10 == i, F.replace(F.lit(t), F.lit("K"), number)).otherwise(truth)
+        given = F.when(key % len(table) == i, F.replace(F.lit(g), F.lit("K"), number)).otherwise(given)
+        truth = F.when(key % len(table) == i, F.replace(F.lit(t), F.lit("K"), number)).otherwise(truth)
     return fx.table(spark, sf, "orders").select("o_orderkey", given.alias("g"), truth.alias("t")).select("o_orderkey", grade(F.col("g"), F.col("t")).alias("is_correct"))
 
 
 def grades_sql(table):
-    return "select o_orderkey, case o_orderkey % 10 " + " ".join(f"when {i} then {str(ok).lower()}" for i, (_, _, ok) in table.items()) + " end as is_correct from orders"
+    return f"select o_orderkey, case o_orderkey % {len(table)} " + " ".join(f"when {i} then {str(ok).lower()}" for i, (_, _, ok) in table.items()) + " end as is_correct from orders"
 
 
 @query("grade_normalized", "", grades_sql(GRADES))

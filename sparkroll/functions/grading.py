@@ -94,11 +94,21 @@ def _is_int(x: Column) -> Column:
     return F.coalesce(F.abs(n - F.round(n)) <= 1e-7, F.lit(False))
 
 
+# sign, whole part before +, factor, root or pi, and below a slash factor and root
+VALUE = r"^(-?)(?:(\d+)\+)?(\d+(?:\.\d*)?|\.\d+)?\*?(?:sqrt\((\d+(?:\.\d+)?)\)|(pi))?(?:/\(?(\d+(?:\.\d+)?)?\*?(?:sqrt\((\d+(?:\.\d+)?)\))?\)?)?$"
+
+
 def _value(x: Column) -> Column:
-    """Decimal, a/b or \\frac{a}{b} as a number, else null."""
-    top = F.regexp_extract(x, r"^(-?\d+)/(\d+)$", 1).try_cast("double")
-    low = F.regexp_extract(x, r"^(-?\d+)/(\d+)$", 2).try_cast("double")
-    return F.coalesce(x.try_cast("double"), F.when(low != 0, top / low))
+    """The number behind a decimal, a fraction, a mixed number, or a multiple of a root or of pi; else null."""
+
+    def part(group: int, missing: float) -> Column:
+        return F.coalesce(F.regexp_extract(x, VALUE, group).try_cast("double"), F.lit(missing))
+
+    pi = F.when(F.regexp_extract(x, VALUE, 5) == "pi", F.pi()).otherwise(1.0)
+    below = part(6, 1.0) * F.sqrt(part(7, 1.0))
+    size = part(2, 0.0) + part(3, 1.0) * F.sqrt(part(4, 1.0)) * pi / F.when(below != 0, below)
+    signed = F.when(F.regexp_extract(x, VALUE, 1) == "-", -size).otherwise(size)
+    return F.coalesce(x.try_cast("double"), F.when(x.rlike(VALUE) & x.rlike(r"^-?(\d|\.\d|sqrt|pi)") & ~x.endswith("/"), signed))
 
 
 def grade_normalized(given: Column, truth: Column) -> Column:

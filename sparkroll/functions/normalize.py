@@ -42,6 +42,15 @@ def _slash_to_frac(x: Column) -> Column:
     return F.regexp_replace(x, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
 
 
+def _plain_latex(x: Column) -> Column:
+    """Fractions as a/b, behind a number as n+a/b; roots as sqrt(a); pi and products by name."""
+    x = _brace_sqrt(_brace_frac(F.regexp_replace(x, r"\\[td]frac", r"\\frac")))
+    x = F.regexp_replace(x, r"\\sqrt\{([^{}]*)\}", "sqrt($1)")
+    x = F.regexp_replace(x, r"(\d) *\\frac\{([^{}]*)\}\{([^{}]*)\}", "$1+$2/$3")
+    x = F.regexp_replace(x, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "$1/$2")
+    return _swap(x, ("\\pi", "pi"), ("\\cdot", "*"), ("\\times", "*"), ("\\infty", "inf"))
+
+
 def _leading_zero(x: Column) -> Column:
     return F.regexp_replace(_swap(x, (" .", " 0."), ("{.", "{0.")), r"^\.", "0.")
 
@@ -73,7 +82,7 @@ def normalize_answer_loose(answer: Column) -> Column:
     x = F.regexp_replace(x, r"\^ *\\circ", "")
     x = F.regexp_replace(x, r"^\{([\s\S]*)\}$", "$1")
     x = F.regexp_replace(x, r",\\! *", "")
-    x = _integral(x)
+    x = _plain_latex(_integral(x))
     x = F.regexp_replace(x, "- *", "-")
     x = F.regexp_replace(x, "([0-9]) +([0-9])", "$1+$2")
     x = F.lower(_drop(x, " ", "{", "}"))
@@ -106,5 +115,7 @@ def strip_string(answer: Column) -> Column:
     x = _brace_sqrt(F.regexp_replace(x, r"^\.", "0."))
     x = F.regexp_replace(x, r"\\tan(-?[0-9.a-zA-Z]+)", r"\\tan{$1}")
     x = F.regexp_replace(x, r"\\tan\s+(\w+)$", r"\\tan{$1}")
-    x = _slash_to_frac(_brace_frac(_drop(x, " ")))
+    # an integer or something with a root, on both sides of a single slash
+    side = r"(0|-?[1-9][0-9]*|[^/]*sqrt[^/]*)"
+    x = F.regexp_replace(_brace_frac(_drop(x, " ")), f"^{side}/{side}$", r"\\frac{$1}{$2}")
     return F.regexp_replace(x, r"(\\|,|\.)+$", "")

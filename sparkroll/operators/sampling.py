@@ -105,11 +105,12 @@ def first_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
 
 
 def subsample_runs(df: DataFrame, id_col: str, seed: int, runs: int, n: int) -> DataFrame:
-    """R independent runs of n rows without replacement, concatenated."""
-    copies = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("run", F.col("run").cast("bigint"))
-    order = [seeded(seed, "run", id_col), F.col(id_col)]
-    rank = F.row_number().over(Window.partitionBy("run").orderBy(*order))
-    return copies.withColumn("__rn", rank).where(F.col("__rn") <= n).drop("__rn")
+    """R independent runs of n rows without replacement, concatenated; each is cut from digest slices, none is one task."""
+    parts = [shuffled(df.withColumn("run", F.lit(r).cast("bigint")), ["run", id_col], seed, first=n).drop("pos") for r in range(runs)]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged
 
 
 def evenly_spaced(df: DataFrame, id_col: str, m: int) -> DataFrame:
