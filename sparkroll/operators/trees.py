@@ -5,8 +5,8 @@ any others. A level is one filtered scan, and there are as many as the deepest
 node has; `max_depth` only says how deep a tree was meant to be, for weights and
 repeats. Chains from the root are arrays of one struct a level. Wide nodes and big trees stay spread: children meet their parent by an
 equi-join and are averaged with map-side combine. A level feeds both the result
-and the next level, so it is stored once in the checkpoint folder: nothing is
-computed twice and a lost executor costs one level at most.
+and the next level; every STORE_EVERY levels it is stored in the checkpoint
+folder, which bounds what is computed twice and what a lost executor costs.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from sparkroll.session import reliable_checkpoint
 from sparkroll.skew import rank_in_group
 
 
+STORE_EVERY = 4
+
+
 def level(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.where(F.col("depth") == depth)
 
@@ -44,7 +47,7 @@ def tree_score(nodes: DataFrame, correct: Column | None = None) -> DataFrame:
             F.col("tree_id").alias("__tree"), F.col("parent_id").alias("__node"), "__mean")
         here = level(nodes, depth).join(means, (F.col("tree_id") == F.col("__tree")) & (F.col("node_id") == F.col("__node")), "left")
         scored = here.withColumn("score", F.when(answered, grade).otherwise(F.coalesce("__mean", F.lit(0.0)))).drop("__tree", "__node", "__mean")
-        levels.append(reliable_checkpoint(scored) if depth > 0 else scored)
+        levels.append(reliable_checkpoint(scored) if depth > 0 and (bottom - depth) % STORE_EVERY == 0 else scored)
     return _union(levels)
 
 
@@ -85,7 +88,7 @@ def chains(nodes: DataFrame, max_depth: int, fields: Sequence[str], branch_facto
         advantage = F.when(parent["open"], F.col("score") - parent["score"]) if scored else nothing
         mine = entry(advantage, parent["open"] & F.col("answer").isNull())
         here = joined.select(*base, F.concat("__chain", F.array(mine)).alias("chain"), F.concat("__key", F.array("node_id")).alias("path_key"))
-        levels.append(reliable_checkpoint(here) if depth < bottom else here)
+        levels.append(reliable_checkpoint(here) if depth < bottom and depth % STORE_EVERY == 0 else here)
     return _union(levels)
 
 
