@@ -38,6 +38,8 @@ HELD, TEST = 0, 1
 #: Hashes of the end of a text and of its beginning; a word has either with probability 2 ** -63.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 WORDS, PAIRS = 0, 1
+#: Bytes of a hash that travel. The partition fixes its high bits, so a bigram's keeps about 48 + log2(partitions) bits.
+WIDTHS = {WORDS: 8, PAIRS: 6}
 #: Bins of the histogram that the weights are learned from, for each doubling of a ratio.
 BINS = 4
 
@@ -165,7 +167,7 @@ def requests(stored_blocks: DataFrame, parts: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(full.astype(np.int32)), pa.array(np.full(len(full), kind, np.int32)), pa.array([row["block"]] * len(full), pa.string()),
-                            pa.array(np.full(len(full), row["fold"], np.int32)), pa.array([values[edges[p] : edges[p + 1]].tobytes() for p in full], pa.binary()),
+                            pa.array(np.full(len(full), row["fold"], np.int32)), pa.array([narrow(values[edges[p] : edges[p + 1]], kind) for p in full], pa.binary()),
                             pa.array([pack(counts[edges[p] : edges[p + 1]].astype(np.uint32)) for p in full], pa.binary()),
                         ],
                         names,
@@ -195,16 +197,16 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
             mine = [r for r in rows if r["kind"] == kind]
             if not mine:
                 continue
-            values = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in mine])
+            values = np.concatenate([widen(r["hashes"], kind) for r in mine])
             counts = np.concatenate([unpack(r["counts"], np.uint32) for r in mine]).astype(np.int64)
-            folds = np.repeat([r["fold"] for r in mine], [len(r["hashes"]) // 8 for r in mine])
+            folds = np.repeat([r["fold"] for r in mine], [len(r["hashes"]) // WIDTHS[kind] for r in mine])
             unique, at = np.unique(values, return_inverse=True)
             del values
             trained = np.bincount(at, np.where(folds == TEST, 0, counts), len(unique)).astype(np.int64)
             kept = np.bincount(at, np.where((folds == TEST) | (folds == HELD), 0, counts), len(unique)).astype(np.int64)
             start = 0
             for k, r in enumerate(mine):
-                here = at[start : start + len(r["hashes"]) // 8]
+                here = at[start : start + len(r["hashes"]) // WIDTHS[kind]]
                 start += len(here)
                 sums = [int((trained > 0).sum()), int(trained.sum())] if k == 0 and kind == WORDS else [0, 0]
                 values_out = [r["block"], r["fold"], kind, r["part"], pack(slim(kept[here])), pack(slim(trained[here])), *sums]
@@ -215,6 +217,19 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
     return asked.repartitionById(parts, "part").mapInArrow(run, ANSWERED)
 
 
+def narrow(hashes: np.ndarray, kind: int) -> bytes:
+    """The low bytes of hashes."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, : WIDTHS[kind]]).tobytes()
+
+
+def widen(raw: bytes, kind: int) -> np.ndarray:
+    """What `narrow` kept, as numbers."""
+    low = np.frombuffer(raw, np.uint8).reshape(-1, WIDTHS[kind])
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, : WIDTHS[kind]] = low
+    return full.view(np.uint64).ravel()
+
+
 def slim(counts: np.ndarray) -> np.ndarray:
     """Counts as bytes, with 8-byte numbers behind the zeros that stand for those of 255 and more."""
     small = np.where(counts < 255, counts, 255).astype(np.uint8)
@@ -346,7 +361,7 @@ def score_texts(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
 
     A null text is empty: one token, the end. A null id belongs to remainder 0. If
     there is no training document, all counts are zero and every token has the uniform probability's share.
-    Words are known by 64-bit hashes; a text above a MiB is read in passages, and a
+    Words are known by 64-bit hashes, bigrams by WIDTHS; a text above a MiB is read in passages, and a
     single word longer than a passage counts as several.
     """
     made = stored(blocks(documents, block_words))
