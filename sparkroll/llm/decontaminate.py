@@ -19,7 +19,7 @@ WINDOW = 8
 LITERAL = 5
 LEAST_WORDS = 4
 #: A document leaks an item if windows with consistent slots cover this share of its words, or so many words.
-COVERAGE, RUN = 0.5, 25
+COVERAGE, RUN = 0.45, 25
 #: Windows of the benchmark that one pass over the documents looks for; a larger benchmark takes several passes.
 PASS_WINDOWS = 2_000_000
 #: Measures that become a placeholder behind a number.
