@@ -5,8 +5,9 @@ any others. A level is one filtered scan, and there are as many as the deepest
 node has; `max_depth` only says how deep a tree was meant to be, for weights and
 repeats. Chains from the root are arrays of one struct a level. Wide nodes and big trees stay spread: children meet their parent by an
 equi-join and are averaged with map-side combine. A level feeds both the result
-and the next level; every STORE_EVERY levels it is stored in the checkpoint
-folder, which bounds what is computed twice and what a lost executor costs.
+and the next level: levels of chains are stored in the checkpoint folder, and
+every STORE_EVERY levels of scores, which bounds what is computed twice and what a
+lost executor costs.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def chains(nodes: DataFrame, max_depth: int, fields: Sequence[str], branch_facto
         advantage = F.when(parent["open"], F.col("score") - parent["score"]) if scored else nothing
         mine = entry(advantage, parent["open"] & F.col("answer").isNull())
         here = joined.select(*base, F.concat("__chain", F.array(mine)).alias("chain"), F.concat("__key", F.array("node_id")).alias("path_key"))
-        levels.append(reliable_checkpoint(here) if depth < bottom and depth % STORE_EVERY == 0 else here)
+        levels.append(reliable_checkpoint(here) if depth < bottom else here)
     return _union(levels)
 
 

@@ -43,7 +43,7 @@ def has_hot_group(df: DataFrame, keys: Sequence[str]) -> bool:
     limit = hot_limit(df)
     # both plans are exact, so a sample of the keys is enough to choose: a group at the limit shows about SAMPLED times
     share = min(1.0, SAMPLED / limit)
-    sizes = (df if share == 1 else df.sample(share, seed=1)).groupBy(*keys).count()
+    sizes = (df if share == 1 else df.select(*keys).sample(share, seed=1)).groupBy(*keys).count()
     plan = sizes._jdf.queryExecution().optimizedPlan().semanticHash()
     memo = (df.sparkSession.sparkContext.applicationId, plan, tuple(sorted(df.inputFiles())), limit)
     if memo not in _measured:
