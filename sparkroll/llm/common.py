@@ -83,10 +83,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def run_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of value times ODD ** place in the run, for each run of `values` (uint64, 0 where nothing counts).
+
+    A run of n values is continued by adding ODD ** n times the sum of what follows.
+    """
+    up, down = powers(len(values))
+    return np.add.reduceat(values * up, starts) * down[starts]
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of `values` (uint64, 0 where nothing counts), wherever it stands."""
-    up, down = powers(len(values))
-    return mixed(np.add.reduceat(values * up, starts) * down[starts])
+    return mixed(run_sums(values, starts))
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

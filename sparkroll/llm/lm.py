@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkroll.llm.common import ODD, SLICE_BYTES, fold, mixed, pieces, run_hashes, shuffle_partitions, stored, table, text_buffers
+from sparkroll.llm.common import ODD, SLICE_BYTES, fold, mixed, pieces, run_sums, shuffle_partitions, stored, table, text_buffers
 
 #: Words of a block. A block never mixes folds.
 BLOCK_WORDS = 2_000_000
@@ -46,8 +46,8 @@ BINS = 4
 _letters: list[np.ndarray] = []
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts, A-Z as a-z, and the number of words of each text.
+def word_sums(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """`run_sums` of each word of the texts, A-Z as a-z, the number of words of each text, and the bytes behind the last space.
 
     A word is a run of bytes other than the six ASCII spaces.
     """
@@ -65,9 +65,29 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     heads[begins] = solid[begins]
     starts = np.flatnonzero(heads)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), 0
     # behind a word only spaces (zeros) follow up to the next head
-    return run_hashes(values, starts), np.diff(np.searchsorted(starts, offsets))
+    return run_sums(values, starts), np.diff(np.searchsorted(starts, offsets)), int(len(data) - starts[-1]) if solid[-1] else 0
+
+
+def words_of(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of the words of each whole text. A word that the end of a passage cuts goes on in the next passage."""
+    data, offsets = text_buffers(texts)
+    found: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+    last, length = -1, 0
+    for part, own, numbers in pieces(data, offsets, SLICE_BYTES):
+        sums, sizes, tail = word_sums(part, own)
+        if numbers[0] == last and length and part[0] not in (9, 10, 11, 12, 13, 32):
+            found[last][-1][-1:] += sums[:1] * np.uint64(pow(int(ODD), length, 1 << 64))
+            sums, sizes = sums[1:], sizes - 1
+            length = length + tail if tail == len(part) else tail
+        else:
+            length = tail
+        for number, some in zip(numbers, np.split(sums, np.cumsum(sizes)[:-1]), strict=True):
+            if len(some):
+                found[number].append(some)
+        last = int(numbers[-1])
+    return [mixed(np.concatenate(f)) if f else np.zeros(0, np.uint64) for f in found]
 
 
 class Block:
@@ -115,17 +135,11 @@ def blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            found: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-            for part, own, numbers in pieces(data, offsets, SLICE_BYTES):
-                # a text in several passages is cut behind white space, or within a word of a passage's length
-                words, sizes = word_hashes(part, own)
-                for number, some in zip(numbers, np.split(words, np.cumsum(sizes)[:-1]), strict=True):
-                    found[number].append(some)
+            found = words_of(batch.column(1))
             for k, (doc_id, of) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 of = of if of in (HELD, TEST) else 2
                 block = waiting.setdefault(of, Block())
-                block.add(doc_id, np.concatenate(found[k]) if found[k] else np.zeros(0, np.uint64))
+                block.add(doc_id, found[k])
                 if block.total >= block_words:
                     yield flushed(of)
         for of in list(waiting):

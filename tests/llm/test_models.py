@@ -185,3 +185,14 @@ def test_em_finds_the_mixture():
     # words seen by the bigram alone in 7 of 10 cases, by the unigram alone in 2, by neither in 1
     cells = [cell(5, 40, -9999, 7000), cell(5, -9999, 40, 2000), cell(5, -9999, -9999, 1000)]
     assert np.allclose(lm.learn_weights(cells)[5], (0.7, 0.2, 0.1), atol=0.02), rng
+
+
+@pytest.mark.parametrize("limit", [8, 64])
+def test_lm_words_do_not_depend_on_passages(monkeypatch, limit):
+    rng = np.random.default_rng(3)
+    texts = ["", "a" * 500, "a" * 64 + " " + "a" * 64, "日本語" * 90 + " x", None, "ab", "".join(rng.choice(list("aB\x01\x1f\x00 \n\t\x0b\x1cé"), 700))]
+    texts += ["".join(rng.choice(list("ab\x01 "), rng.integers(200))) for _ in range(200)]
+    whole = lm.words_of(pa.array(texts, pa.string()))
+    assert [len(w) for w in whole] == [len(words_of(t)) - 1 for t in texts]
+    monkeypatch.setattr(lm, "SLICE_BYTES", limit)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, lm.words_of(pa.array(texts, pa.string())), strict=True))
