@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sparkroll.llm.common import prepared, stored, table, text_buffers
+from sparkroll.llm.common import stored, table, text_buffers
 from sparkroll.llm.components import components
 
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -153,17 +153,3 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
-
-
-def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of `docs` for each component, the one of the least doc_id, with the columns it came with.
-
-    Of rows with the same doc_id one stays. Rows without an id are known by their text, and give way to any with one.
-    """
-    prepared(spark)
-    stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id"), stand_in))
-    found = near_duplicates(keyed, "__key")
-    first = found.where("__key = component_id").select("__key").distinct()
-    same = Window.partitionBy("__key").orderBy(F.xxhash64("text"))
-    return keyed.join(first, "__key", "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns)
