@@ -206,10 +206,10 @@ def decode(path: str, ids: str | Column) -> Column:
     return arrow_udf(run, "string").asNondeterministic()(ids)
 
 
-def round_trip(path: str, text: str | Column) -> Column:
-    """struct(n_tokens, ids_sha256, decoded_sha256): encode, decode the ids, digest both.
+def round_trip(path: str, text: str | Column, keep_ids: bool = False) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256): encode, decode the ids, digest both; with the ids if they are to be kept.
 
-    In one pass, so that the ids of long texts never leave the worker. A null
+    In one pass, so that the ids of long texts need not leave the worker. A null
     text counts as empty: no tokens, digests of the empty string.
     """
 
@@ -217,15 +217,21 @@ def round_trip(path: str, text: str | Column) -> Column:
         bpe = loaded(path)
         sha = hashlib.sha256
         for batch in texts:
-            counts, coded, decoded = [], [], []
+            counts, coded, decoded, kept = [], [], [], []
             for text in batch:
                 ids = bpe.encode(text.as_py() or "")
                 counts.append(len(ids))
                 coded.append(sha(" ".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(sha(bpe.decode(ids).encode()).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+                if keep_ids:
+                    kept.append(ids)
+            columns = [pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            if keep_ids:
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+            yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return arrow_udf(run, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>").asNondeterministic()(text)
+    kind = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>>" if keep_ids else ">")
+    return arrow_udf(run, kind).asNondeterministic()(text)
 
 
 def coded_digests(documents: DataFrame, path: str) -> DataFrame:
@@ -239,9 +245,7 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: doc_id, the ids and the digests of each kept document."""
+    """Last stage of the pipeline: doc_id, the digests and the ids of each kept document."""
     prepared(spark)
-    path = vocabulary_path()
-    rows = docs.select("doc_id", encode(path, "text").alias("ids"))
-    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256)
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    rows = docs.select("doc_id", round_trip(vocabulary_path(), F.col("text"), keep_ids=True).alias("r"))
+    return rows.select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256", "r.ids")

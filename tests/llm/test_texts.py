@@ -187,3 +187,10 @@ def test_peeling_recovers_the_difference():
     many = rng.integers(0, 2**63, 300).astype(np.uint64)
     apart, cells = sketch.differences([many], [common])
     assert apart[0] == 700 and cells > sketch.CELLS
+
+
+def test_encoding_stage_decodes(spark, docs):
+    stage = {r.doc_id: r for r in bpe.encoded(spark, docs, "").collect()}
+    for row in bpe.coded_digests(docs, bpe.vocabulary_path()).collect():
+        r = stage[row.doc_id]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (row.n_tokens, row.ids_sha256, row.decoded_sha256) and len(r.ids) == r.n_tokens
