@@ -20,8 +20,8 @@ ORDERS = (1, 2, 3, 4)
 TRAINING_DOCUMENTS = 3000
 EPOCHS = 6
 RATE = 0.5
-#: A prediction is accepted if its calibrated probability is so many times that of a guess, or one half.
-LEAST_LIFT = 1.5
+#: Probability and evidence have to reach what all but this share of the calibration documents reach.
+REJECTED = 0.002
 NO_LETTER = "und"
 
 
@@ -29,7 +29,9 @@ NO_LETTER = "und"
 class Model:
     """Class scores of each subword bucket (embedding times class weights), bias and calibration.
 
-    A text of n subwords divides its class scores by temperature * (1 + shortness / n).
+    A text of n subwords divides its class scores by temperature * (1 + shortness / n). The last column of the table is
+    the logarithm of a subword's share in all learned text. The mean of it is the evidence of a text: `usual` for each language, with
+    variance spread[0] + spread[1] / n. Less than `least` deviations from the usual is rejected, whatever the probabilities say.
     """
 
     langs: tuple[str, ...]
@@ -38,6 +40,9 @@ class Model:
     temperature: float
     shortness: float
     threshold: float
+    usual: np.ndarray
+    spread: tuple[float, float]
+    least: float
 
 
 def subwords(points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,7 +142,35 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: i
         for b, c in ((buckets, counts), (buckets[part], counts[part])):
             calibration.append((c / c.sum() @ table[b] + bias, c.sum(), target[k]))
     logits, sizes, truth = (np.array(x) for x in zip(*calibration, strict=True))
-    return Model(langs, table.astype(np.float32), bias.astype(np.float64), *calibrated(logits, sizes, truth))
+    seen = np.zeros(BUCKETS)
+    for k in learn:
+        np.add.at(seen, *samples[k])
+    known, *rest = evidence([samples[k] for k in held], target[held], seen, len(langs), len(held) == len(learn))
+    return Model(langs, np.column_stack([table, known]).astype(np.float32), bias.astype(np.float64), *calibrated(logits, sizes, truth), *rest)
+
+
+def evidence(samples: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, seen: np.ndarray, n_langs: int, learned: bool) -> tuple[np.ndarray, np.ndarray, tuple[float, float], float]:
+    """Log share of each bucket, the usual evidence of each language, its variances, and the least deviation.
+
+    `samples` are the calibration documents. If the model `learned` them too, each is judged by the counts of the others.
+    """
+    share = lambda own, n: np.log((own + 0.5) / (n + 0.5 * BUCKETS))
+    means, within, sizes = [], [], []
+    for buckets, counts in samples:
+        n = counts.sum()
+        values = share(seen[buckets] - counts, seen.sum() - n) if learned else share(seen[buckets], seen.sum())
+        mean = counts @ values / n
+        means.append(mean)
+        within.append(counts @ (values - mean) ** 2 / n)
+        sizes.append(n)
+    means, sizes = np.array(means), np.array(sizes)
+    usual = np.array([np.median(means[target == k]) if (target == k).any() else np.median(means) for k in range(n_langs)])
+    # the n-grams of all orders at one place depend on each other
+    short = len(ORDERS) * float(np.mean(within))
+    off = means - usual[target]
+    between = max(float(np.median(np.abs(off)) * 1.4826) ** 2, 0.01)
+    deviations = off / np.sqrt(between + short / sizes)
+    return share(seen, seen.sum()), usual, (between, short), float(min(-3.0, np.quantile(deviations, REJECTED, method="lower")))
 
 
 def softmax(logits: np.ndarray, sizes: np.ndarray, temperature: float, shortness: float) -> np.ndarray:
@@ -152,7 +185,8 @@ def calibrated(logits: np.ndarray, sizes: np.ndarray, target: np.ndarray) -> tup
     grid = [(t, s) for t in np.geomspace(0.1, 20, 30) for s in (0, 10, 30, 100, 300, 1000)]
     loss = [-np.log(softmax(logits, sizes, *x)[rows, target] + 1e-12).mean() for x in grid]
     best = grid[int(np.argmin(loss))]
-    return float(best[0]), float(best[1]), min(0.5, LEAST_LIFT / logits.shape[1])
+    reached = softmax(logits, sizes, *best).max(axis=1)
+    return float(best[0]), float(best[1]), float(np.quantile(reached, REJECTED, method="lower"))
 
 
 def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -160,7 +194,7 @@ def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray
     data, offsets = text_buffers(texts)
     n = len(texts)
     langs = model.langs if model else ()
-    sums, counts = np.zeros((n, max(1, len(langs)))), np.zeros(n)
+    sums, counts = np.zeros((n, len(langs) + 1)), np.zeros(n)
     for part, own, numbers in pieces(data, offsets, 1 << 18):
         points, at = code_points(part, own)
         for buckets, owner in subwords(points, at):
@@ -171,9 +205,13 @@ def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray
     known = counts > 0
     if not model:
         return [NO_LETTER] * n, np.zeros(n), np.zeros(n, bool)
-    p = softmax(sums / np.maximum(counts, 1)[:, None] + model.bias, counts, model.temperature, model.shortness)
+    means = sums / np.maximum(counts, 1)[:, None]
+    p = softmax(means[:, :-1] + model.bias, counts, model.temperature, model.shortness)
     best, confidence = p.argmax(axis=1), np.where(known, p.max(axis=1), 0.0)
-    return [langs[b] if k else NO_LETTER for b, k in zip(best, known, strict=True)], confidence, known & (confidence >= model.threshold)
+    deviation = (means[:, -1] - model.usual[best]) / np.sqrt(model.spread[0] + model.spread[1] / np.maximum(counts, 1))
+    # rounding must not reject the calibration document at the limit itself
+    accepted = known & (confidence >= model.threshold - 1e-6) & (deviation >= model.least - 1e-3)
+    return [langs[b] if k else NO_LETTER for b, k in zip(best, known, strict=True)], confidence, accepted
 
 
 def language(model: Model | None, text: str | Column) -> Column:
@@ -204,7 +242,9 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs` whose language is accepted, with the columns they came with."""
+    """The rows of `docs` whose language is accepted, with the columns they came with; all if there is nothing to learn from."""
     prepared(spark)
     model = train(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return docs
     return docs.withColumn("__language", language(model, "text")).where("__language.accepted").drop("__language")

@@ -40,6 +40,25 @@ def test_language_ignores_everything_but_text(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("n_langs", [1, 2, 4])
+def test_language_rejects_what_it_has_not_learned(spark, n_langs):
+    documents = table(spark, SF, "documents")
+    langs = sorted(r.lang for r in documents.select("lang").distinct().collect())[:n_langs]
+    documents = documents.where(documents.lang.isin(langs))
+    rng = np.random.default_rng(6)
+    random_letters = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (40, 100, 500, 2000)]
+    other = ["これは日本語の文章です。" * 9, "Это русский текст о погоде и о людях. " * 5, "αυτό είναι ένα κείμενο " * 8]
+    model = language.train(documents)
+    assert not language.predict(model, pa.array(random_letters + other))[2].any()
+    held = [r for r in language.identify(documents, model).collect() if r.held_out]
+    assert sum(r.accepted for r in held) / len(held) > 0.97
+
+
+def test_language_stage_without_a_model_keeps_all(spark, docs):
+    frame = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert language.keep_identified(spark, frame, "").count() == docs.count()
+
+
 def test_language_odd_rows(odd, empty):
     model = language.train(odd)
     rows = language.identify(odd, model).collect()
