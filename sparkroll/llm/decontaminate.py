@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,8 @@ from sparkroll.llm.common import DIGIT, LETTER, ODD, UPPER, character_tables, co
 
 #: Template words of a window; a shorter item is one window of its own length.
 WINDOW = 8
-#: A window needs so many words that are not placeholders, or all but two of a shorter one; an item with fewer words is not searched.
+#: A window needs so many words that are not placeholders, or all but two of a shorter one. An item whose windows cover too little of
+#: it, or that has fewer template words, is searched by its literal words instead: numbers and names as they stand, down to one word.
 LITERAL = 5
 LEAST_WORDS = 4
 #: A document leaks an item if windows with consistent slots cover this share of its words, or so many words.
@@ -35,15 +36,8 @@ SENTENCE_ENDS = np.array([ord(c) for c in ".!?:;\n"], np.uint32)
 _units: list[np.ndarray] = []
 
 
-def template(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical words of texts: (template hash, hash of what stands there, kind, number of the text).
-
-    A word is a run of letters and digits. With a digit it is a number; behind a number it may be a unit; capitalised within a
-    sentence, but not all in capitals, it is a name. Numbers or names in a row are one. Other words are themselves in lower case.
-    """
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
-    if not len(points):
-        return none
+def split_words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each character: class, in a word, first of its text. Of each word: place, hash in lower case, number of the text."""
     kinds, lowered = character_tables()
     small = np.minimum(points, 0x10000)
     kind = kinds[small]
@@ -54,10 +48,27 @@ def template(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     edge[1:] &= ~solid[:-1] | first_of_text[1:]
     starts = np.flatnonzero(edge)
     if not len(starts):
-        return none
+        return kind, solid, first_of_text, starts, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     values = np.where(solid, np.where(points < 0x10000, lowered[small], points) + 1, 0).astype(np.uint64)
-    actual = run_hashes(values, starts)
-    owner = np.searchsorted(offsets, starts, side="right") - 1
+    return kind, solid, first_of_text, starts, run_hashes(values, starts), np.searchsorted(offsets, starts, side="right") - 1
+
+
+def literal(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts as they stand, in lower case, in the form of `template`."""
+    *_, actual, owner = split_words(points, offsets)
+    return actual, actual, np.full(len(actual), WORD), owner
+
+
+def template(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical words of texts: (template hash, hash of what stands there, kind, number of the text).
+
+    A word is a run of letters and digits. With a digit it is a number; behind a number it may be a unit; capitalised within a
+    sentence, but not all in capitals, it is a name. Numbers or names in a row are one. Other words are themselves in lower case.
+    """
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+    kind, solid, first_of_text, starts, actual, owner = split_words(points, offsets)
+    if not len(starts):
+        return none
     digits = np.add.reduceat((kind == DIGIT).astype(np.int32), starts) > 0
     breaks = np.where(first_of_text | np.isin(points, SENTENCE_ENDS), np.arange(len(points)), -1)
     last_break = np.maximum.accumulate(breaks)[starts]
@@ -82,12 +93,12 @@ def template(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(of == WORD, actual, SLOTS[of]), actual, of, owner
 
 
-def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """`template` of whole texts, read in passages."""
+def templates(texts: pa.Array, of_words=template) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`template` (or `literal`) of whole texts, read in passages."""
     data, offsets = text_buffers(texts)
     found = []
     for part, own, numbers in pieces(data, offsets, 1 << 18):
-        words, actual, of, owner = template(*code_points(part, own))
+        words, actual, of, owner = of_words(*code_points(part, own))
         found.append((words, actual, of, numbers[owner] if len(owner) else owner))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else template(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
@@ -120,15 +131,28 @@ class Items:
     places: np.ndarray
     sizes: tuple[int, ...]
     sieve: np.ndarray
-
-
-def read_items(rows: list) -> Items:
-    """Templates and windows of benchmark rows (item_id, text)."""
-    words, actual, of, owner = templates(pa.array([r.text for r in rows], pa.string()))
+    of_words: Callable = template
+    #: Literal words of the items that templates cannot find.
+    also: Items | None = None
+
+    def searched(self) -> np.ndarray:
+        """Which items have windows over enough of their words."""
+        lengths = np.diff(self.starts)
+        size = np.minimum(lengths[np.searchsorted(self.starts, self.places, side="right") - 1], WINDOW)
+        change = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(change, self.places, 1)
+        np.add.at(change, self.places + size, -1)
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
+        return (covered[self.starts[1:]] - covered[self.starts[:-1]] >= COVERAGE * lengths) & (lengths > 0)
+
+
+def read_items(rows: list, of_words: Callable = template) -> Items:
+    """Templates and windows of benchmark rows (item_id, text), or their literal words and windows."""
+    words, actual, of, owner = templates(pa.array([r.text for r in rows], pa.string()), of_words)
     starts = np.searchsorted(owner, np.arange(len(rows) + 1))
     lengths = np.diff(starts)
     hashes, places, sizes = [], [], []
-    for size in range(LEAST_WORDS, WINDOW + 1):
+    for size in range(LEAST_WORDS if of_words is template else 1, WINDOW + 1):
         own = lengths == size if size < WINDOW else lengths >= WINDOW
         if own.any():
             # names also as plain words, for copies in capitals or in lower case
@@ -146,7 +170,14 @@ def read_items(rows: list) -> Items:
     unique, first = np.unique(found[order], return_index=True)
     sieve = np.zeros(1 << 22, bool)
     sieve[unique >> np.uint64(42)] = True
-    return Items(np.array([r.item_id for r in rows], np.int64), starts, words, actual, of, unique, np.append(first, len(found)), place[order], tuple(sizes), sieve)
+    return Items(np.array([r.item_id for r in rows], np.int64), starts, words, actual, of, unique, np.append(first, len(found)), place[order], tuple(sizes), sieve, of_words)
+
+
+def with_literals(rows: list) -> Items:
+    """Items of benchmark rows; those that templates do not search also by their literal words."""
+    items = read_items(rows)
+    rest = [r for r, searched in zip(rows, items.searched(), strict=True) if not searched]
+    return replace(items, also=read_items(rest, literal)) if rest else items
 
 
 def benchmark_passes(benchmark: DataFrame) -> list[Items]:
@@ -160,12 +191,12 @@ def benchmark_passes(benchmark: DataFrame) -> list[Items]:
     parts = max(1, -(-total // (2 * PASS_WINDOWS)))
     part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     rows = (sorted(known.where(part == k).distinct().collect(), key=lambda r: (r.item_id, r.text)) for k in range(parts))
-    return [read_items(r) for r in rows if r]
+    return [with_literals(r) for r in rows if r]
 
 
 def leaks(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item id, matched words, words of the item, slots, slots that are consistent) of each leak in a batch."""
-    words, actual, of, owner = templates(texts)
+    words, actual, of, owner = templates(texts, items.of_words)
     found = []
     for size in items.sizes:
         place, hashes = windows(words, of, owner, size)
@@ -195,6 +226,15 @@ def leaks(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int,
     return out
 
 
+def all_leaks(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
+    """`leaks` by templates, and by literal words of the items that were not found so."""
+    found = leaks(items, texts)
+    if items.also:
+        known = {f[:2] for f in found}
+        found = sorted(found + [f for f in leaks(items.also, texts) if f[:2] not in known])
+    return found
+
+
 def consistent_words(items: Items, actual: np.ndarray, place: np.ndarray, there: np.ndarray, size: np.ndarray, start: int, total: int) -> tuple[int, int, int]:
     """Words of an item that the windows cover, its covered slots, and those that are filled consistently.
 
@@ -229,7 +269,7 @@ def find_leaks(passes: list[Items], text: str | Column) -> Column:
         def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in texts:
                 found: list[list[dict]] = [[] for _ in range(len(batch))]
-                for number, *values in leaks(items, batch):
+                for number, *values in all_leaks(items, batch):
                     found[number].append(dict(zip([f.name for f in fields], values, strict=True)))
                 yield pa.array(found, kind)
 

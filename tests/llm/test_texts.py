@@ -138,6 +138,14 @@ def test_leaks_in_parts_of_the_benchmark(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect())) == whole != []
 
 
+def test_leaks_of_items_without_template_windows(spark):
+    items = ["What is 17 * 23 + 4 * 9?", "Calculate 12 + 15 * 3", "2, 3, 5, 7, 11, 13, 17, 19, 23, 29", "Pride Prejudice", "Zanzibar?", "3 km + 4 m + 5 cm + 6 mm + 7 km + 8 m", "An Introduction To Quantum Mechanics", "++"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [f"some words before. {t} and some after" for t in items[:-1]] + ["What is 18 * 23 + 4 * 9? Calculate 12 + 15. 2, 3, 5, 7 3 km and 4 m; pride, and prejudice"]
+    rows = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(k, k) for k in range(7)] and all(r.coverage == 1 for r in rows)
+
+
 def test_leaks_odd_rows(spark, odd, empty):
     benchmark = spark.createDataFrame([(None, "a b c d e"), (1, None), (2, ""), (3, "a b c d e")], "item_id bigint, text string")
     rows = decontaminate.contaminated(odd, benchmark).collect()
