@@ -25,6 +25,9 @@ BLOCKS = frozenset(
 #: Elements without content of their own.
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLES = frozenset(("article", "main"))
+#: Elements that are never left out, and those that no class word marks.
+WHOLE, HEADINGS = frozenset(("html", "body")), frozenset("h1 h2 h3 h4 h5 h6".split())
+FORM, WORDED, SURE = 1, 2, 3
 #: Elements around an article, wherever they stand; a header inside an article holds its title.
 AROUND = frozenset("nav footer aside form button select menu dialog".split())
 ROLES = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert)\b""", re.I)
@@ -44,44 +47,88 @@ ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 SPACES = re.compile(r"\s+")
 
 
-def beside(name: str, attributes: str) -> bool:
-    """Does this element hold something else than the article?"""
+def beside(name: str, attributes: str, article: bool = False) -> int:
+    """Does this element hold something else than the article? 0: no; FORM or WORDED: perhaps, see `Lines.left`; SURE: yes."""
+    if name in WHOLE:
+        return 0
     if name in AROUND:
-        return True
+        return FORM if name == "form" else SURE
     if not attributes:
-        return False
-    if ROLES.search(attributes) or HIDDEN.search(attributes):
-        return True
-    return any(w.lower() in BESIDE for m in MARKED.finditer(attributes) for w in WORD.findall(m.group(1) or m.group(2) or m.group(3) or ""))
+        return 0
+    role = ROLES.search(attributes)
+    if HIDDEN.search(attributes) or role and role.group(1).lower() != "form":
+        return SURE
+    if role:
+        return FORM
+    if name in HEADINGS:
+        return 0
+    for m in MARKED.finditer(attributes):
+        words = [w.lower() in BESIDE for w in WORD.findall(m.group(1) or m.group(2) or m.group(3) or "")]
+        # the id of a section in an article names what it is about
+        if words and (all(words) if article and name == "section" and m.group(0)[:2].lower() == "id" else any(words)):
+            return WORDED
+    return 0
 
 
 class Lines:
-    """The blocks of a page in order: text, whether it stands in an article, and how much of it is link text."""
+    """The blocks of a page in order, each as pieces of text with the elements beside the article that they stand in."""
 
     def __init__(self) -> None:
-        self.done: list[tuple[str, bool, int]] = []
-        self.parts: list[str] = []
-        self.linked = 0
+        #: (pieces (text, is link, elements), stands in an article)
+        self.blocks: list[tuple[list[tuple[str, int, tuple[int, ...]]], bool]] = []
+        self.parts: list[tuple[str, int, tuple[int, ...]]] = []
+        #: of each element that may be beside the article: its kind
+        self.kinds: list[int] = []
 
     def end(self, inside: bool) -> None:
         if self.parts:
-            text = SPACES.sub(" ", html.unescape("".join(self.parts))).strip()
+            self.blocks.append((self.parts, inside))
+            self.parts = []
+
+    def left(self) -> set[int]:
+        """Elements that are no part of the text.
+
+        What a class word or an open end marks is left out if it holds the smaller part of the page or is mostly links; a form
+        stays also if it holds running text.
+        """
+        if all(k == SURE for k in self.kinds):
+            return set(range(len(self.kinds)))
+        size, linked, running = ([0] * len(self.kinds) for _ in range(3))
+        total = 0
+        for parts, _ in self.blocks:
+            plain: dict[int, int] = {}
+            for text, link, elements in parts:
+                n = len(text.strip())
+                total += n
+                for e in elements:
+                    size[e] += n
+                    linked[e] += n * link
+                    plain[e] = plain.get(e, 0) + n * (not link)
+            for e, n in plain.items():
+                running[e] = max(running[e], n)
+        stays = lambda e: 2 * linked[e] < size[e] and (2 * size[e] > total or self.kinds[e] == FORM and running[e] >= DENSE)
+        return {e for e, k in enumerate(self.kinds) if k == SURE or not stays(e)}
+
+    def done(self, left: set[int]) -> list[tuple[str, bool, int]]:
+        """Text, whether it stands in an article, and how much of it is link text, of each block without the elements in `left`."""
+        out = []
+        for parts, inside in self.blocks:
+            mine = [(t, link) for t, link, elements in parts if left.isdisjoint(elements)]
+            text = SPACES.sub(" ", html.unescape("".join(t for t, _ in mine))).strip()
             if text:
-                self.done.append((text, inside, min(self.linked, len(text))))
-        self.parts, self.linked = [], 0
+                out.append((text, inside, min(sum(len(t) for t, link in mine if link), len(text))))
+        return out
 
 
-def strip_markup(page: str) -> list[tuple[str, bool, int]]:
-    """Blocks of text without markup, leaving out elements beside the article."""
+def strip_markup(page: str) -> Lines:
+    """Blocks of text without markup, and what may stand beside the article."""
     lines, at = Lines(), 0
-    # open elements that are left out, or are an article: (name, depth of the same name inside, is article)
+    # open elements that may be left out, or are an article: (name, depth of the same name inside, number or -1 for an article)
     around: list[list] = []
-    article, left_out, link = 0, 0, 0
+    article, beside_of, link = 0, (), 0
     for tag in iter(lambda: TAG.search(page, at), None):
-        if not left_out and tag.start() > at:
-            lines.parts.append(page[at : tag.start()])
-            if link:
-                lines.linked += tag.start() - at
+        if tag.start() > at:
+            lines.parts.append((page[at : tag.start()], link, beside_of))
         at = tag.end()
         if tag.group(0) == "<!--":
             end = page.find("-->", at)
@@ -91,14 +138,16 @@ def strip_markup(page: str) -> list[tuple[str, bool, int]]:
             continue
         closing, name, attributes = tag.group(1), tag.group(2).lower(), tag.group(3)
         if not closing and name in ENDS:
-            end = ENDS[name].search(page, at)
+            end = None if name == "svg" and attributes.endswith("/") else ENDS[name].search(page, at)
+            if end is None and name == "svg":
+                continue
             body = re.compile(r"<body\b", re.I).search(page, at) if end is None and name in ("head", "title") else None
             at = end.end() if end else body.start() if body else len(page)
             continue
         if name in BLOCKS:
             lines.end(article > 0)
         elif name in ("br", "td", "th"):
-            lines.parts.append(" ")
+            lines.parts.append((" ", link, beside_of))
         if name == "a":
             link = 0 if closing else 1
         if name in EMPTY or attributes.endswith("/"):
@@ -109,27 +158,31 @@ def strip_markup(page: str) -> list[tuple[str, bool, int]]:
                     if around[k][1]:
                         around[k][1] -= 1
                     else:
-                        for _, _, is_article in around[k:]:
-                            article, left_out = article - is_article, left_out - (not is_article)
+                        article -= sum(x[2] < 0 for x in around[k:])
                         del around[k:]
+                        beside_of = tuple(x[2] for x in around if x[2] >= 0)
                     break
             continue
-        off = beside(name, attributes) or (name == "header" and not article)
-        if name in ARTICLES and not off:
-            if left_out and not article:
-                # what was left out was never closed: the article begins all the same
-                around, left_out = [], 0
-            around.append([name, 0, True])
+        off = SURE if name == "header" and not article else beside(name, attributes, article > 0)
+        if name in ARTICLES and (not off or off == WORDED and not beside_of):
+            if beside_of and not article:
+                # what may be left out was never closed, or holds the article: the article begins all the same
+                around, beside_of = [x for x in around if x[2] < 0], ()
+            around.append([name, 0, -1])
             article += 1
         elif off:
-            around.append([name, 0, False])
-            left_out += 1
+            around.append([name, 0, len(lines.kinds)])
+            beside_of += (len(lines.kinds),)
+            lines.kinds.append(off)
         elif around and around[-1][0] == name:
             around[-1][1] += 1
-    if not left_out and at < len(page):
-        lines.parts.append(page[at:])
+    if at < len(page):
+        lines.parts.append((page[at:], link, beside_of))
     lines.end(article > 0)
-    return lines.done
+    # an element that is never closed may hold the rest of the page
+    for e in beside_of:
+        lines.kinds[e] = min(lines.kinds[e], WORDED)
+    return lines
 
 
 def dense_lines(weights: np.ndarray, least: int) -> np.ndarray:
@@ -160,7 +213,13 @@ def main_text(page: str | None) -> str:
     """The text between surge and dive points, blocks joined by an empty line; empty for a null or empty page."""
     if not page:
         return ""
-    lines = strip_markup(page)
+    blocks = strip_markup(page)
+    # nothing else on the page: then all of it
+    return dense_text(blocks.done(blocks.left())) or dense_text(blocks.done(set()))
+
+
+def dense_text(lines: list[tuple[str, bool, int]]) -> str:
+    """Lines between surge and dive."""
     if not lines:
         return ""
     inside = np.array([x[1] for x in lines])

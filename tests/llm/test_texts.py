@@ -99,6 +99,29 @@ def test_html_cases(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "running text of the page " * 12
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<body class="has-sidebar"><p>{0}</p><div class="sidebar">s</div>', "{0}"),
+        ('<body><main class="site-main with-sidebar"><p>{0}</p></main><p>no</p>', "{0}"),
+        ('<article class="post comments-open"><p>{0}</p></article><p>no</p>', "{0}"),
+        ('<body><form id="form1"><nav>menu</nav><p>{0}</p><p>{0}</p><button>go</button></form>', "{0}\n\n{0}"),
+        ('<article><form><p>{0}</p></form><p>{0}</p><p>{0}</p><form>mail <input></form></article>', "{0}\n\n{0}\n\n{0}"),
+        ('<article><h2 id="related-work">Related work</h2><p>{0}</p><section id="social-history"><p>short</p></section></article>', "Related work\n\n{0}\n\nshort"),
+        ('<p>{0}<svg class="i"/> after</p><p>{0}</p>', "{0} after\n\n{0}"),
+        ('<p>{0}</p><nav><a href=/>Home</a><p>{0}</p><p>{0}</p>', "{0}\n\n{0}\n\n{0}"),
+        ("<nav><p>{0}</p></nav>", "{0}"),
+        ('<div class="sidebar-layout"><p>{0}</p><div class="comments"><p>me too</p></div></div>', "{0}"),
+        ("<p>{0}</p><p>{0} <span class=ad>buy</span> x</p>", "{0}\n\n{0} x"),
+    ],
+)
+def test_html_class_words_do_not_drop_the_page(page, text):
+    assert html.main_text(page.format(LONG.strip())) == text.format(LONG.strip())
+
+
 def test_html_without_marked_article():
     menu = "<ul>" + "".join(f"<li><a href=/{k}>Menu {k}</a></li>" for k in range(9)) + "</ul>"
     body = ["word " * 50, "short one", "more text here " * 20]
