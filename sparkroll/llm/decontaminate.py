@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sparkroll.llm.common import DIGIT, LETTER, ODD, UPPER, character_tables, code_points, mixed, pieces, prepared, run_hashes, table, text_buffers
+from sparkroll.llm.common import DIGIT, LETTER, ODD, UPPER, character_tables, code_points, mixed, pieces, prepared, run_hashes, stored, table, text_buffers
 
 #: Template words of a window; a shorter item is one window of its own length.
 WINDOW = 8
@@ -180,10 +180,10 @@ def with_literals(rows: list) -> Items:
     return replace(items, also=read_items(rest, literal)) if rest else items
 
 
-def benchmark_passes(benchmark: DataFrame) -> list[Items]:
-    """The benchmark (item_id, text) in parts of at most about PASS_WINDOWS windows; null ids and texts are left out.
+def each_pass(benchmark: DataFrame) -> tuple[int, Iterator[Items]]:
+    """How many passes there are, and the benchmark (item_id, text) in parts of at most about PASS_WINDOWS windows, one at a time.
 
-    Each part has a fixed size, so it can travel to every task. A part that is fetched holds only its own items.
+    Null ids and texts are left out. Each part has a fixed size, so it can travel to every task.
     """
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     # a window needs at least two characters for each word and gap
@@ -191,7 +191,12 @@ def benchmark_passes(benchmark: DataFrame) -> list[Items]:
     parts = max(1, -(-total // (2 * PASS_WINDOWS)))
     part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     rows = (sorted(known.where(part == k).distinct().collect(), key=lambda r: (r.item_id, r.text)) for k in range(parts))
-    return [with_literals(r) for r in rows if r]
+    return parts, (with_literals(r) for r in rows if r)
+
+
+def benchmark_passes(benchmark: DataFrame) -> list[Items]:
+    """All parts of `each_pass` at once, for a small benchmark."""
+    return list(each_pass(benchmark)[1])
 
 
 def leaks(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
@@ -281,9 +286,18 @@ def find_leaks(passes: list[Items], text: str | Column) -> Column:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched_words, item_words, slots, consistent_slots, coverage: a row for each item that a row of `documents` leaks."""
-    hits = documents.select("doc_id", find_leaks(benchmark_passes(benchmark), F.col("text")).alias("hits"))
-    hits = hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
-    return hits.select("*", (F.col("matched_words") / F.col("item_words")).alias("coverage"))
+    parts, passes = each_pass(benchmark)
+    found = None
+    for items in passes:
+        hits = documents.select("doc_id", find_leaks([items], F.col("text")).alias("hits"))
+        hits = hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+        # stored, a pass lets go of its part of the benchmark
+        hits = stored(hits) if parts > 1 else hits
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        hits = documents.select("doc_id", F.explode(find_leaks([], F.col("text"))).alias("h"))
+        found = hits.select("doc_id", "h.*")
+    return found.select("*", (F.col("matched_words") / F.col("item_words")).alias("coverage"))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -293,5 +307,8 @@ def op9_decontamination(spark, sf_dir: str) -> DataFrame:
 def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of `docs` that leak nothing, with the columns they came with."""
     prepared(spark)
-    passes = benchmark_passes(table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("__hits", find_leaks(passes, F.col("text"))).where(F.size("__hits") == 0).drop("__hits")
+    parts, passes = each_pass(table(spark, sf_dir, "benchmark"))
+    for items in passes:
+        docs = docs.withColumn("__hits", find_leaks([items], F.col("text"))).where(F.size("__hits") == 0).drop("__hits")
+        docs = stored(docs) if parts > 1 else docs
+    return docs

@@ -161,6 +161,23 @@ def test_leaks_in_parts_of_the_benchmark(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect())) == whole != []
 
 
+def test_one_part_of_the_benchmark_at_a_time(spark, docs, monkeypatch):
+    sf, most = "/root/testdata/sf0.001", []
+    benchmark = table(spark, sf, "benchmark")
+    clean = sorted(r.doc_id for r in decontaminate.keep_clean(spark, docs, sf).collect())
+    find = decontaminate.find_leaks
+
+    def one(passes, text):
+        most.append(len(passes))
+        return find(passes, text)
+
+    monkeypatch.setattr(decontaminate, "PASS_WINDOWS", 500)
+    monkeypatch.setattr(decontaminate, "find_leaks", one)
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(spark, docs, sf).collect()) == clean
+    decontaminate.contaminated(docs, benchmark).collect()
+    assert max(most) == 1 and len(most) > 2
+
+
 def test_leaks_of_items_without_template_windows(spark):
     items = ["What is 17 * 23 + 4 * 9?", "Calculate 12 + 15 * 3", "2, 3, 5, 7, 11, 13, 17, 19, 23, 29", "Pride Prejudice", "Zanzibar?", "3 km + 4 m + 5 cm + 6 mm + 7 km + 8 m", "An Introduction To Quantum Mechanics", "++"]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
