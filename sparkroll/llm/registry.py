@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkroll.llm import bpe, decontaminate, html, language, lm, quality, sharding, simhash, sketch, tokens
+from sparkroll.llm import alignment, bpe, decontaminate, html, language, lm, negatives, quality, sharding, simhash, sketch, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": sketch.op1_fingerprints,
@@ -19,5 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_deleted_interpolation": lm.op8_deleted_interpolation,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_bpe": bpe.op10_bpe,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_token_alignment": alignment.op12_token_alignment,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_hard_negatives": negatives.ORACLE}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -20,30 +22,46 @@ CHUNK, OVERLAP = 32_768, 512
 WIDEN = 8
 #: A boundary is stable only so far from the end of a chunk: longer than any special string or contraction.
 MARGIN = 32
-REMEMBERED = 300_000
+#: Bytes of distinct words that one call of `boundaries` keeps counts of; beyond, it begins anew.
+REMEMBERED_BYTES = 32 << 20
 LIMIT = 1024
 
 
 class Counter:
-    """Counts of one tokenizer file. Words, as the tokenizer splits them, are counted by the library and remembered."""
+    """Ids and counts of one byte-level tokenizer file.
+
+    The file's own library is the measure. Where its merges are in the order of
+    their ids, as byte-level files have them, the same merges run several times
+    as fast through `tiktoken`; the library then encodes only texts with code
+    points that this Python does not know, and runs of white space too long for
+    the other one's pattern.
+    """
 
     def __init__(self, path: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
         self.split = regex.compile(public_tokenizers.PATTERN)
-        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(specials, key=len, reverse=True)))
-        self.words: dict[str, int] = {}
-
-    def learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.words))
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list(dict.fromkeys(words))
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[word] = len(found)
+        self.token_bytes = byte_level_tokens(path)
+        self.fast = None
+        if in_rank_order(path):
+            import tiktoken
+
+            ranks = {b: i for i, b in enumerate(self.token_bytes) if b is not None and i not in specials.values()}
+            self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=specials)
+
+    def ids(self, text: str, special: bool) -> np.ndarray:
+        """Token ids of a text; `special` says whether the strings of special tokens stand for these."""
+        if self.fast is not None and (text.isascii() or not has_unassigned(text)):
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all" if special else set(), disallowed_special=())
+            except ValueError:  # the pattern's stack ends at about a million blanks in a row
+                pass
+        return np.array((self.library if special else self.plain).encode(text, add_special_tokens=False).ids, np.uint32)
 
     def segments(self, text: str) -> Iterator[tuple[int, str | None]]:
         """(start, ordinary text) of the parts between special strings, (start, None) for these."""
@@ -58,20 +76,7 @@ class Counter:
 
     def count(self, text: str) -> int:
         """Tokens of a text."""
-        if not text.isascii() and has_unassigned(text):
-            return len(self.library.encode(text, add_special_tokens=False))
-        total = 0
-        for _, ordinary in self.segments(text):
-            if ordinary is None:
-                total += 1
-                continue
-            words = self.split.findall(ordinary)
-            found = list(map(self.words.get, words))
-            if None in found:
-                self.learn(words)
-                found = list(map(self.words.__getitem__, words))
-            total += sum(found)
-        return total
+        return len(self.ids(text, special=True))
 
     def boundaries(self, text: str) -> tuple[list[int], list[int]]:
         """Where words and special strings begin, and how many tokens lie before each; the end comes last."""
@@ -91,14 +96,44 @@ class Counter:
                 for found in self.split.finditer(ordinary):
                     places.append(start + found.start())
                     words.append(found.group())
-        self.learn([w for w in words if w])
-        before, counts = 0, []
+        known, size, before, counts = {"": 1}, 0, 0, []
         for word in words:
             counts.append(before)
-            before += self.words[word] if word else 1
+            n = known.get(word)
+            if n is None:
+                n = known[word] = len(self.ids(word, special=False))
+                size += len(word)
+                if size > REMEMBERED_BYTES:
+                    known, size = {"": 1}, 0
+            before += n
         return [*places, len(text)], [*counts, before]
 
 
+def _model(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)["model"]
+
+
+def byte_level_tokens(path: str) -> list[bytes | None]:
+    """The bytes that each id of a byte-level vocabulary stands for; None for ids of characters outside the byte alphabet."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    letters = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    vocabulary = _model(path)["vocab"]
+    out: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        if all(c in letters for c in token):
+            out[i] = bytes(letters[c] for c in token)
+    return out
+
+
+def in_rank_order(path: str) -> bool:
+    """Whether each merge of the file makes a larger id than the one before it, and all single bytes have an id."""
+    model = _model(path)
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    return all(a < b for a, b in zip(made, made[1:])) and len({t for t in byte_level_tokens(path) if t is not None and len(t) == 1}) == 256
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     return Counter(path)
@@ -183,9 +218,8 @@ def splice(encoded: DataFrame) -> DataFrame:
     last chunk plus, for each meeting, what lies before it in the earlier chunk
     less what lies before it in the later one.
     """
-    once = encoded.dropDuplicates(["digest", "idx"])
-    later = once.where("idx > 0").select("digest", (F.col("idx") - 1).alias("idx"), "heads", "head_counts")
-    met = once.select("digest", "idx", "last", "total", "tails", "tail_counts").join(later, ["digest", "idx"], "left")
+    later = encoded.where("idx > 0").select("digest", (F.col("idx") - 1).alias("idx"), "heads", "head_counts")
+    met = encoded.select("digest", "idx", "last", "total", "tails", "tail_counts").join(later, ["digest", "idx"], "left")
     met = met.withColumn("at", F.array_max(F.array_intersect("tails", "heads")))
 
     def before(places: str, counts: str) -> Column:
@@ -199,8 +233,10 @@ def count_long(long_texts: DataFrame, path: str, chunk: int = CHUNK, overlap: in
     """digest, n_tokens of long texts (digest, text). Texts that fail to align are cut again with a wider overlap."""
     done, spark = None, long_texts.sparkSession
     while True:
-        parts = cut(long_texts, chunk, overlap).repartition(shuffle_partitions(spark), "digest", "idx")
-        result = stored(splice(encode_chunks(parts, path, overlap)))
+        # a repeated row leaves one chunk in each task, and then one in all
+        parts = cut(long_texts, chunk, overlap).dropDuplicates(["digest", "idx"]).repartition(shuffle_partitions(spark), "digest", "idx")
+        # both sides of the splice read the encoded chunks, so these are stored
+        result = stored(splice(stored(encode_chunks(parts, path, overlap))))
         good = result.where("failed = 0").select("digest", "n_tokens")
         done = good if done is None else done.unionByName(good)
         bad = result.where("failed = 1").select("digest")
@@ -210,11 +246,22 @@ def count_long(long_texts: DataFrame, path: str, chunk: int = CHUNK, overlap: in
         overlap *= WIDEN
 
 
+def one_of_each(long: DataFrame) -> DataFrame:
+    """digest and text of the row with the least id of each digest; several only where an id is repeated.
+
+    Ids are told by digest first, so a text copied a million times is one
+    small row of each task there, and its copies are dealt by id as well.
+    """
+    named = long.select("digest", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), "text")
+    first = named.groupBy("digest").agg(F.min("name").alias("name"))
+    return named.join(first, ["digest", "name"], "left_semi").select("digest", "text")
+
+
 def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, one row for each row of `documents`.
 
     A null text counts as empty (0 bytes, 0 tokens). Texts above `chunk`
-    characters are known by their SHA-256, so equal ones are spliced once and
+    characters are known by their SHA-256, so equal ones are cut and encoded once and
     repeated rows all get their count; ids may be null or repeated.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -223,7 +270,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT, chunk: int
     is_long = (F.col("n_bytes") > chunk) & (F.char_length("text") > chunk)
     short = rows.where(~is_long).select("doc_id", "n_bytes", count_short(path, "text").alias("n_tokens"))
     long = rows.where(is_long).withColumn("digest", F.sha2("text", 256))
-    counted = count_long(long.select("digest", "text"), path, chunk, overlap)
+    counted = count_long(one_of_each(long), path, chunk, overlap)
     long = long.select("doc_id", "n_bytes", "digest").join(counted, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
     return short.unionByName(long).select("*", (F.col("n_tokens") > limit).alias("over_limit"))
 

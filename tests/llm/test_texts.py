@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkroll.llm import bpe, decontaminate, html, sketch, tokens
@@ -242,3 +243,21 @@ def test_encoding_stage_decodes(spark, docs):
     for row in bpe.coded_digests(docs, bpe.vocabulary_path()).collect():
         r = stage[row.doc_id]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (row.n_tokens, row.ids_sha256, row.decoded_sha256) and len(r.ids) == r.n_tokens
+
+
+def test_hot_long_text_is_encoded_once(spark, byte_library):
+    text = "a long text, again " * 3000
+    frame = spark.createDataFrame([(k % 40, text) for k in range(60)] + [(None, text), (7, text + "!")], "doc_id bigint, text string").repartition(6)
+    long = frame.withColumn("digest", F.sha2("text", 256))
+    assert tokens.cut(tokens.one_of_each(long), tokens.CHUNK, tokens.OVERLAP).groupBy("digest").agg(F.count_distinct("idx").alias("chunks")).count() == 2
+    assert tokens.one_of_each(long.where("doc_id is null or doc_id < 40").dropDuplicates(["doc_id", "text"])).count() == 2
+    n = {t: len(byte_library.encode(t, add_special_tokens=False)) for t in (text, text + "!")}
+    rows = tokens.count_tokens(frame, tokens.vocabulary_path()).collect()
+    assert sorted(r.n_tokens for r in rows) == sorted([n[text]] * 61 + [n[text + "!"]])
+
+
+def test_ids_fall_back_to_the_library(byte_library):
+    tool = tokens.counter(tokens.vocabulary_path())
+    for text in (" " * 1_100_000 + "x", "͸a <|endoftext|>", "\U00031350"):
+        assert tool.ids(text, special=True).tolist() == byte_library.encode(text, add_special_tokens=False).ids
+    assert 50256 not in tool.ids("a<|endoftext|>", special=False).tolist() and tool.fast is not None
