@@ -19,9 +19,11 @@ and no table of all pairs is sent to every task.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,85 +38,173 @@ from sparkroll.llm.tokens import counter
 BLOCK_LINKS = 3_000_000
 #: Bits of a B id in a pair; ids of either vocabulary are below 2 ** 20.
 B_BITS = 20
+#: Tokens behind a cut that are compared one by one before slices are.
+NEAR = 4
 #: Texts that go through the tokenizers at once.
-AT_ONCE = 64
+AT_ONCE = 256
+#: Words up to this length are remembered, in two generations of about so many bytes, an entry counting ENTRY.
+LONG, REMEMBERED_BYTES, ENTRY = 64, 128 << 20, 300
+#: White space beside a space, where a word of its own would be split otherwise than in its place.
+AMBIGUOUS = re.compile(r" \s|\s ")
 
 
 @dataclass(frozen=True)
 class Pair:
-    """The tokenizers of both sides and the bytes of their tokens."""
+    """The files of both tokenizers: A is byte-level, B is a sentencepiece model that adds a leading space."""
 
     path_a: str
     path_b: str
 
-    def ids_a(self, text: str) -> np.ndarray:
-        """Ids by A of a text that already begins with the added space; special strings are plain text."""
-        return counter(self.path_a).ids(text, special=False)
 
-    @property
-    def bytes_a(self) -> list[bytes | None]:
-        return counter(self.path_a).token_bytes
+class Encoder:
+    """Token ids by both tokenizers, and the bytes of their ids.
 
-    def ids_b(self, texts: list[str]) -> list[list[int]]:
-        """Ids by B, which adds the leading space itself."""
-        return _pieces(self.path_b)[0].encode(texts, num_threads=1)
+    Both cut before a single space between other signs: A's pattern begins a
+    word there, and no piece of B has a space behind another sign. So such texts
+    are encoded word by word, and words are remembered; other texts as a whole.
+    """
 
-    @property
-    def bytes_b(self) -> list[bytes | None]:
-        return _pieces(self.path_b)[1]
+    def __init__(self, pair: Pair):
+        import sentencepiece
+
+        self.a, self.b = counter(pair.path_a), sentencepiece.SentencePieceProcessor(model_file=pair.path_b)
+        spelled = [_piece(self.b, i) for i in range(self.b.get_piece_size())]
+        # ids without bytes get one that no text has
+        self.bytes_a, self.bytes_b = [[b"\xff" if x is None else x for x in side] for side in (self.a.token_bytes, spelled)]
+        self.sizes_a, self.sizes_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
+        self.by_words = all(b" " not in x.lstrip(b" ") for x in self.bytes_b)
+        # A spells what it was given, unless the file changes texts first
+        self.faithful = self.a.library.normalizer is None and self.a.fast is not None
+        # what was asked for lately, and before that: ids of a word by A and B as bytes of 32-bit numbers, and whether both spell it
+        self.young: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.unspelled: set[str] = set()
+        self.size = 0
+
+    def words_of(self, text: str) -> list[str] | None:
+        """The words of a text, if it may be encoded word by word."""
+        raw = " " + text
+        return None if not self.by_words or raw[-1] == " " or AMBIGUOUS.search(raw) else text.split(" ")
+
+    def spells(self, text: str, a: list[int], b: list[int]) -> bool:
+        raw = b" " + text.encode()
+        spelled_a = self.faithful or b"".join(map(self.bytes_a.__getitem__, a)) == raw
+        return spelled_a and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of these words, and forget those that were not asked for lately."""
+        if self.size > REMEMBERED_BYTES:
+            self.old, self.young, self.size = self.young, ({}, {}), 0
+            self.unspelled = {w for w in self.unspelled if w in self.old[0]}
+        a_ids, b_ids = self.young
+        new = []
+        for word in words.difference(a_ids):
+            known = self.old[0].get(word)
+            if known is None:
+                new.append(word)
+                continue
+            a_ids[word], b_ids[word] = known, self.old[1][word]
+            self.size += ENTRY
+        for word, a, b in self.together([w for w in new if not w[-1].isspace()]) + self.singly([w for w in new if w[-1].isspace()]):
+            a_ids[word], b_ids[word] = a, b
+            self.size += ENTRY + 2 * len(word)
+
+    def together(self, words: list[str]) -> list[tuple[str, bytes, bytes]]:
+        """Ids of words, read as one text and cut at the words' ends."""
+        if not words:
+            return []
+        text = " ".join(words)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        a, b = self.a.ids(" " + text, special=False), np.array(self.b.encode(text), np.uint32)
+        sides = []
+        if self.spells(text, a.tolist(), b.tolist()):
+            for ids, sizes in ((a.astype(np.uint32), self.sizes_a), (b, self.sizes_b)):
+                at = np.cumsum(sizes[ids])
+                place = np.searchsorted(at, ends)
+                if np.array_equal(at[place], ends):
+                    data, stops = ids.tobytes(), (4 * (place + 1)).tolist()
+                    sides.append([data[i:j] for i, j in zip([0, *stops], stops)])
+        return list(zip(words, *sides, strict=True)) if len(sides) == 2 else self.singly(words)
+
+    def singly(self, words: list[str]) -> list[tuple[str, bytes, bytes]]:
+        out = []
+        for word in words:
+            a, b = self.a.word_ids(" " + word), self.b.encode(word)
+            if not self.spells(word, a, b):
+                self.unspelled.add(word)
+            out.append((word, np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes()))
+        return out
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids by A of " " + text, and by B of each text; None if either side does not spell it."""
+        split = [self.words_of(t) if t else None for t in texts]
+        words = set(chain.from_iterable(w for w in split if w))
+        self.learn({w for w in words if len(w) <= LONG})
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None or max(map(len, words)) > LONG:
+                a, b = self.a.ids(" " + text, special=False), self.b.encode(text)
+                out.append((a.astype(np.int64), np.array(b, np.int64)) if self.spells(text, a.tolist(), b) else None)
+            elif self.unspelled and not self.unspelled.isdisjoint(words):
+                out.append(None)
+            else:
+                out.append(tuple(np.frombuffer(b"".join(map(side.__getitem__, words)), np.uint32).astype(np.int64) for side in self.young))
+        return out
+
+
+def _piece(model, i: int) -> bytes | None:
+    piece = model.id_to_piece(i)
+    if model.is_byte(i):
+        return bytes([int(piece[3:-1], 16)])
+    return None if model.is_control(i) or model.is_unknown(i) else piece.replace("▁", " ").encode()
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str):
-    import sentencepiece
+def encoder(pair: Pair) -> Encoder:
+    return Encoder(pair)
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    out: list[bytes | None] = []
-    for i in range(model.get_piece_size()):
-        piece = model.id_to_piece(i)
-        if model.is_byte(i):
-            out.append(bytes([int(piece[3:-1], 16)]))
-        elif model.is_control(i) or model.is_unknown(i):
-            out.append(None)
-        else:
-            out.append(piece.replace("▁", " ").encode())
-    return model, out
 
-
-@lru_cache(maxsize=4)
-def _names(size: int) -> list[str]:
-    """Each id below `size` as text with what follows it: a comma, or the end of its side."""
-    return [f"{i}," for i in range(size)] + [f"{i}|" for i in range(size)] + [f"{i};" for i in range(size)]
+@lru_cache(maxsize=2)
+def _names(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each id below `size` in digits with what follows it (a comma, a bar, a semicolon), as rows of bytes; and which bytes count."""
+    names = [f"{i}{mark}".encode() for mark in ",|;" for i in range(size)]
+    lengths = np.array(list(map(len, names)))
+    table = np.zeros((len(names), int(lengths.max())), np.uint8)
+    inside = np.arange(table.shape[1])[None, :] < lengths[:, None]
+    table[inside] = np.frombuffer(b"".join(names), np.uint8)
+    return table, inside
 
 
-def common_cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+def common_cuts(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of A and of B lie before each common end, by diagonal run skipping.
 
     Both lists ascend and end with the same number; two empty lists have no cut.
     """
-    cuts_a: list[int] = []
-    cuts_b: list[int] = []
+    # stretches of cuts: the first one's place in both, and how many follow one to one
+    firsts: list[int] = []
+    shifts: list[int] = []
+    lengths: list[int] = []
     i, j, n, m = 0, 0, len(ends_a), len(ends_b)
     while i < n:
         a, b = ends_a[i], ends_b[j]
-        if a != b:
-            # an irregular group: the smaller end moves on until both meet
-            while a != b:
-                if a < b:
-                    i += 1
-                    a = ends_a[i]
-                else:
-                    j += 1
-                    b = ends_b[j]
-            i += 1
-            j += 1
-            cuts_a.append(i)
-            cuts_b.append(j)
-            continue
+        # an irregular group: the smaller end moves on until both meet
+        while a != b:
+            if a < b:
+                i += 1
+                a = ends_a[i]
+            else:
+                j += 1
+                b = ends_b[j]
         first, shift, step = i, j - i, 1
         i += 1
         most = min(n, m - shift)
-        while i + step <= most and ends_a[i : i + step] == ends_b[i + shift : i + shift + step]:
+        near = min(i + NEAR, most)
+        while i < near and ends_a[i] == ends_b[i + shift]:
+            i += 1
+        # further on, slices are compared; where the stretch has ended already, the first one fails
+        while i == near or step > 1:
+            if i + step > most or ends_a[i : i + step] != ends_b[i + shift : i + shift + step]:
+                break
             i += step
             step *= 2
         while step > 1:
@@ -122,9 +212,18 @@ def common_cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[i
             if i + step <= most and ends_a[i : i + step] == ends_b[i + shift : i + shift + step]:
                 i += step
         j = i + shift
-        cuts_a.extend(range(first + 1, i + 1))
-        cuts_b.extend(range(first + shift + 1, j + 1))
-    return cuts_a, cuts_b
+        firsts.append(first + 1)
+        shifts.append(shift)
+        lengths.append(i - first)
+    if not firsts:
+        return NOTHING, NOTHING
+    size = np.array(lengths)
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    cuts = np.repeat(np.array(firsts), size) + within
+    return cuts, cuts + np.repeat(np.array(shifts), size)
+
+
+NOTHING = np.zeros(0, np.int64)
 
 
 @dataclass(frozen=True)
@@ -135,16 +234,16 @@ class Aligned:
     b: np.ndarray
     ends_a: np.ndarray
     ends_b: np.ndarray
-    cuts_a: list[int]
-    cuts_b: list[int]
+    cuts_a: np.ndarray
+    cuts_b: np.ndarray
 
-    def described(self) -> str:
+    def described(self) -> bytes:
         """`a1,a2|b1;a3|b2,b3`: ids of each group in order; the last group has no semicolon behind it."""
         if len(self.a) == 0:
-            return ""
+            return b""
         size = 1 << B_BITS if max(self.a.max(), self.b.max()) >= 65_536 else 65_536
-        code_a, code_b = self.a.astype(np.int64), self.b.astype(np.int64)
-        ends_a, ends_b = np.array(self.cuts_a), np.array(self.cuts_b)
+        code_a, code_b = self.a.copy(), self.b.copy()
+        ends_a, ends_b = self.cuts_a, self.cuts_b
         code_a[ends_a - 1] += size
         code_b[ends_b - 1] += 2 * size
         # a token of A stands behind all of B in earlier groups, and the other way round behind A's of its own
@@ -153,40 +252,35 @@ class Aligned:
         order = np.empty(len(code_a) + len(code_b), np.int64)
         order[np.arange(len(code_a)) + before_b] = code_a
         order[np.arange(len(code_b)) + before_a] = code_b
-        return "".join(map(_names(size).__getitem__, order.tolist()))[:-1]
+        table, inside = _names(size)
+        return table[order][inside[order]].tobytes()[:-1]
 
     def links(self) -> np.ndarray:
-        """The id pair of each link, as A id * 2 ** B_BITS + B id, in text order.
+        """The id pair of each link, as A id * 2 ** B_BITS + B id.
 
         Each stretch between two neighbouring ends of either side lies in one
-        token of A and one of B, and two tokens share at most one stretch.
+        token of A and one of B, and two tokens share at most one stretch. So
+        there is one link for each end of A, and one for each end of B that is no cut.
         """
-        ends = np.union1d(self.ends_a, self.ends_b)
-        return (self.a[np.searchsorted(self.ends_a, ends)].astype(np.int64) << B_BITS) | self.b[np.searchsorted(self.ends_b, ends)]
+        alone = np.ones(len(self.b), bool)
+        alone[self.cuts_b - 1] = False
+        beside_b = self.a[np.searchsorted(self.ends_a, self.ends_b[alone])]
+        beside_a = self.b[np.searchsorted(self.ends_b, self.ends_a)]
+        return np.concatenate([(self.a << B_BITS) | beside_a, (beside_b << B_BITS) | self.b[alone]])
 
 
-NOTHING = np.zeros(0, np.int64)
-UNALIGNED = Aligned(NOTHING, NOTHING, NOTHING, NOTHING, [], [])
+UNALIGNED = Aligned(NOTHING, NOTHING, NOTHING, NOTHING, NOTHING, NOTHING)
 
 
 def align(pair: Pair, texts: list[str | None]) -> list[Aligned]:
     """The alignment of each text. A null or empty text, or one that either side does not spell exactly, has no tokens."""
-    out = []
-    filled = [t or "" for t in texts]
-    bytes_a, bytes_b = pair.bytes_a, pair.bytes_b
-    for text, b in zip(filled, pair.ids_b(filled), strict=True):
-        raw = b" " + text.encode()
-        if not text:
-            out.append(UNALIGNED)
-            continue
-        a = pair.ids_a(" " + text)
-        parts_a, parts_b = [bytes_a[i] or b"" for i in a.tolist()], [bytes_b[i] or b"" for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+    out, tool, filled = [], encoder(pair), [t or "" for t in texts]
+    for text, found in zip(filled, tool.ids(filled), strict=True):
+        if not text or found is None:
             out.append(UNALIGNED)
             continue
-        ends_a, ends_b = np.cumsum(list(map(len, parts_a))), np.cumsum(list(map(len, parts_b)))
-        cuts = common_cuts(ends_a.tolist(), ends_b.tolist())
-        out.append(Aligned(a, np.array(b, np.int64), ends_a, ends_b, *cuts))
+        ends_a, ends_b = np.cumsum(tool.sizes_a[found[0]]), np.cumsum(tool.sizes_b[found[1]])
+        out.append(Aligned(*found, ends_a, ends_b, *common_cuts(ends_a.tolist(), ends_b.tolist())))
     return out
 
 
@@ -202,7 +296,7 @@ def aligned_groups(documents: DataFrame, pair: Pair) -> DataFrame:
         for batch in batches:
             found = align(pair, batch.column(1).to_pylist())
             columns = [[x.a for x in found], [x.b for x in found], [x.cuts_a for x in found], [x.cuts_b for x in found]]
-            ends = [x.ends_a[np.array(x.cuts_a, np.int64) - 1] if x.cuts_a else NOTHING for x in found]
+            ends = [x.ends_a[x.cuts_a - 1] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([np.asarray(v, np.int32) for v in c], ints) for c in columns), pa.array(ends, pa.list_(pa.int64()))], schema=schema)
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, GROUPS)
@@ -231,11 +325,12 @@ class _Block:
     def add(self, doc_id: int | None, found: Aligned) -> None:
         self.ids.append(doc_id)
         self.counts.append((len(found.a), len(found.b), len(found.cuts_a)))
-        self.digests.append(hashlib.sha256(found.described().encode()).hexdigest() if len(found.a) else "")
-        pairs, times = np.unique(found.links(), return_counts=True) if len(found.a) else (NOTHING, NOTHING)
-        self.pairs.append(pairs)
-        self.times.append(times.astype(np.int32))
-        self.links += int(times.sum())
+        self.digests.append(hashlib.sha256(found.described()).hexdigest() if len(found.a) else "")
+        links = np.sort(found.links())
+        starts = np.flatnonzero(np.diff(links, prepend=-1))
+        self.pairs.append(links[starts])
+        self.times.append(np.diff(starts, append=len(links)).astype(np.int32))
+        self.links += len(links)
 
     def row(self, name: str) -> dict:
         sizes = [len(p) for p in self.pairs]

@@ -301,13 +301,13 @@ def op11_hard_negatives(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 with used as (
-  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and label is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), scored as (
   select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id as other_id, b.label as other_label,
-    cast(list_sum(list_transform(list_zip(a.v, b.v), p -> coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) as score
+    cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) as score
   from used a, used b where a.vec_id % 100 = 0
 ), positives as (
   select anchor_id, anchor_label, other_id as positive_id, score as positive_score from scored

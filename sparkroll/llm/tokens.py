@@ -63,6 +63,12 @@ class Counter:
                 pass
         return np.array((self.library if special else self.plain).encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of a short text whose special strings are plain text, as a list."""
+        if self.fast is not None and (word.isascii() or not has_unassigned(word)):
+            return self.fast.encode_ordinary(word)
+        return self.plain.encode(word, add_special_tokens=False).ids
+
     def segments(self, text: str) -> Iterator[tuple[int, str | None]]:
         """(start, ordinary text) of the parts between special strings, (start, None) for these."""
         at = 0
