@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkroll.llm import alignment, bpe, decontaminate, html, language, lm, negatives, quality, sharding, simhash, sketch, tokens
+from sparkroll.llm import alignment, bpe, decontaminate, html, language, lm, negatives, quality, sharding, simhash, sketch, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": sketch.op1_fingerprints,
@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 ORACLES: dict[str, str] = {"op11_hard_negatives": negatives.ORACLE}

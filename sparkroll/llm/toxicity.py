@@ -2,20 +2,22 @@
 
 A text is a list of sentences, a sentence a list of units: its words, and runs
 of very short words taken together, so that letters set apart by blanks stand in
-one unit. The kernel of two units counts the subsequences of three letters they
-share, each weighted by LAMBDA for every place it spans beyond three (spans of up
-to SPAN places), is normalised to 1 for equal units, and is raised to a power.
-Signs, digits and inserted letters only widen a span, so `i.d.i.o.t` and
-`idixot` stay near `idiot`. Two sentences have the sum over their pairs of units.
+one unit; signs inside a unit are left out. The kernel of two units counts the
+subsequences of three letters they share, each weighted by LAMBDA for every place
+it spans beyond three (spans of up to SPAN places), is normalised to 1 for equal
+units, and is raised to a power. Inserted letters only widen a span, so `idixot`
+stays near `idiot`, and `i.d.i.o.t` is the same. Two sentences have the sum over their pairs of
+distinct units.
 
 The Nystrom landmarks are units of the training sentences: those that tell the
 two labels apart best, and frequent units of both. A unit's features are its
 kernel values with the landmarks times the inverse root of the landmarks' own
 kernel matrix; a sentence has the sum. A linear machine (hinge loss) is trained
 on sentences, which take the label of their text at first; sentences of toxic
-texts that the machine finds harmless are then relabelled, a few times over.
-As the machine is linear, a unit has one value, and a text is scored by the
-greatest sum over a sentence, turned into a probability (Platt).
+texts that look like those of other texts are then relabelled, a few times over.
+As the machine is linear, a unit has one value and a sentence a sum of them. A
+text is scored by its TOP greatest sentences, turned into a probability (Platt's
+logistic curve), so that one slip weighs less than a habit.
 """
 
 from __future__ import annotations
@@ -30,23 +32,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sparkroll.llm.common import bounded_sample, code_points, fold, pieces, prepared, run_hashes, stored, table, text_buffers
+from sparkroll.llm.common import bounded_sample, code_points, fold, mixed, pieces, prepared, run_hashes, stored, table, text_buffers
 
 #: The most labelled documents and sentences the model is fitted on, shared out among the labels.
 TRAINING_DOCUMENTS, TRAINING_SENTENCES = 6000, 24_000
 #: Landmarks that tell the labels apart, and frequent ones.
-TELLING, FREQUENT = 64, 32
+TELLING, FREQUENT = 96, 32
+#: Units that the telling ones are picked from, and the kernel value from which two are too alike to be both landmarks.
+CANDIDATES, ALIKE = 1000, 0.9
 #: A telling unit is in so many toxic documents of the sample at least.
 LEAST_DOCUMENTS = 3
-ORDER, SPAN, LAMBDA, POWER = 3, 6, 0.8, 4
+ORDER, SPAN, LAMBDA, POWER = 3, 6, 0.8, 2
 #: Kernel values below this (before the power) count as zero.
 FLOOR = 0.3
 #: A unit is read in windows of so many places, each beginning HOP behind the one before.
 WIDTH, HOP = 24, 16
 #: Words of at most so many letters are joined with their short neighbours.
 SHORT = 2
-PENALTY, EPOCHS, ROUNDS = 1.0, 30, 4
+#: Weight of the loss against the norm, Newton steps, rounds of relabelling, and the share of clean sentences that a toxic one lies above.
+PENALTY, NEWTON_STEPS, ROUNDS, CLEAN_SHARE = 2000.0, 30, 5, 0.998
 FLAG_FROM = 0.5
+#: Sentences that a text is scored by, and the bound on their values.
+TOP, CLIP = 3, 5.0
 #: Distinct units whose values a task remembers.
 REMEMBERED = 500_000
 
@@ -130,6 +137,10 @@ def units_of(points: np.ndarray, offsets: np.ndarray) -> Units:
     end = np.concatenate([ends, ends[lasts[joined]]])
     keep = amount[end] - amount[begin] >= ORDER
     begin, end = begin[keep], end[keep]
+    # only letters count from here on: signs and blanks inside a unit are left out
+    at = np.flatnonzero((kind >= 1) & (kind <= 26))
+    only = kind[at]
+    begin, end = amount[begin], amount[end]
     # long units in overlapping windows
     windows = np.maximum(1, -(-(end - begin - WIDTH) // HOP) + 1)
     step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -138,10 +149,14 @@ def units_of(points: np.ndarray, offsets: np.ndarray) -> Units:
     order = np.argsort(begin, kind="stable")
     begin, end = begin[order], end[order]
     inside = np.arange(WIDTH)[None, :] < (end - begin)[:, None]
-    rows = np.where(inside, np.where(kind > 26, GAP, kind)[np.minimum(begin[:, None] + np.arange(WIDTH), len(kind) - 1)], GAP).astype(np.uint8)
+    rows = np.where(inside, only[np.minimum(begin[:, None] + np.arange(WIDTH), max(len(only) - 1, 0))] if len(only) else 0, 0).astype(np.uint8)
+    begin = at[begin] if len(at) else begin
     flat = np.concatenate([rows.astype(np.uint64) + np.uint64(1), np.zeros((len(rows), 1), np.uint64)], axis=1).ravel()
     hashes = run_hashes(flat, np.arange(len(rows)) * (WIDTH + 1)) if len(rows) else np.zeros(0, np.uint64)
-    return Units(rows, hashes, sentence_at[begin], owner_at[begin])
+    sentence, owner = sentence_at[begin], owner_at[begin]
+    # a unit counts once in a sentence, however often it is said
+    once = np.sort(np.unique(mixed(hashes + mixed(sentence.astype(np.uint64) + np.uint64(9))), return_index=True)[1])
+    return Units(rows[once], hashes[once], sentence[once], owner[once])
 
 
 def _shapes() -> list[tuple[int, int, float]]:
@@ -218,12 +233,12 @@ def _norms(unit: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np
 
 @dataclass(frozen=True)
 class Model:
-    """Landmarks, the weight of each kernel value, the machine's bias, and the scale and shift of its probability."""
+    """Landmarks, the weight of each kernel value, the machine's bias, and the slopes and shift of its probability."""
 
     landmarks: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
 
@@ -268,10 +283,26 @@ def pick_landmarks(sample: DataFrame, telling: int = TELLING, frequent: int = FR
     # the difference of the shares over its deviation, as for two proportions
     score = (share_bad - share_good) / F.sqrt((share_bad + share_good) / 2 + F.lit(1e-3))
     ranked = stored(counts.withColumn("score", score))
-    best = ranked.where((F.col("bad") >= least) & (F.col("score") > 0)).orderBy(F.desc("score"), "unit").limit(telling).collect()
-    common = ranked.orderBy(F.desc(F.col("bad") + F.col("good")), "unit").limit(frequent).collect()
-    chosen = list(dict.fromkeys(bytes(r.unit) for r in (*best, *common)))
-    return np.array([np.frombuffer(u, np.uint8) for u in chosen], np.uint8).reshape(-1, WIDTH)
+    best = ranked.where((F.col("bad") >= least) & (F.col("score") > 0)).orderBy(F.desc("score"), "unit").limit(CANDIDATES).collect()
+    common = ranked.orderBy(F.desc(F.col("bad") + F.col("good")), "unit").limit(2 * frequent).collect()
+    best, common = (np.array([np.frombuffer(r.unit, np.uint8) for r in c], np.uint8).reshape(-1, WIDTH) for c in (best, common))
+    chosen = spread_out(best, np.zeros((0, WIDTH), np.uint8), telling)
+    return spread_out(common, chosen, len(chosen) + frequent)
+
+
+def spread_out(candidates: np.ndarray, chosen: np.ndarray, most: int) -> np.ndarray:
+    """`chosen` and further candidates in their order, each unlike all before it, `most` at the utmost."""
+    together = np.concatenate([chosen, candidates])
+    if len(together) == 0:
+        return chosen
+    alike = Landmarks(together).kernel(together) >= ALIKE
+    kept = list(range(len(chosen)))
+    for k in range(len(chosen), len(together)):
+        if len(kept) >= most:
+            break
+        if not alike[k, kept].any():
+            kept.append(k)
+    return together[kept]
 
 
 def _root(rows: np.ndarray) -> tuple[Landmarks, np.ndarray]:
@@ -298,67 +329,88 @@ def sentence_features(rows: np.ndarray) -> Column:
     return arrow_udf(run, "array<array<float>>").asNondeterministic()("text")
 
 
-def fit_machine(features: np.ndarray, toxic: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss, both labels weighing alike, by averaged gradient steps."""
-    rng = np.random.default_rng(seed)
+def fit_machine(features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine with squared hinge loss, both labels weighing alike, by Newton steps."""
     x = np.concatenate([features, np.ones((len(features), 1))], axis=1)
     y = np.where(toxic, 1.0, -1.0)
-    weight = np.where(toxic, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9))
-    w, total, steps = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
-    limit = 1.0 / max(1e-9, float((x**2).sum(axis=1).max()))
-    size = 64
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(x))
-        for at in range(0, len(order), size):
-            pick = order[at : at + size]
-            slack = np.maximum(0, 1 - y[pick] * (x[pick] @ w))
-            gradient = -2 * ((weight[pick] * slack * y[pick]) @ x[pick]) / len(pick)
-            gradient[:-1] += w[:-1] * PENALTY / len(x)
-            w = w - min(0.5 * limit * 8, 0.5) / (1 + 0.1 * epoch) * gradient
-            if epoch >= EPOCHS // 2:
-                total, steps = total + w, steps + 1
-    w = total / max(steps, 1)
+    weight = PENALTY * np.where(toxic, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9)) / len(x)
+    ridge = np.append(np.ones(features.shape[1]), 1e-6)
+    w = np.zeros(x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        return float((ridge * v**2).sum() / 2 + (weight * np.maximum(0, 1 - y * (x @ v)) ** 2).sum())
+
+    for _ in range(NEWTON_STEPS):
+        slack = np.maximum(0, 1 - y * (x @ w))
+        inside = slack > 0
+        gradient = ridge * w - 2 * ((weight * slack * y) @ x)
+        hessian = np.diag(ridge) + 2 * (x[inside] * weight[inside, None]).T @ x[inside]
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
     return w[:-1], float(w[-1])
 
 
-def fit(sentences: list[np.ndarray], toxic: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float, float, float]:
-    """(weights, bias, slope, shift) from the sentence features of each text (n x landmarks) and the texts' labels."""
+def fit(sentences: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, float]:
+    """(weights, bias, slopes, shift) from the sentence features of each text (n x landmarks) and the texts' labels.
+
+    At first a sentence has the label of its text. In each further round only
+    those sentences of toxic texts keep it that the machine places above nearly
+    all sentences of other texts; the rest are harmless ones of toxic texts.
+    """
     owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    x = np.concatenate(sentences)
-    labels = toxic[owner].astype(bool)
-    # sentences without a feature say nothing and would only outvote the others
-    speaks = np.abs(x).max(axis=1, initial=0) > 1e-6
+    x, of_toxic = np.concatenate(sentences), toxic[owner].astype(bool)
+    labels = of_toxic
     w, b = np.zeros(x.shape[1]), -1.0
     for _ in range(ROUNDS):
         if not labels.any() or labels.all():
             break
-        used = speaks | ~labels
-        w, b = fit_machine(x[used], labels[used], seed)
-        again = toxic[owner].astype(bool) & (x @ w + b > 0)
+        used = labels | ~of_toxic
+        w, b = fit_machine(x[used], labels[used])
+        values = x @ w + b
+        again = of_toxic & (values > np.quantile(values[~of_toxic], CLEAN_SHARE))
         if (again == labels).all() or not again.any():
             break
         labels = again
-    best = np.full(len(sentences), b)
-    np.maximum.at(best, owner, x @ w + b)
-    return w, b, *platt(best, toxic.astype(bool))
+    return w, b, *platt(greatest(owner, x @ w + b, len(sentences), b), toxic.astype(bool))
+
 
+def greatest(owner: np.ndarray, values: np.ndarray, n: int, bias: float) -> np.ndarray:
+    """The TOP greatest values of each of `n` texts, falling; none is below the bias, which also fills up."""
+    out = np.full((n, TOP), bias)
+    order = np.lexsort((-values, owner))
+    owner, values = owner[order], np.maximum(values[order], bias)
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    some = rank < TOP
+    out[owner[some], rank[some]] = values[some]
+    return np.clip(out, -CLIP, CLIP)
 
-def platt(values: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the probability of the label at each value, by Newton steps with Platt's smoothed targets."""
+
+def platt(values: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of the probability of the label for rows of values, by Newton steps with Platt's smoothed targets."""
     up, down = toxic.sum(), (~toxic).sum()
     target = np.where(toxic, (up + 1) / (up + 2), 1 / (down + 2))
-    slope, shift = 1.0, float(np.log((up + 1) / (down + 1)))
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(slope * values + shift, -50, 50)))
-        error, spread = p - target, np.maximum(p * (1 - p), 1e-9)
-        g = np.array([(error * values).sum() + 1e-3 * (slope - 1), error.sum()])
-        h = np.array([[(spread * values**2).sum() + 1e-3, (spread * values).sum()], [(spread * values).sum(), spread.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        largest = np.abs(step).max()
-        slope, shift = slope - step[0] * min(1, 2 / largest), shift - step[1] * min(1, 2 / largest) if largest else shift
-        if largest < 1e-9:
+    x = np.concatenate([values, np.ones((len(values), 1))], axis=1)
+    ridge = np.append(np.full(values.shape[1], 0.1), 1e-6)
+    w = np.append(np.zeros(values.shape[1]), np.log((up + 1) / (down + 1)))
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((np.logaddexp(0, z) - target * z).sum() + (ridge * v**2).sum() / 2)
+
+    for _ in range(NEWTON_STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (p - target) + ridge * w)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return float(max(slope, 1e-6)), float(shift)
+    return w[:-1], float(w[-1])
 
 
 def train(documents: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS, sentences: int = TRAINING_SENTENCES) -> Model | None:
@@ -382,8 +434,8 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMEN
     found = found.select("doc_id", "toxic", F.transform(F.slice(F.array_sort(strength), 1, each), lambda p: p["x"]).alias("s")).collect()
     found = sorted(found, key=lambda r: (r.doc_id, r.toxic, len(r.s), [tuple(x) for x in r.s[:1]]))
     texts = [np.array(r.s, np.float64).reshape(-1, len(rows)) if r.s else np.zeros((1, len(rows))) for r in found]
-    w, bias, slope, shift = fit(texts, np.array([r.toxic for r in found]))
-    return Model(rows, _root(rows)[1] @ w, bias, slope, shift)
+    w, bias, slopes, shift = fit(texts, np.array([r.toxic for r in found]))
+    return Model(rows, _root(rows)[1] @ w, bias, slopes, shift)
 
 
 class Scorer:
@@ -410,12 +462,16 @@ class Scorer:
         return values[back]
 
     def best(self, texts: pa.Array) -> np.ndarray:
-        """The machine's greatest value over the sentences of each text; the bias alone where it has no units."""
-        out = np.full(len(texts), self.model.bias)
+        """The greatest values of the machine over the sentences of each text."""
+        owners, values = [np.zeros(0, np.int64)], [np.zeros(0)]
         for units, numbers in _batches(texts):
             owner, sums = sentence_sums(units, self.unit_values(units))
-            np.maximum.at(out, numbers[owner], sums + self.model.bias)
-        return out
+            owners.append(numbers[owner])
+            values.append(sums + self.model.bias)
+        return greatest(np.concatenate(owners), np.concatenate(values), len(texts), self.model.bias)
+
+    def probabilities(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.best(texts) @ self.model.slopes + self.model.shift, -50, 50)))
 
 
 def score(model: Model | None, text: str | Column) -> Column:
@@ -432,7 +488,7 @@ def score(model: Model | None, text: str | Column) -> Column:
             if scorer is None:
                 yield pa.array(np.zeros(len(batch)))
                 continue
-            yield pa.array(1 / (1 + np.exp(-np.clip(model.slope * scorer.best(batch) + model.shift, -50, 50))))
+            yield pa.array(scorer.probabilities(batch))
 
     return arrow_udf(run, "double").asNondeterministic()(text)
 
