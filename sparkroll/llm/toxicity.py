@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sparkroll.llm.common import bounded_sample, code_points, fold, mixed, pieces, prepared, run_hashes, stored, table, text_buffers
+from sparkroll.llm.common import bounded_sample, code_points, fold, mixed, pieces, prepared, run_hashes, shuffle_partitions, stored, table, text_buffers
 
 #: The most labelled documents and sentences the model is fitted on, shared out among the labels.
 TRAINING_DOCUMENTS, TRAINING_SENTENCES = 6000, 24_000
@@ -423,7 +423,7 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMEN
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id") != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = bounded_sample(known, "toxic", "doc_id", bound)
     # at most `bound` ids with a label, so the broadcast has a fixed size; ids that occur many times are cut in order of their text
-    sample = stored(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * bound))
+    sample = stored(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * bound).repartition(shuffle_partitions(documents.sparkSession), "doc_id"))
     rows = pick_landmarks(sample.where("text is not null"))
     if len(rows) == 0:
         return None
