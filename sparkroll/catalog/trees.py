@@ -41,12 +41,11 @@ def oracle(sql, base=PATHS):
 
 
 def nodes(spark, sf):
-    """The adjacency table is stored once; every level then reads the stored rows."""
-    return reliable_checkpoint(fx.f4(spark, sf))
+    return fx.f4(spark, sf)
 
 
 def scored(spark, sf):
-    return reliable_checkpoint(trees.tree_score(nodes(spark, sf)))
+    return trees.tree_score(nodes(spark, sf))
 
 
 def chained(spark, sf):
@@ -54,7 +53,7 @@ def chained(spark, sf):
 
 
 def paths(spark, sf):
-    return trees.tree_paths(chained(spark, sf))
+    return trees.chains(scored(spark, sf), DEPTH, FIELDS, BRANCH, wanted=~F.col("expanded"))
 
 
 def summary(df):

@@ -1,13 +1,14 @@
-"""Reasoning trees as an adjacency table, worked level by level.
+"""Reasoning trees as an adjacency table, with ancestors found by pointer doubling.
 
 Columns: tree_id, node_id, parent_id, depth, expanded, answer, is_correct, and
-any others. A level is one filtered scan, and there are as many as the deepest
-node has; `max_depth` only says how deep a tree was meant to be, for weights and
-repeats. Chains from the root are arrays of one struct a level. Wide nodes and big trees stay spread: children meet their parent by an
-equi-join and are averaged with map-side combine. A level feeds both the result
-and the next level: levels of chains are stored in the checkpoint folder, and
-every STORE_EVERY levels of scores, which bounds what is computed twice and what a
-lost executor costs.
+any others. Pointers to the parent become pointers to the ancestor 2, 4, 8, ...
+levels up by joining them with themselves; a set of nodes meets all its ancestors
+by taking one kind of pointer after the other, so a tree of depth d needs
+log2(d) rounds of joins, not d. Only ids travel in them; what else a chain holds is
+joined to the finished pairs. Every few rounds ids are stored in the checkpoint
+folder, which bounds the plan and what a lost executor costs. Wide nodes and big
+trees stay spread: pairs are keyed by node, and sums combine before they shuffle.
+`max_depth` only says how deep a tree was meant to be, for weights and repeats.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from sparkroll.session import reliable_checkpoint
 from sparkroll.skew import rank_in_group
 
 
-STORE_EVERY = 4
+#: Rounds of doubling between two stores.
+STORE_EVERY = 2
 
 
 def level(nodes: DataFrame, depth: int) -> DataFrame:
@@ -37,19 +39,53 @@ def deepest(nodes: DataFrame) -> int:
     return nodes.agg(F.max("depth")).first()[0] or 0
 
 
+def parent_pointers(nodes: DataFrame) -> DataFrame:
+    """tree_id, node_id, above and share of every node with a parent in the table.
+
+    The share is what a node's score counts in its parent's: one over the
+    number of children, and 0 where the parent has an answer of its own.
+    """
+    kids = nodes.where(F.col("parent_id").isNotNull()).groupBy("tree_id", F.col("parent_id").alias("above")).agg(F.count(F.lit(1)).alias("kids"))
+    parents = nodes.select("tree_id", F.col("node_id").alias("above"), F.col("answer").isNotNull().alias("answered")).join(kids, ["tree_id", "above"])
+    shares = parents.select("tree_id", "above", F.when(F.col("answered"), 0.0).otherwise(1.0 / F.col("kids")).alias("share"))
+    return nodes.select("tree_id", "node_id", F.col("parent_id").alias("above")).join(shares, ["tree_id", "above"]).select("tree_id", "node_id", "above", "share")
+
+
+def ancestors(starts: DataFrame, pointers: DataFrame, depth: int) -> DataFrame:
+    """tree_id, node_id, above, share: each start (tree_id, node_id) with itself and all ancestors up to `depth` levels up.
+
+    The share is the product along the way. After round k a start has met the
+    ancestors fewer than 2 ** k levels up, and pointers reach 2 ** k levels.
+    """
+    met = starts.select("tree_id", "node_id", F.col("node_id").alias("above"), F.lit(1.0).alias("share"))
+    rounds = max(depth, 0).bit_length()
+    for k in range(rounds):
+        step = pointers.select("tree_id", F.col("node_id").alias("__via"), F.col("above").alias("__above"), F.col("share").alias("__share"))
+        onward = met.withColumnRenamed("above", "__via").join(step, ["tree_id", "__via"])
+        met = met.unionByName(onward.select("tree_id", "node_id", F.col("__above").alias("above"), (F.col("share") * F.col("__share")).alias("share")))
+        if k == rounds - 1:
+            break
+        doubled = pointers.withColumnRenamed("above", "__via").join(step, ["tree_id", "__via"])
+        pointers = doubled.select("tree_id", "node_id", F.col("__above").alias("above"), (F.col("share") * F.col("__share")).alias("share"))
+        if k % STORE_EVERY == STORE_EVERY - 1:
+            met, pointers = reliable_checkpoint(met), reliable_checkpoint(pointers)
+    return met
+
+
 def tree_score(nodes: DataFrame, correct: Column | None = None) -> DataFrame:
-    """Score of every node: its grade if answered, else the unweighted mean of its children, 0 without any."""
+    """Score of every node: its grade if answered, else the unweighted mean of its children, 0 without any.
+
+    So an unanswered node has the sum of the grades of the answered nodes below
+    it, each times its share, where no other answered node stands between.
+    """
     grade = F.coalesce((F.col("is_correct") if correct is None else correct).cast("double"), F.lit(0.0))
     answered = F.col("answer").isNotNull()
-    bottom = deepest(nodes)
-    levels = [level(nodes, bottom).withColumn("score", F.when(answered, grade).otherwise(0.0))]
-    for depth in range(bottom - 1, -1, -1):
-        means = levels[-1].groupBy("tree_id", "parent_id").agg(F.avg("score").alias("__mean")).select(
-            F.col("tree_id").alias("__tree"), F.col("parent_id").alias("__node"), "__mean")
-        here = level(nodes, depth).join(means, (F.col("tree_id") == F.col("__tree")) & (F.col("node_id") == F.col("__node")), "left")
-        scored = here.withColumn("score", F.when(answered, grade).otherwise(F.coalesce("__mean", F.lit(0.0)))).drop("__tree", "__node", "__mean")
-        levels.append(reliable_checkpoint(scored) if depth > 0 and (bottom - depth) % STORE_EVERY == 0 else scored)
-    return _union(levels)
+    pointers = reliable_checkpoint(parent_pointers(nodes))
+    graded = nodes.where(answered).select("tree_id", "node_id", grade.alias("__grade"))
+    met = ancestors(graded.where("__grade != 0"), pointers, deepest(nodes)).where((F.col("share") > 0) & (F.col("node_id") != F.col("above")))
+    sums = met.join(graded, ["tree_id", "node_id"]).groupBy("tree_id", F.col("above").alias("node_id")).agg(F.sum(F.col("share") * F.col("__grade")).alias("__sum"))
+    scored = nodes.join(sums, ["tree_id", "node_id"], "left")
+    return scored.withColumn("score", F.when(answered, grade).otherwise(F.coalesce("__sum", F.lit(0.0)))).select(*nodes.columns, "score")
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -59,38 +95,46 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def chains(nodes: DataFrame, max_depth: int, fields: Sequence[str], branch_factor: int | None = None, keep_child: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+BASE = ["tree_id", "node_id", "parent_id", "depth", "expanded", "answer"]
+
+
+def chains(nodes: DataFrame, max_depth: int, fields: Sequence[str], branch_factor: int | None = None, keep_child: Callable[[DataFrame], DataFrame] | None = None, wanted: Column | None = None) -> DataFrame:
     """Every node with `chain`, the structs from the root down to it, and `path_key`, its DFS sort key.
 
     With a `score` field each struct also gets `advantage`, the score minus the
     parent's; it is null at the root and below an answered node. A branch factor
-    adds `weight`. `keep_child` may sample the first level of children.
+    adds `weight`. `keep_child` may sample the first level of children, and
+    `wanted` says which nodes get a chain, else all do. A node that no chain of
+    parents ties to a root (depth 0) has none.
     """
     scored = "score" in fields
     kept = ["node_id", *[f for f in fields if f != "node_id"]]
     weight = importance_weight(F.col("depth"), branch_factor, max_depth) if branch_factor else F.lit(1.0)
-
-    def entry(advantage: Column, reachable: Column) -> Column:
-        extra = [advantage.cast("double").alias("advantage")] if scored else []
-        return F.struct(*kept, *extra, weight.alias("weight"), reachable.alias("open"))
-
-    base = ["tree_id", "node_id", "parent_id", "depth", "expanded", "answer"]
-    roots = level(nodes, 0)
-    nothing = F.lit(None)
-    levels = [roots.select(*base, F.array(entry(nothing, F.col("answer").isNull())).alias("chain"), F.array("node_id").alias("path_key"))]
-    bottom = deepest(nodes)
-    for depth in range(1, bottom + 1):
-        children = level(nodes, depth)
-        if depth == 1 and keep_child is not None:
-            children = keep_child(children)
-        above = levels[-1].select(F.col("tree_id").alias("__tree"), F.col("node_id").alias("__node"), F.col("chain").alias("__chain"), F.col("path_key").alias("__key"))
-        joined = children.join(above, (F.col("tree_id") == F.col("__tree")) & (F.col("parent_id") == F.col("__node")))
-        parent = last(F.col("__chain"))
-        advantage = F.when(parent["open"], F.col("score") - parent["score"]) if scored else nothing
-        mine = entry(advantage, parent["open"] & F.col("answer").isNull())
-        here = joined.select(*base, F.concat("__chain", F.array(mine)).alias("chain"), F.concat("__key", F.array("node_id")).alias("path_key"))
-        levels.append(reliable_checkpoint(here) if depth < bottom else here)
-    return _union(levels)
+    ends = nodes if wanted is None else nodes.where(wanted)
+    edges = nodes.where(F.col("parent_id").isNotNull()).select("tree_id", "node_id", F.col("parent_id").alias("above"), F.lit(1.0).alias("share"))
+    met = ancestors(ends.select("tree_id", "node_id"), reliable_checkpoint(edges), deepest(ends)).drop("share")
+    entry = F.struct(F.col("depth").alias("__at"), *kept, weight.alias("weight"), F.col("answer").isNotNull().alias("__answered"))
+    entries = nodes.select("tree_id", F.col("node_id").alias("above"), entry.alias("__entry"))
+    # one row for each level of a node's own chain
+    lists = met.join(entries, ["tree_id", "above"]).groupBy("tree_id", "node_id").agg(F.array_sort(F.collect_list("__entry")).alias("__raw"))
+    whole = (F.col("__raw")[0]["__at"] == 0) & (F.size("__raw") == F.col("depth") + 1)
+    rows = ends.select(*BASE).join(lists, ["tree_id", "node_id"]).where(whole)
+    # the first answered node from the top: nothing below it is open
+    first = F.array_position(F.transform("__raw", lambda n: n["__answered"]), True) - 1
+    rows = rows.withColumn("__first", F.when(first >= 0, first).otherwise(F.size("__raw")))
+
+    def finished(n: Column, i: Column) -> Column:
+        above = F.try_element_at("__raw", F.greatest(i, F.lit(1)))
+        gain = F.when((i > 0) & (i <= F.col("__first")), n["score"] - above["score"]) if scored else None
+        extra = [gain.cast("double").alias("advantage")] if gain is not None else []
+        return F.struct(*[n[f].alias(f) for f in kept], *extra, n["weight"].alias("weight"), (i < F.col("__first")).alias("open"))
+
+    rows = rows.select(*BASE, F.transform("__raw", finished).alias("chain"), F.transform("__raw", lambda n: n["node_id"]).alias("path_key"))
+    if keep_child is None:
+        return rows
+    first_level = keep_child(level(nodes, 1)).select("tree_id", F.col("node_id").alias("__top"))
+    top = rows.withColumn("__top", F.try_element_at("path_key", F.lit(2)))
+    return top.where("depth = 0").drop("__top").unionByName(top.where("depth > 0").join(first_level, ["tree_id", "__top"], "left_semi").select(*rows.columns))
 
 
 def tree_advantage(chained: DataFrame) -> DataFrame:

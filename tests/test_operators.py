@@ -178,6 +178,27 @@ def test_trees_deeper_than_meant(spark):
     assert [len(r["chain"]) for r in paths_of] == [6]
 
 
+def test_chain_of_five_thousand(spark):
+    """Thirteen rounds of doubling reach the root of a chain with a side leaf at every level."""
+    deep = 5000
+    spine = [(1, f"n{d}", f"n{d - 1}" if d else None, d, d < deep, "7" if d == deep else None, 1 if d == deep else None) for d in range(deep + 1)]
+    sides = [(1, f"s{d}", f"n{d - 1}", d, False, "8", 0) for d in range(1, deep, 500)]
+    schema = "tree_id int, node_id string, parent_id string, depth int, expanded boolean, answer string, is_correct int"
+    nodes = spark.createDataFrame(spine + sides, schema)
+    scores = {r["node_id"]: r["score"] for r in trees.tree_score(nodes).collect()}
+    assert scores[f"n{deep}"] == 1.0 and scores["n0"] == 0.5 ** 10 and scores["n4500"] == 0.5 and scores["s1"] == 0.0 and len(scores) == len(spine) + len(sides)
+    found = trees.chains(nodes, 3, ["node_id", "depth"], wanted=~F.col("expanded"))
+    assert {r["node_id"]: r["n"] for r in found.select("node_id", F.size("chain").alias("n")).collect()} == {f"n{deep}": deep + 1, **{f"s{d}": d + 1 for d in range(1, deep, 500)}}
+
+
+def test_chains_need_a_root(spark):
+    rows = [(1, "r", None, 0, True, None, None), (1, "a", "r", 1, False, "7", 1), (1, "x", "gone", 2, False, "7", 1), (2, "a", None, 0, False, None, None)]
+    nodes = spark.createDataFrame(rows, "tree_id int, node_id string, parent_id string, depth int, expanded boolean, answer string, is_correct int")
+    assert {(r["tree_id"], r["node_id"]) for r in trees.chains(nodes, 2, ["node_id"]).collect()} == {(1, "r"), (1, "a"), (2, "a")}
+    assert {(r["tree_id"], r["node_id"]): r["score"] for r in trees.tree_score(nodes).collect()} == {(1, "r"): 1.0, (1, "a"): 1.0, (1, "x"): 1.0, (2, "a"): 0.0}
+    assert trees.chains(nodes.limit(0), 2, ["node_id"]).count() == 0 and trees.tree_score(nodes.limit(0)).count() == 0
+
+
 def test_padding_keeps_long_episodes(spark):
     rows = [(e, t, t > 0, -0.5, 0.1, 0.2) for e, n in ((1, 3), (2, 40)) for t in range(n)]
     tokens = spark.createDataFrame(rows, "episode_id bigint, t bigint, is_action boolean, actor_lp double, advantage double, value double")
