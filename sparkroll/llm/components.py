@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from sparkroll.llm.common import stored
 
 
+#: Nodes meet their minimum under another name, so that both sides of the join are shuffled anew: between two plain
+#: shuffles adaptive execution splits a hub, and it cannot where the minimum was grouped by the join key in the same stage.
+MASK = 0x5555555555555555
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
 def _hung(pairs: DataFrame, keep_above: bool) -> DataFrame:
     """For each u: hang its neighbours above it (or itself and those below) on the least of them and u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    hung = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(MASK)).alias("w"), F.least("u", "m").alias("m"))
+    hung = pairs.withColumn("w", F.col("u").bitwiseXOR(F.lit(MASK))).join(least, "w")
     hung = hung.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if keep_above else hung.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
     return hung.where("a <> b").distinct()
 

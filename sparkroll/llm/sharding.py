@@ -67,7 +67,8 @@ def positions(documents: DataFrame) -> DataFrame:
         _prefix_number("lang").alias("lang"), _prefix_number("source").alias("source"),
     )
     rows = stored(rows)
-    first = rows.groupBy("text_hash", "size").agg(F.min(F.struct("doc_id", "lang", "source")).alias("f"))
+    # stored, so that both sides of the join are plain shuffles, which adaptive execution splits at a hot text
+    first = stored(rows.groupBy("text_hash", "size").agg(F.min(F.struct("doc_id", "lang", "source")).alias("f")))
     rows = rows.select("doc_id", "size", "text_crc32", "text_hash").join(first, ["text_hash", "size"])
     rows = rows.select("doc_id", "size", "text_crc32", "text_hash", F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), F.log2("size").alias("bytes"))
     ends = rows.agg(*[f(d).cast("double").alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]).first()

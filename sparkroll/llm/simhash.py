@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sparkroll.llm.common import stored, table, text_buffers
+from sparkroll.llm.common import shuffle_partitions, stored, table, text_buffers
 from sparkroll.llm.components import components
 
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -114,12 +114,15 @@ def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Da
     homes = members.where("home").select("key").distinct()
     # nearly all copies stand at anchors that are nobody's home
     met = stored(members.join(homes, "key").select("key", "fp"))
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # stored, so that both sides of the join are plain shuffles, which adaptive execution splits at a hot key
+    sizes = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     placed = met.join(sizes, "key").select("key", "fp", blocks.alias("blocks")).select("key", "fp", "blocks", own.alias("own"))
     paired = placed.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    groups = paired.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list("fp").alias("prints"))
+    # dealt out by block pair: by key alone, all pairs of a hot anchor would be one task's
+    dealt = paired.select("key", "fp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).repartition(shuffle_partitions(prints.sparkSession), "key", "low", "high")
+    groups = dealt.groupBy("key", "low", "high").agg(F.collect_list("fp").alias("prints"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +148,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
     tree = components(links(prints.select("fp"), distance))
     rooted = prints.join(tree, prints.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    reached = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    reached = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(reached, "root").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return rows.join(named, "fp").select(F.col("id").alias(key), digits.alias("fingerprint"), "component_id")
