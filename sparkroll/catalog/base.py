@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkroll.fixtures import oracle
-from sparkroll.operators.sampling import STRIDES
+from sparkroll.operators.sampling import FEISTEL_ROUNDS, WALKS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +27,25 @@ def query(key: str, fixtures: str = "", sql: str | None = None):
     return register
 
 
-def picks_sql(seed: str, key: str, size: str) -> str:
-    """`start` and `stride` of `permuted_picks`, for the oracle."""
-    digest = f"md5(concat({seed}, '|', {key}::varchar))"
-    usable = f"list_filter({list(STRIDES)}, lambda x: {size} = 1 or x % ({size}) <> 0)"
-    return f"('0x' || substr({digest}, 1, 12))::bigint % ({size}) as start, {usable}[1 + ('0x' || substr({digest}, 13, 8))::bigint % len({usable})] % ({size}) as stride"
+def feistel_sql(seed: str, key: str, size: str) -> str:
+    """Columns `digest`, `high` and `wide` of `permuted_picks`, for the oracle."""
+    return f"md5(concat({seed}, '|', {key}::varchar)) as digest, ceil(sqrt({size}))::bigint as high, (({size}) + ceil(sqrt({size}))::bigint - 1) // ceil(sqrt({size}))::bigint as wide"
+
+
+def pick_sql(j: str, size: str) -> str:
+    """The pick number `j` of `permuted_picks` where the columns of `feistel_sql` are."""
+
+    def permuted(x: str) -> str:
+        left, right = f"(({x}) // wide)", f"(({x}) % wide)"
+        for k in range(FEISTEL_ROUNDS):
+            shift = f"('0x' || substr(md5(concat(digest, '|{k}|', {right if k % 2 == 0 else left})), 1, 8))::bigint"
+            if k % 2 == 0:
+                left = f"(({left} + {shift}) % high)"
+            else:
+                right = f"(({right} + {shift}) % wide)"
+        return f"({left} * wide + {right})"
+
+    return f"list_reduce(range(least(high * wide - ({size}), {WALKS}) + 1), lambda x, i: case when x < ({size}) then x else {permuted('x')} end, {permuted(j)})"
 
 
 def r4(col):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkroll import fixtures as fx
-from sparkroll.catalog.base import big, picks_sql, query, r4
+from sparkroll.catalog.base import big, feistel_sql, pick_sql, query, r4
 from sparkroll.catalog.evaluation import REWARDED, rewarded
 from sparkroll.operators import containment, pairs
 from sparkroll.operators.sampling import rank_by_hash, seeded
@@ -22,8 +22,8 @@ def _(spark, sf):
 
 PAIRS = REWARDED + f""", s as (select question_id, rollout_idx, reward >= 0.5 as acc, row_number() over (partition by question_id, reward >= 0.5 order by rollout_idx) - 1 as p from r),
 n as (select question_id, count(*) filter (where acc) as a, count(*) filter (where not acc) as b from s group by question_id having a > 0 and b > 0),
-h as (select *, a * b as size, least(a * b, 4) as k, {picks_sql(f"'{SEED}'", 'question_id', 'a * b')} from n),
-i as (select question_id, b, (start + j * stride) % size as pair from (select *, unnest(range(k)) as j from h)),
+h as (select *, a * b as size, least(a * b, 4) as k, {feistel_sql(f"'{SEED}'", 'question_id', 'a * b')} from n),
+i as (select question_id, b, {pick_sql('j', 'size')} as pair from (select *, unnest(range(k)) as j from h)),
 dp as (select i.question_id, pair, x.rollout_idx as accept_idx, y.rollout_idx as reject_idx from i join s x on x.question_id = i.question_id and x.acc and x.p = pair // b
  join s y on y.question_id = i.question_id and not y.acc and y.p = pair % b)
 """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkroll import fixtures as fx
 from sparkroll import plugins
-from sparkroll.catalog.base import big, picks_sql, query, r4
+from sparkroll.catalog.base import big, feistel_sql, pick_sql, query, r4
 from sparkroll.functions import extraction, grading, normalize, steps, text
 from sparkroll.functions.arrays import let
 from sparkroll.operators import fewshot, forecasting
@@ -426,8 +426,8 @@ def _(spark, sf):
 
 K, MAXC, DELIM = 3, 2600, "\n\n"
 FEW = f"""with pool as (select row_number() over (order by item_id) - 1 as pos, text from benchmark), n as (select count(*) as p from benchmark),
-t as (select doc_id, solution, a, {picks_sql(f"({SEED} + a)::varchar", 'doc_id', 'p')}, p from f9, n, (select unnest(range(10)) as a)),
-k as (select doc_id, solution, a, j, (start + j * stride) % p as pos from t, (select unnest(range({K + 1})) as j)),
+t as (select doc_id, solution, a, {feistel_sql(f"({SEED} + a)::varchar", 'doc_id', 'p')}, p from f9, n, (select unnest(range(10)) as a)),
+k as (select doc_id, solution, a, j, {pick_sql('j', 'p')} as pos from t, (select unnest(range({K + 1})) as j)),
 m as (select doc_id, solution, a, j, text, row_number() over (partition by doc_id, a order by j) as rn from k join pool using (pos) where text <> solution),
 x as (select doc_id, a, any_value(solution) as solution, string_agg(text, chr(10) || chr(10) order by j) as ctx from m where rn <= {K} group by doc_id, a),
 f as (select *, ctx || chr(10) || chr(10) || solution as prompt from x),

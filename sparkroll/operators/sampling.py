@@ -149,21 +149,41 @@ def union_shards(shards: Sequence[DataFrame], shard_names: Sequence[int] | None
     return merged
 
 
-# Primes from which the stride of a permutation is drawn; one that does not divide the size has no common factor with it.
-STRIDES = (1000000000039, 1000000000061, 1000000000063, 1000000000091, 1000000000121, 1000000000163, 1000000000169, 1000000000177)
+#: Rounds of the keyed permutation, and how often a number outside the range is permuted again.
+FEISTEL_ROUNDS, WALKS = 4, 64
+
+
+def _permuted(x: Column, digest: Column, wide: Column, high: Column) -> Column:
+    """One keyed Feistel permutation of [0, high * wide): the halves x div wide and x mod wide are shifted by hashes of each other."""
+    left, right = F.floor(x / wide).cast("bigint"), x % wide
+    for k in range(FEISTEL_ROUNDS):
+        other = right if k % 2 == 0 else left
+        shift = F.conv(F.substring(F.md5(F.concat_ws("|", digest, F.lit(str(k)), other.cast("string"))), 1, 8), 16, 10).cast("bigint")
+        if k % 2 == 0:
+            left = (left + shift) % high
+        else:
+            right = (right + shift) % wide
+    return left * wide + right
 
 
 def permuted_picks(size: Column, wanted: int, seed: int | Column, *key: str) -> Column:
-    """min(size, wanted) distinct positions of [0, size), each equally likely, as an array.
+    """min(size, wanted) distinct positions of [0, size), as an array: the first of a keyed pseudo-random permutation.
 
-    The first positions of the permutation start + j * stride modulo size, with start
-    and stride drawn by the seed. For pairs numbered first * n + second the second
-    halves differ as long as there are any left: the stride has no common factor with n. No list of the range is built.
+    The permutation is a Feistel network over two mixed-radix halves, whose
+    product is less than one half above `size`. A number outside the range is
+    permuted again until it falls inside (cycle walking), which keeps it a
+    permutation and needs no list. With `WALKS` steps or less outside it always
+    ends; else the halves are above WALKS, and the chance of so long a walk is below 2 ** -384.
     """
+    size = size.cast("bigint")
     digest = seeded(seed, *key)
     count = F.least(size, F.lit(wanted)).cast("bigint")
-    start = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint"), size)
-    usable = F.filter(F.array(*[F.lit(p) for p in STRIDES]), lambda p: p % size != 0)
-    stride = F.element_at(usable, (F.pmod(F.conv(F.substring(digest, 13, 8), 16, 10).cast("bigint"), F.size(usable)) + 1).cast("int"))
-    picks = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), lambda j: F.pmod(start + j * F.pmod(stride, size), size).cast("bigint"))
-    return F.when(count > 0, F.when(size == 1, F.array(F.lit(0).cast("bigint"))).otherwise(picks)).otherwise(F.array().cast("array<bigint>"))
+    high = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("bigint")
+    wide = F.floor((size + high - 1) / high).cast("bigint")
+    walks = F.sequence(F.lit(0), F.least(high * wide - size, F.lit(WALKS)).cast("int"))
+
+    def pick(j: Column) -> Column:
+        return F.aggregate(walks, _permuted(j, digest, wide, high), lambda x, _: F.when(x < size, x).otherwise(_permuted(x, digest, wide, high)))
+
+    picks = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), pick)
+    return F.when(count > 0, picks).otherwise(F.array().cast("array<bigint>"))

@@ -108,3 +108,18 @@ def test_permuted_picks_are_distinct_and_complete(spark):
     for r in df.collect():
         assert len(set(r["p"])) == len(r["p"]) == min(7, r["id"])
         assert all(0 <= x < r["id"] for x in r["p"])
+
+
+def test_permuted_picks_are_a_permutation(spark):
+    df = spark.range(1, 80).select("id", sampling.permuted_picks(F.col("id"), 100, 3, "id").alias("p"))
+    assert all(sorted(r["p"]) == list(range(r["id"])) for r in df.collect())
+
+
+@pytest.mark.parametrize("side", [100, 1000])
+def test_permuted_pairs_spread_on_both_sides(spark, side):
+    """Four pairs of side x side: their halves differ about as often as those of independent draws do."""
+    df = spark.range(400).select(sampling.permuted_picks(F.lit(side * side), 4, 3, "id").alias("p"))
+    picks = [r["p"] for r in df.collect()]
+    for half in (lambda x: x // side, lambda x: x % side):
+        assert sum(len({half(x) for x in p}) == 4 for p in picks) > 0.88 * len(picks)
+        assert len({half(x) for p in picks for x in p}) > min(0.9 * side, 700)
