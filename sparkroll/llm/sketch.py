@@ -67,12 +67,13 @@ def _add(counts, sums, checks, digests, rows, signs, cells) -> None:
         np.add.at(checks, at, check * plus)
 
 
-def peel(counts: np.ndarray, sums: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def peel(counts: np.ndarray, sums: np.ndarray, checks: np.ndarray, mask: int = (1 << 64) - 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Recover the digests in differences of sketches (rows): (row, digest, sign) of each, and whether a row is empty at the end.
 
     A cell with one digest left shows it: its count is 1 or -1 and its check
-    sum fits. What is found is taken out of its other cells, until nothing more shows.
+    sum fits, in the bits of `mask`. What is found is taken out of its other cells, until nothing more shows.
     """
+    kept = np.uint64(mask)
     rows, cells = counts.shape
     counts, sums, checks = counts.ravel().copy(), sums.ravel().copy(), checks.ravel().copy()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -80,7 +81,7 @@ def peel(counts: np.ndarray, sums: np.ndarray, checks: np.ndarray) -> tuple[np.n
     while len(look):
         sign = counts[look]
         digest = np.where(sign == 1, sums[look], np.uint64(0) - sums[look])
-        pure = (np.abs(sign) == 1) & (np.where(sign == 1, checks[look], np.uint64(0) - checks[look]) == mixed(digest ^ CHECK))
+        pure = (np.abs(sign) == 1) & (np.where(sign == 1, checks[look], np.uint64(0) - checks[look]) & kept == mixed(digest ^ CHECK) & kept)
         row, digest, sign = look[pure] // cells, digest[pure], sign[pure]
         if not len(row):
             break
@@ -89,7 +90,7 @@ def peel(counts: np.ndarray, sums: np.ndarray, checks: np.ndarray) -> tuple[np.n
         _add(counts, sums, checks, digest, row, -sign, cells)
         found.append((row, digest, sign))
         look = np.flatnonzero(np.abs(counts) == 1)
-    empty = ~((counts != 0) | (sums != 0) | (checks != 0)).reshape(rows, cells).any(axis=1)
+    empty = ~((counts != 0) | (sums != 0) | (checks & kept != 0)).reshape(rows, cells).any(axis=1)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), empty
     return *(np.concatenate(x) for x in zip(*found, strict=True)), empty
@@ -119,13 +120,30 @@ def likeness(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.where(both == 0, 1.0, (both - apart) / np.maximum(both, 1))
 
 
+LOW = np.uint64(0xFFFFFFFF)
+
+
 def fingerprints(digests: list[np.ndarray]) -> list[str]:
-    """The sketch of each set as text: base64 of little-endian counts (int32), sums and check sums (uint64, uint32)."""
+    """The sketch of each set as text: base64 of little-endian counts (int32), sums (uint64) and the low halves of check sums (uint32).
+
+    Low halves subtract like the whole sums do, so `difference` can peel what two fingerprints do not share.
+    """
     counts, sums, checks = sketches(digests, CELLS - CELLS % HASHES)
-    packed = zip(counts.astype("<i4"), sums.astype("<u8"), (checks >> np.uint64(32)).astype("<u4"), strict=True)
+    packed = zip(counts.astype("<i4"), sums.astype("<u8"), (checks & LOW).astype("<u4"), strict=True)
     return [base64.b64encode(c.tobytes() + s.tobytes() + k.tobytes()).decode() for c, s, k in packed]
 
 
+def difference(one: str, other: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Digests that only one of two texts has, with sign 1 for the first text, from their fingerprints alone; and whether these are all."""
+    sides = []
+    for text in (one, other):
+        data = base64.b64decode(text)
+        n = len(data) // 16
+        sides.append([np.frombuffer(data, t, n, at).astype(w).reshape(1, n) for t, at, w in (("<i4", 0, np.int64), ("<u8", 4 * n, np.uint64), ("<u4", 12 * n, np.uint64))])
+    _, digests, signs, empty = peel(*(a - b for a, b in zip(*sides, strict=True)), mask=int(LOW))
+    return digests, signs, bool(empty[0])
+
+
 #: Stands for a null id in the order: nulls come first.
 NULL_ID = -(1 << 63)
 

@@ -261,3 +261,17 @@ def test_ids_fall_back_to_the_library(byte_library):
     for text in (" " * 1_100_000 + "x", "͸a <|endoftext|>", "\U00031350"):
         assert tool.ids(text, special=True).tolist() == byte_library.encode(text, add_special_tokens=False).ids
     assert 50256 not in tool.ids("a<|endoftext|>", special=False).tolist() and tool.fast is not None
+
+
+def test_returned_fingerprints_subtract_and_peel():
+    rng = random.Random(8)
+    for trial in range(60):
+        shared = [f"line {rng.getrandbits(60)}\n" for _ in range(rng.randint(0, 40))]
+        mine, yours = ([f"{side} {rng.getrandbits(60)}\n" for _ in range(rng.randint(0, 4))] for side in "ab")
+        sets = [sketch.paragraph_digests("".join(shared + part)) for part in (mine, yours)]
+        digests, signs, whole = sketch.difference(*sketch.fingerprints(sets))
+        assert whole, trial
+        assert {int(d) for d, s in zip(digests, signs) if s == 1} == set(map(int, sets[0])) - set(map(int, sets[1]))
+        assert {int(d) for d, s in zip(digests, signs) if s == -1} == set(map(int, sets[1])) - set(map(int, sets[0]))
+    few, many = ([sketch.paragraph_digests("".join(f"x {k}\n" for k in range(n)))] for n in (1, 400))
+    assert not sketch.difference(sketch.fingerprints(few)[0], sketch.fingerprints(many)[0])[2]
