@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ from pyspark.sql.functions import arrow_udf
 
 from sparkroll.llm.common import table
 
-#: Lines in a window, and the text a window needs to count as dense where a page does not mark its article.
+#: Lines in a window, and the text a window needs for a surge.
 WINDOW, DENSE = 3, 120
+#: Elements that hold running text; a short line in another element weighs nothing where these hold most of the text.
+RUNNING = frozenset("p li blockquote pre dd dt figcaption h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is never text of the page.
 RAW = ("script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "head")
 BLOCKS = frozenset(
@@ -70,20 +73,31 @@ def beside(name: str, attributes: str, article: bool = False) -> int:
     return 0
 
 
+class Line(NamedTuple):
+    """A block without markup: its text, how much of it is link text, the element it stands in, and whether in an article."""
+
+    text: str
+    linked: int
+    element: str
+    inside: bool
+
+
 class Lines:
     """The blocks of a page in order, each as pieces of text with the elements beside the article that they stand in."""
 
     def __init__(self) -> None:
-        #: (pieces (text, is link, elements), stands in an article)
-        self.blocks: list[tuple[list[tuple[str, int, tuple[int, ...]]], bool]] = []
+        #: (pieces (text, is link, elements), innermost element, stands in an article)
+        self.blocks: list[tuple[list[tuple[str, int, tuple[int, ...]]], str, bool]] = []
         self.parts: list[tuple[str, int, tuple[int, ...]]] = []
+        self.element = "body"
         #: of each element that may be beside the article: its kind
         self.kinds: list[int] = []
 
-    def end(self, inside: bool) -> None:
+    def end(self, inside: bool, element: str = "body") -> None:
         if self.parts:
-            self.blocks.append((self.parts, inside))
+            self.blocks.append((self.parts, self.element, inside))
             self.parts = []
+        self.element = element
 
     def left(self) -> set[int]:
         """Elements that are no part of the text.
@@ -95,7 +109,7 @@ class Lines:
             return set(range(len(self.kinds)))
         size, linked, running = ([0] * len(self.kinds) for _ in range(3))
         total = 0
-        for parts, _ in self.blocks:
+        for parts, _, _ in self.blocks:
             plain: dict[int, int] = {}
             for text, link, elements in parts:
                 n = len(text.strip())
@@ -109,14 +123,14 @@ class Lines:
         stays = lambda e: 2 * linked[e] < size[e] and (2 * size[e] > total or self.kinds[e] == FORM and running[e] >= DENSE)
         return {e for e, k in enumerate(self.kinds) if k == SURE or not stays(e)}
 
-    def done(self, left: set[int]) -> list[tuple[str, bool, int]]:
-        """Text, whether it stands in an article, and how much of it is link text, of each block without the elements in `left`."""
+    def done(self, left: set[int]) -> list[Line]:
+        """The blocks that hold text without the elements in `left`."""
         out = []
-        for parts, inside in self.blocks:
+        for parts, element, inside in self.blocks:
             mine = [(t, link) for t, link, elements in parts if left.isdisjoint(elements)]
             text = SPACES.sub(" ", html.unescape("".join(t for t, _ in mine))).strip()
             if text:
-                out.append((text, inside, min(sum(len(t) for t, link in mine if link), len(text))))
+                out.append(Line(text, min(sum(len(t) for t, link in mine if link), len(text)), element, inside))
         return out
 
 
@@ -145,7 +159,7 @@ def strip_markup(page: str) -> Lines:
             at = end.end() if end else body.start() if body else len(page)
             continue
         if name in BLOCKS:
-            lines.end(article > 0)
+            lines.end(article > 0, "body" if closing else name)
         elif name in ("br", "td", "th"):
             lines.parts.append((" ", link, beside_of))
         if name == "a":
@@ -185,54 +199,70 @@ def strip_markup(page: str) -> Lines:
     return lines
 
 
-def dense_lines(weights: np.ndarray, least: int) -> np.ndarray:
+def dense_lines(weights: np.ndarray, least: int = DENSE, titles: np.ndarray | None = None) -> np.ndarray:
     """Which lines lie between a surge and a dive of the text in WINDOW consecutive lines.
 
-    A window surges when its sum reaches `least` and the next windows hold text;
-    it dives when the sum falls to nothing. Lines from the first one with text
-    in the surging window to the last one before the dive are kept.
+    A window surges when its sum reaches `least`. Its block begins where the windows before it last rose from nothing,
+    or at the first title (`titles`) behind that, if less than `least` stands before the title. It ends where the sum falls to nothing
+    (the dive). Lines from the first to the last one with weight are kept, lines without weight between them too.
     """
     n = len(weights)
     keep = np.zeros(n, bool)
     total = np.concatenate([[0], np.cumsum(weights)])
     sums = total[np.minimum(np.arange(n) + WINDOW, n)] - total[:n]
-    i = 0
-    while i < n:
-        if sums[i] < least or not weights[i]:
-            i += 1
+    # runs of windows that hold text
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]])))
+    for rise, dive in zip(edges[::2], edges[1::2], strict=True):
+        if sums[rise:dive].max() < least:
             continue
-        j = i
-        while j < n and sums[j] > 0:
-            j += 1
-        keep[i:j] = True
-        i = j
-    return keep & (weights > 0)
+        heavy = rise + np.flatnonzero(weights[rise:dive] > 0)
+        first, last = heavy[0], heavy[-1]
+        if titles is not None and titles[first:last].any():
+            title = first + int(np.argmax(titles[first:last]))
+            first = title if total[title] - total[first] < least else first
+        keep[first : last + 1] = True
+    return keep
 
 
 def main_text(page: str | None) -> str:
-    """The text between surge and dive points, blocks joined by an empty line; empty for a null or empty page."""
+    """The text between surge and dive points, blocks joined by an empty line.
+
+    Empty for a null or empty page, and for one without text outside its menus and the like; if those hold running
+    text, as an element does that is never closed, that text is the page's.
+    """
     if not page:
         return ""
     blocks = strip_markup(page)
-    # nothing else on the page: then all of it
-    return dense_text(blocks.done(blocks.left())) or dense_text(blocks.done(set()))
+    lines = blocks.done(blocks.left())
+    return "\n\n".join(kept_lines(lines) if lines else kept_lines(blocks.done(set()), False))
 
 
-def dense_text(lines: list[tuple[str, bool, int]]) -> str:
-    """Lines between surge and dive."""
+def kept_lines(lines: list[Line], short: bool = True) -> list[str]:
+    """Lines between surge and dive; with `short`, on a page without any surge, those that are not mostly links."""
     if not lines:
-        return ""
-    inside = np.array([x[1] for x in lines])
-    size = np.array([len(x[0]) for x in lines])
+        return []
+    size = np.array([len(x.text) for x in lines])
+    plain = size - np.array([x.linked for x in lines])
+    inside = np.array([x.inside for x in lines])
+    titles = np.array([x.element == "h1" for x in lines])
+    bare = np.array([x.element not in RUNNING for x in lines])
+    texts = 2 * plain >= size
     if inside.any():
-        # the page marks its article: only lines of it carry weight, and each of them counts
-        keep = dense_lines(np.where(inside, size, 0), 1)
+        # the page marks its article: the mark gives weight to lines in it, and takes it from all others
+        keep = dense_lines(np.where(inside, size + DENSE, 0)) & inside
     else:
-        plain = size - np.array([x[2] for x in lines])
-        keep = dense_lines(np.where(2 * plain >= size, plain, 0), DENSE)
+        weights = np.where(texts, plain, 0)
+        # where running elements hold most of the text, a short line outside them does not begin or end it
+        light = bare & (plain < DENSE) & (2 * weights[bare].sum() <= weights.sum())
+        keep = dense_lines(np.where(light, 0, weights), titles=titles)
         if not keep.any():
-            keep = 2 * plain >= size
-    return "\n\n".join(text for (text, _, _), k in zip(lines, keep, strict=True) if k)
+            keep = dense_lines(weights, titles=titles)
+        if not keep.any() and short:
+            running = texts & ~bare
+            keep = running if running.any() else texts
+        # a line of links is a menu
+        keep &= texts
+    return [x.text for x, k in zip(lines, keep, strict=True) if k]
 
 
 def extract(page: str | Column) -> Column:

@@ -130,6 +130,43 @@ def test_html_without_marked_article():
     assert html.main_text(page) == "\n\n".join(b.strip() for b in body)
 
 
+@pytest.mark.parametrize("elements", ["article|main", "article|main|nav|footer|header|aside"])
+def test_html_finds_the_article_without_marks(spark, elements):
+    """Marks of articles, classes and ids only help: the windows alone find the same text."""
+    pages = [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    plain = lambda h: re.sub(rf"(</?)(?:{elements})\b", r"\1div", re.sub(r' (?:class|id)="[^"]*"', "", h))
+    same = sum(html.main_text(plain(h)) == html.main_text(h) for h in pages)
+    assert same >= (len(pages) if elements == "article|main" else 0.97 * len(pages))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # only a menu
+        ("<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>", ""),
+        # an advert before the title and a line below the last paragraph
+        ("<div>Buy now.</div><h1>T</h1><p>{0}</p><p>short</p><div>(c) us</div>", "T\n\n{0}\n\nshort"),
+        # bare lines between paragraphs stay; a notice before the title goes
+        ("<p>We use cookies</p><h1>T</h1><p>{0}</p><div>bare</div><p>{0}</p>", "T\n\n{0}\n\nbare\n\n{0}"),
+        # two surges with a dive between them
+        ("<p>{0}</p><ul><li><a>1</a></li><li><a>2</a></li><li><a>3</a></li><li><a>4</a></li></ul><p>{0}</p>", "{0}\n\n{0}"),
+        # no running text but in bare elements
+        ("<div>{0}</div><div>more</div>", "{0}\n\nmore"),
+        ("<div>one</div><p>two</p>", "two"),
+    ],
+)
+def test_html_windows(page, text):
+    assert html.main_text(page.format(LONG.strip())) == text.format(LONG.strip())
+
+
+def test_html_odd_tables(spark):
+    rows = [(1, "u", "<p>a", 5, "x"), (1, "u", "<p>a", 5, "x"), (None, None, None, None, None), (2, "v", "", 6, "y"), (3, None, "<p>" + "long text " * 300_000, 7, "z")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, n_chars bigint, text string")
+    got = sorted(((r.page_id, r.url, r.text[:4], r.n_chars) for r in html.main_texts(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, "v", "", 0), (3, None, "long", 2_999_999)], key=str)
+    assert html.main_texts(pages.limit(0)).collect() == []
+
+
 def test_surge_and_dive():
     keep = html.dense_lines(np.array([0, 5, 0, 0, 0, 80, 20, 90, 0, 0, 0, 4]), 100)
     assert np.flatnonzero(keep).tolist() == [5, 6, 7]
