@@ -182,16 +182,17 @@ def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Landmarks:
-    """Units that others are compared with: their subsequences as a table by code."""
+    """Units that others are compared with: by code of a subsequence, the landmarks that hold it and its weight in them."""
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
         unit, code, weight = subsequences(rows)
-        self.norms = _norms(unit, code, weight, len(rows))
-        self.table = np.zeros((27**ORDER, len(rows)), np.float32)
-        np.add.at(self.table, (code, unit), weight)
-        self.table /= np.maximum(self.norms, 1e-12)
-        self.used = self.table.any(axis=1)
+        norms = np.maximum(_norms(unit, code, weight, len(rows)), 1e-12)
+        table = np.zeros((27**ORDER, len(rows)))
+        np.add.at(table, (code, unit), weight)
+        codes, self.holders = np.nonzero(table)
+        self.weights = table[codes, self.holders] / norms[self.holders]
+        self.first = np.searchsorted(codes, np.arange(27**ORDER + 1))
 
     def kernel(self, rows: np.ndarray) -> np.ndarray:
         """Kernel values of each unit with each landmark."""
@@ -199,12 +200,13 @@ class Landmarks:
         if len(rows) == 0 or len(self.rows) == 0:
             return out
         unit, code, weight = subsequences(rows)
-        known = self.used[code]
-        if not known.any():
+        # each subsequence meets only the landmarks that hold it
+        times = self.first[code + 1] - self.first[code]
+        met = np.repeat(self.first[code] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        if len(met) == 0:
             return out
-        sums = np.zeros_like(out)
-        some, starts = np.unique(unit[known], return_index=True)
-        sums[some] = np.add.reduceat(self.table[code[known]] * weight[known, None].astype(np.float32), starts)
+        cells = np.repeat(unit * len(self.rows), times) + self.holders[met]
+        sums = np.bincount(cells, np.repeat(weight, times) * self.weights[met], minlength=out.size).reshape(out.shape)
         # without repeats of a subsequence the norm is the root of the squares; repeats only enlarge it
         least = np.sqrt(np.bincount(unit, weight**2, minlength=len(rows)))
         near = np.flatnonzero(sums.max(axis=1) >= FLOOR * np.maximum(least, 1e-12))
