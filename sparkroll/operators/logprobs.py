@@ -57,8 +57,9 @@ def per_episode(tokens: DataFrame) -> DataFrame:
         F.sum(kl(a, r)).alias("kl_sum"),
         F.sum(kl(a, r, "control_variate")).alias("cv_sum"),
         F.sum(action(kl(a, r))).alias("kl_action_sum"),
-        F.sum("value").alias("value_sum"),
-        F.sum(F.col("value") * F.col("value")).alias("value_sq"),
+        F.count("value").alias("value_n"),
+        F.avg("value").alias("value_mean"),
+        F.var_pop("value").alias("value_var"),
         F.max_by("value", "t").alias("value_last"),
     )
 
@@ -88,15 +89,20 @@ def episode_kl_stats(tokens: DataFrame) -> DataFrame:
 def critic_value_stats(tokens: DataFrame) -> DataFrame:
     """Mean and deviation of the values from the last query token to the second last position.
 
-    The last token is taken out of the sums instead of out of the rows.
+    The last token is taken out of the moments of its episode (a step of Welford's recurrence backwards) instead of out
+    of the rows. Moments of episodes are put together by the squared distances of their means from the overall mean, so
+    values far from zero lose no digits. Missing values count in `n` alone.
     """
-    totals = per_episode(tokens).agg(
-        F.sum(F.col("len") - 1).alias("n"),
-        F.sum(F.col("value_sum") - F.col("value_last")).alias("s"),
-        F.sum(F.col("value_sq") - F.col("value_last") * F.col("value_last")).alias("ss"),
-    )
-    mean = F.col("s") / F.col("n")
-    return totals.select(mean.alias("value_mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("value_std"), "n")
+    count, mean, last = F.col("value_n"), F.col("value_mean"), F.col("value_last")
+    rest = F.when(last.isNull(), count).otherwise(count - 1)
+    rest_mean = F.when(last.isNull(), mean).otherwise(mean - (last - mean) / F.when(rest > 0, rest))
+    rest_m2 = F.when(last.isNull(), count * F.col("value_var")).otherwise(F.greatest(count * F.col("value_var") - (last - mean) * (last - rest_mean), F.lit(0.0)))
+    episodes = per_episode(tokens).select((F.col("len") - 1).alias("positions"), rest.alias("n"), rest_mean.alias("mean"), F.when(rest > 0, rest_m2).alias("m2"))
+    overall = episodes.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")).scalar()
+    apart = F.col("mean") - overall
+    variance = F.sum(F.col("m2") + F.col("n") * apart * apart) / F.sum("n")
+    return episodes.agg(
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("value_mean"), F.sqrt(variance).alias("value_std"), F.sum("positions").alias("n"))
 
 
 def pair_sums(tokens: DataFrame, accept: Column, pair: Column, actor: str = "new_lp") -> DataFrame:
@@ -210,18 +216,17 @@ def token_rewards(tokens: DataFrame, beta: float) -> DataFrame:
 
 
 def batch_step_metrics(rewarded: DataFrame) -> DataFrame:
-    """Per batch, over action tokens with their rewards; `returns` are advantage + value."""
+    """Per batch, over action tokens with their rewards; `returns` are advantage + value.
+
+    One aggregation with merging moments; the distinct episodes of a batch, which the mean of the episodes' KL divides
+    by, make Spark group partially by episode first. The deviation of a single token is 0.
+    """
     k = kl(F.col("actor_lp"), F.col("ref_lp"))
-    episodes = rewarded.groupBy("batch_id", EPISODE).agg(
-        F.sum(k).alias("k"), F.sum("reward").alias("r"), F.sum("advantage").alias("a"), F.sum(F.col("advantage") * F.col("advantage")).alias("aa"),
-        F.count_if(F.abs("advantage") < CLOSE_TO_ZERO).alias("z"), F.sum(F.col("advantage") + F.col("value")).alias("ret"), F.count(F.lit(1)).alias("n"))
-    n = F.sum("n")
-    mean = F.sum("a") / n
-    return episodes.groupBy("batch_id").agg(
-        mean.alias("advantage_mean"),
-        F.sqrt(F.greatest((F.sum("aa") - n * mean * mean) / F.when(n > 1, n - 1), F.lit(0.0))).alias("advantage_std"),
-        (F.sum("z") / n).alias("advantage_close_to_zero"), (F.sum("r") / n).alias("reward_mean"), n.alias("num_tokens"),
-        (F.sum("ret") / n).alias("return_mean"), F.avg("k").alias("kl_mean"))
+    return rewarded.groupBy("batch_id").agg(
+        F.avg("advantage").alias("advantage_mean"), F.coalesce(F.stddev_samp("advantage"), F.lit(0.0)).alias("advantage_std"),
+        F.avg((F.abs("advantage") < CLOSE_TO_ZERO).cast("double")).alias("advantage_close_to_zero"), F.avg("reward").alias("reward_mean"),
+        F.count(F.lit(1)).alias("num_tokens"), F.avg(F.col("advantage") + F.col("value")).alias("return_mean"),
+        (F.sum(k) / F.count_distinct(F.when(k.isNotNull(), F.col(EPISODE)))).alias("kl_mean"))
 
 
 def token_weighted_metrics(step_metrics: DataFrame, interval: Column, weighted: list[str], plain: list[str], tokens: str = "num_tokens") -> DataFrame:

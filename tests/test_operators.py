@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -468,3 +469,19 @@ def test_adaptive_kl(spark):
     df = spark.createDataFrame([("m", 1, 10.0, 100), ("m", 2, 0.0, 100), ("m", 3, 1.0, 100)], "run string, iteration int, kl double, n_steps int")
     got = [r["kl_coef"] for r in jobs.adaptive_kl_coef(df, "run", "iteration", 1.0, 1.0, 1000.0).orderBy("iteration").collect()]
     assert got == pytest.approx([1.0, 1.02, 1.02 * 0.98])
+
+
+def test_moments_of_values_far_from_zero(spark):
+    """Sums of squares would lose all digits of these deviations."""
+    rng = np.random.default_rng(5)
+    rows = [(k, k // 4, t, True, t >= 2, 0.5, -1.0, -1.5, 1e9 + float(rng.normal()), 1e9 + float(rng.normal()), 0.1) for k in range(12) for t in range(1 + 3 * (k % 5))]
+    frame = spark.createDataFrame(rows, "episode_id bigint, batch_id bigint, t bigint, used boolean, is_action boolean, score double, actor_lp double, ref_lp double, value double, advantage double, reward double")
+    pdf = frame.toPandas()
+    inner = pdf[pdf.t < pdf.groupby("episode_id").t.transform("max")].value.to_numpy()
+    got = logprobs.critic_value_stats(frame).first()
+    assert got.n == len(inner) and got.value_std == pytest.approx(inner.std(), rel=1e-5) and got.value_mean == pytest.approx(inner.mean(), rel=1e-14)
+    for r in logprobs.batch_step_metrics(frame).collect():
+        mine = pdf[pdf.batch_id == r.batch_id]
+        assert r.advantage_std == pytest.approx(mine.advantage.std(ddof=1), rel=1e-5) and r.num_tokens == len(mine)
+        assert r.kl_mean == pytest.approx(mine.groupby("episode_id").size().mean() * 0.5)
+    assert logprobs.critic_value_stats(frame.limit(0)).first().value_std is None
