@@ -60,6 +60,16 @@ def bounded_sample(rows: DataFrame, label: str, key: str, bound: int) -> DataFra
     return rows.where(draw < share).orderBy(draw, key).limit(bound)
 
 
+def counted_features(rows: DataFrame, *columns: str) -> list[tuple]:
+    """Rows of a bounded sample on the driver: `columns`, then the two lists of the struct `f` as arrays; no object per number."""
+    found = rows.select(*columns, "f").toArrow().combine_chunks()
+    if found.num_rows == 0:
+        return []
+    struct = found.column("f").combine_chunks()
+    lists = [[x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in struct.field(k)] for k in range(2)]
+    return list(zip(*(found.column(c).to_pylist() for c in columns), *lists, strict=True))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = (h ^ (h >> np.uint64(30))) * MIX_1

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sparkroll.llm.common import LETTER, ODD, UPPER, bounded_sample, character_tables, code_points, fold, mixed, pieces, prepared, sums_by, table, text_buffers
+from sparkroll.llm.common import LETTER, ODD, UPPER, bounded_sample, counted_features, character_tables, code_points, fold, mixed, pieces, prepared, sums_by, table, text_buffers
 
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -101,9 +101,9 @@ def train(documents: DataFrame, bound: int = TRAINING_DOCUMENTS, seed: int = 7)
     # at most `bound` ids, so the broadcast has a fixed size
     sample = labelled.select("doc_id", "text", "lang").join(F.broadcast(picked.select("doc_id")), "doc_id").limit(2 * bound)
     features = arrow_udf(_subword_rows, "struct<buckets:array<int>,counts:array<int>>")
-    rows = sample.select("doc_id", "lang", features("text").alias("f")).collect()
-    rows = sorted((r for r in rows if r.f.buckets), key=lambda r: (r.doc_id, r.lang, r.f.buckets[:8]))
-    return fit([(np.array(r.f.buckets), np.array(r.f.counts, float)) for r in rows], [r.lang for r in rows], seed) if rows else None
+    rows = counted_features(sample.select("doc_id", "lang", features("text").alias("f")), "doc_id", "lang")
+    rows = sorted((r for r in rows if len(r[2])), key=lambda r: (r[0], r[1], r[2][:8].tolist()))
+    return fit([(buckets, counts.astype(float)) for _, _, buckets, counts in rows], [r[1] for r in rows], seed) if rows else None
 
 
 def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int) -> Model:

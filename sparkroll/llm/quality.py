@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from sparkroll.llm.common import (
-    LETTER, ODD, OTHER, SPACE, UPPER, bounded_sample, character_tables, code_points, fold, mixed, pieces, prepared, run_hashes, sums_by, table, text_buffers,
+    LETTER, ODD, OTHER, SPACE, UPPER, bounded_sample, counted_features, character_tables, code_points, fold, mixed, pieces, prepared, run_hashes, sums_by, table, text_buffers,
 )
 
 BITS = 18
@@ -97,11 +97,11 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMEN
     picked = bounded_sample(known, "quality", "doc_id", bound)
     # at most `bound` ids with a label, so the broadcast has a fixed size
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(2 * bound)
-    rows = sample.select("doc_id", "quality", arrow_udf(_feature_rows, "struct<numbers:array<int>,counts:array<int>>")("text").alias("f")).collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.quality, r.f.numbers[:8]))
+    rows = sample.select("doc_id", "quality", arrow_udf(_feature_rows, "struct<numbers:array<int>,counts:array<int>>")("text").alias("f"))
+    rows = sorted(counted_features(rows, "doc_id", "quality"), key=lambda r: (r[0], r[1], r[2][:8].tolist()))
     if not rows:
         return None
-    return fit([(np.array(r.f.numbers, np.int64), np.array(r.f.counts, float)) for r in rows], np.array([r.quality for r in rows], float), seed)
+    return fit([(numbers, counts.astype(float)) for _, _, numbers, counts in rows], np.array([r[1] for r in rows], float), seed)
 
 
 def fit(samples: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, seed: int) -> Model:
