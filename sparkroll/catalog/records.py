@@ -56,6 +56,31 @@ def _(spark, sf):
     return readers.flatten_run_records(runs, "config", "summary")
 
 
+def json_runs(spark, sf):
+    """Runs as JSON texts: odd steps have a list of seeds and a schedule, even steps a plain seed and a note."""
+    i, s, odd = F.col("iteration"), F.col("step"), F.col("step") % 2 == 1
+    config = F.when(odd, F.to_json(F.struct(F.struct(i.alias("iteration"), F.struct(s.alias("step"), F.lit("cosine").alias("decay")).alias("opt")).alias("trainer"), F.array(i + s, i - s).alias("seeds"))))
+    config = config.otherwise(F.to_json(F.struct(F.struct(i.alias("iteration")).alias("trainer"), s.alias("seed"), F.concat(F.lit("it's "), s.cast("string")).alias("note"))))
+    summary = F.to_json(F.struct(F.struct(r4("accuracy").alias("accuracy"), F.when(odd, s > 6).alias("late")).alias("eval"), F.when(s % 3 == 0, s * 2).alias("steps")))
+    return fx.f10(spark, sf).select("name", config.alias("config"), summary.alias("summary"))
+
+
+@query("flatten_run_records_mixed", "f10", """select name, iteration as "cfg__trainer.iteration", case when step % 2 = 1 then step end as "cfg__trainer.opt.step", case when step % 2 = 1 then 'cosine' end as "cfg__trainer.opt.decay",
+case when step % 2 = 1 then iteration + step end as "cfg__seeds.0", case when step % 2 = 1 then iteration - step end as "cfg__seeds.1", case when step % 2 = 0 then step end as "cfg__seed", case when step % 2 = 0 then 'it''s ' || step end as "cfg__note",
+round(accuracy, 4) as "sum__eval#accuracy", case when step % 2 = 1 then step > 6 end as "sum__eval#late", case when step % 3 = 0 then step * 2 end as "sum__steps" from f10""")
+def _(spark, sf):
+    return readers.flatten_json_records(json_runs(spark, sf), "config", "summary")
+
+
+@query("run_record_leaves", "f10", """select name, key, value from f10, lateral (select unnest(['cfg__trainer.iteration', 'cfg__trainer.opt.step', 'cfg__trainer.opt.decay', 'cfg__seeds.0', 'cfg__seeds.1', 'cfg__seed', 'cfg__note']) as key,
+ unnest([iteration::varchar, case when step % 2 = 1 then step::varchar end, case when step % 2 = 1 then 'cosine' end, case when step % 2 = 1 then (iteration + step)::varchar end, case when step % 2 = 1 then (iteration - step)::varchar end,
+ case when step % 2 = 0 then step::varchar end, case when step % 2 = 0 then 'it''s ' || step end]) as value) where value is not null""")
+def _(spark, sf):
+    """The same runs as (key, value) rows: no column for a key that a run lacks."""
+    leaves = readers.json_leaves(json_runs(spark, sf).drop("summary"), {"config": ("cfg__", ".")})
+    return leaves.select("name", "key", F.col("leaf").cast("string").alias("value"))
+
+
 @query("flatten_metrics", "f10", """select name, k as key, case k when 'eval/acc' then case when step % 3 = 0 then 'None' else step::varchar end when 'eval/deep/it' then iteration::varchar else (iteration * step)::varchar end as value
 from f10, (select unnest(['eval/acc', 'eval/deep/it', 'total']) as k)""")
 def _(spark, sf):

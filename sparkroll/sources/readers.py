@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +94,65 @@ def flatten_run_records(df: DataFrame, config: str, summary: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in (config, summary)], *flat)
 
 
+def _nesting(text: Column) -> Column:
+    """How deep the containers of a JSON text are nested."""
+    outside = F.regexp_replace(text, r'"(?:\\.|[^"\\])*+"', "")
+    brackets = F.regexp_extract_all(outside, F.lit(r"[\[\]{}]"), F.lit(0))
+    step = lambda state, b: F.struct(
+        (state["now"] + F.when(b.isin("[", "{"), 1).otherwise(-1)).alias("now"),
+        F.greatest(state["most"], state["now"] + F.when(b.isin("[", "{"), 1).otherwise(0)).alias("most"))
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda state: state["most"])
+
+
+def json_leaves(df: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """The leaves of JSON texts without a declared schema: one row of (source, key, path, leaf) beside the other columns.
+
+    `columns` maps a JSON column to its (prefix, separator). Rows may have any keys, of any kind and depth. Empty
+    containers are leaves; a null or broken text has none. `leaf` is a VARIANT, `path` finds it again from the root.
+    The texts are opened level by level, in one pass without a shuffle.
+    """
+    spark, names = df.sparkSession, list(columns)
+    keys = [c for c in df.columns if c not in columns]
+    deepest = df.agg(*[F.max(_nesting(F.col(c))).alias(c) for c in names]).first()
+    roots = [F.struct(F.lit(c).alias("source"), F.lit("").alias("key"), F.lit("$").alias("path"), F.try_parse_json(c).alias("leaf")) for c in names]
+    rows = df.select(*keys, F.inline(F.array(*roots)))
+    is_root = F.col("key") == ""
+    prefix = reduce(lambda rest, c: F.when(F.col("source") == c, columns[c][0]).otherwise(rest), names, F.lit(""))
+    separator = reduce(lambda rest, c: F.when(F.col("source") == c, columns[c][1]).otherwise(rest), names, F.lit(""))
+    for _ in range(max((d or 0 for d in deepest), default=0)):
+        inner = spark.tvf.variant_explode_outer(F.col("leaf").outer()).toDF("__pos", "__name", "__inner")
+        name = F.coalesce("__name", F.col("__pos").cast("string"))
+        # a path takes either quote, but not both in one key
+        quote = F.when(F.contains("__name", F.lit("'")), '"').otherwise("'")
+        step = F.when(F.col("__name").isNull(), F.concat(F.lit("["), name, F.lit("]"))).otherwise(F.concat(F.lit("["), quote, "__name", quote, F.lit("]")))
+        opened = F.col("__pos").isNotNull()
+        rows = rows.lateralJoin(inner).select(
+            *keys, "source",
+            F.when(opened, F.concat(F.when(is_root, prefix).otherwise(F.concat("key", separator)), name)).otherwise(F.col("key")).alias("key"),
+            F.when(opened, F.concat("path", step)).otherwise(F.col("path")).alias("path"),
+            F.when(opened, F.col("__inner")).otherwise(F.col("leaf")).alias("leaf"))
+    return rows.where(~is_root)
+
+
+def flatten_json_records(df: DataFrame, config: str, summary: str) -> DataFrame:
+    """As `flatten_run_records` for JSON texts whose keys differ from run to run.
+
+    One job finds the keys of all runs with the type that fits all their values; the columns are then read by their
+    paths, without a shuffle. Where runs disagree on the kind of a value, and for empty containers, the column is text.
+    """
+    leaves = json_leaves(df.select(config, summary), {config: ("cfg__", "."), summary: ("sum__", "#")})
+    found = leaves.groupBy("source", "key", "path").agg(F.schema_of_variant_agg("leaf").alias("type")).orderBy("source", "key", "path").collect()
+    by_name: dict[str, list[Column]] = {}
+    for r in found:
+        known = r["type"] in ("BIGINT", "DOUBLE", "BOOLEAN")
+        kind = r["type"] if known else "DOUBLE" if r["type"].startswith("DECIMAL") else "STRING"
+        by_name.setdefault(r["key"], []).append(F.try_variant_get(f"__{r['source']}", r["path"], kind))
+    # keys that hold the separator may fall together with a nested one
+    flat = [(c[0] if len(c) == 1 else F.coalesce(*[x.cast("string") for x in c])).alias(name) for name, c in by_name.items()]
+    parsed = df.withColumns({f"__{c}": F.try_parse_json(c) for c in (config, summary)})
+    return parsed.select(*[c for c in df.columns if c not in (config, summary)], *flat)
+
+
 def flatten_metrics(df: DataFrame, column: str, keys: Sequence[str], delimiter: str = "/") -> DataFrame:
     """Nested metrics as (key, value) rows, null as the text "None". Field names may hold the delimiter."""
 

@@ -224,6 +224,24 @@ def test_ragged_lists_and_odd_names_are_flattened(spark):
     assert {(r["id"], r["key"], r["value"]) for r in metrics} == {(1, "eval/acc", "0.5"), (2, "eval/acc", "None")}
 
 
+def test_json_records_whose_keys_and_kinds_differ(spark):
+    runs = [
+        (1, '{"a":{"b":1,"x.y":[1,2.5,{"z":"q"}]},"e":{},"n":null,"s":"[{"}', '{"m":1}'),
+        (2, '{"a":3,"l":[],"it\'s":true}', '{"m":0.5,"k":{"t":"u\\"}{"}}'),
+        (3, None, "{broken"), (4, "{}", "7"),
+    ]
+    df = spark.createDataFrame(runs, "id int, c string, s string")
+    leaves = {(r["id"], r["key"], r["v"]) for r in readers.json_leaves(df.drop("s"), {"c": ("cfg__", ".")}).select("id", "key", F.col("leaf").cast("string").alias("v")).collect()}
+    assert leaves == {(1, "cfg__a.b", "1"), (1, "cfg__a.x.y.0", "1"), (1, "cfg__a.x.y.1", "2.5"), (1, "cfg__a.x.y.2.z", "q"), (1, "cfg__e", "{}"), (1, "cfg__n", None),
+                      (1, "cfg__s", "[{"), (2, "cfg__a", "3"), (2, "cfg__l", "[]"), (2, "cfg__it's", "true")}
+    flat = {r["id"]: r.asDict() for r in readers.flatten_json_records(df, "c", "s").collect()}
+    assert set(flat) == {1, 2, 3, 4} and len(flat[1]) == 13
+    assert (flat[1]["cfg__a.b"], flat[1]["cfg__a.x.y.1"], flat[1]["cfg__a.x.y.2.z"], flat[1]["sum__m"]) == (1, 2.5, "q", 1.0)
+    assert (flat[2]["cfg__a"], flat[2]["cfg__it's"], flat[2]["sum__m"], flat[2]["sum__k#t"], flat[2]["cfg__a.b"]) == ("3", True, 0.5, 'u"}{', None)
+    assert not [v for k in (3, 4) for c, v in flat[k].items() if c != "id" and v is not None]
+    assert readers.flatten_json_records(df.where("false"), "c", "s").columns == ["id"]
+
+
 def test_checkpoints_of_other_names(spark):
     names = ["ckpt--iter_0002--epoch_70000--step_1", "other", "ckpt--iter_0001--epoch_1--step_900000000", "ckpt--iter_0001--epoch_2--step_1"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
@@ -289,6 +307,22 @@ def test_containment_with_cut_words_and_short_problems(spark):
     assert got == want
 
 
+def test_containment_of_a_problem_that_stands_in_every_query(spark):
+    rng = random.Random(5)
+    long_word = "z" * 200
+    problems = [(9, "e"), (7, "a b"), (5, long_word), (4, long_word + "y"), (3, "one two three four five"), (2, "é"), (None, "e"), (1, None), (8, "e")]
+    queries = [(i, " ".join(rng.choice(["e", "a b", "one two three four five", "é", long_word, "xe"]) for _ in range(rng.randint(1, 4)))) for i in range(300)]
+    queries += [(None, "e"), (400, None), (401, ""), (402, long_word + "yy")]
+    want = {q: min(hits) for q, t in queries if q is not None and t and (hits := [p for p, s in problems if p is not None and s and s in t])}
+    q, p = spark.createDataFrame(queries, "q int, qt string"), spark.createDataFrame(problems, "p int, pt string")
+    for size in (2_000_000, 150):  # one automaton, then several
+        found = containment.attach_source_row(q, "q", "qt", p, "p", "pt", automaton_bytes=size)
+        assert {r["q"]: r["p"] for r in found.collect()} == want
+    named = containment.attach_source_row(q, "q", "qt", p.select(F.concat(F.lit("p"), "p").alias("p"), "pt"), "p", "pt").collect()
+    assert {r["q"]: r["p"] for r in named} == {k: f"p{v}" for k, v in want.items()}
+    assert containment.attach_source_row(q, "q", "qt", p.where("false"), "p", "pt").count() == 0
+
+
 def test_token_budget_pack_matches_the_greedy_loop(spark):
     rng = random.Random(6)
     rows = [(g, i, rng.choice([0, 1, 2, 3, 5, 8, 50])) for g, n in [(1, 80), (2, 5)] for i in range(n)]
