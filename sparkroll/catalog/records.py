@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkroll import fixtures as fx
 from sparkroll.catalog.base import big, query, r4
-from sparkroll.sources import readers, writers
+from sparkroll.session import shared_folder
+from sparkroll.sources import committed, readers
 
 SEED = 17
 
@@ -43,17 +44,15 @@ def _(spark, sf):
 
 @query("read_jsonl_results", "f10", "select iteration, step, name, accuracy from f10")
 def _(spark, sf):
-    lines = fx.f10(spark, sf).select(F.to_json(F.struct("iteration", "step", "name", "accuracy")).alias("line"))
-    return readers.parse_jsonl(lines, "line", "iteration bigint, step bigint, name string, accuracy double")
+    """Results are stored as JSON lines and read back from the files."""
+    results = fx.f10(spark, sf).select("iteration", "step", "name", "accuracy")
+    return committed.write_missing(results, shared_folder(spark, "results"), kind="jsonl").drop("reused")
 
 
-@query("flatten_run_records", "f10", """select name, iteration as "cfg__trainer.iteration", step as "cfg__trainer.opt.step", iteration + step as "cfg__seeds.0", iteration - step as "cfg__seeds.1", round(accuracy, 4) as "sum__eval#accuracy", step * 2 as "sum__steps" from f10""")
+@query("parse_jsonl_column", "f10", "select iteration, step, name, accuracy from f10")
 def _(spark, sf):
-    i, s = F.col("iteration"), F.col("step")
-    runs = fx.f10(spark, sf).select(
-        "name", F.struct(F.struct(i.alias("iteration"), F.struct(s.alias("step")).alias("opt")).alias("trainer"), F.array(i + s, i - s).alias("seeds")).alias("config"),
-        F.struct(F.struct(r4("accuracy").alias("accuracy")).alias("eval"), (s * 2).alias("steps")).alias("summary"))
-    return readers.flatten_run_records(runs, "config", "summary")
+    lines = fx.f10(spark, sf).select(F.to_json(F.struct("iteration", "step", "name", "accuracy")).alias("line"))
+    return readers.parse_jsonl(lines, "line", "iteration bigint, step bigint, name string, accuracy double")
 
 
 def json_runs(spark, sf):
@@ -97,10 +96,11 @@ def _(spark, sf):
 @query("write_iteration_once", "f10", """with s as (select iteration, name, 1.0::double as accuracy, true as reused from f10 where iteration <= 1995)
 select * from s union all select iteration, name, round(accuracy, 4), false from f10 where iteration > 1995""")
 def _(spark, sf):
-    """The decision of the iteration sink as a query; `writers.write_iteration_once` stores the partitions."""
+    """Early iterations are stored first; the second write keeps them and adds the others. The rows are read back."""
+    folder = shared_folder(spark, "iterations")
     scores = fx.f10(spark, sf).select("iteration", "name", r4("accuracy").alias("accuracy"))
-    stored = scores.where("iteration <= 1995").withColumn("accuracy", F.lit(1.0))
-    return writers.reuse_or_compute(stored, scores)
+    committed.write_missing(scores.where("iteration <= 1995").withColumn("accuracy", F.lit(1.0)), folder)
+    return committed.write_missing(scores, folder)
 
 
 @query("resume_pending", "f1 f2", "select question_id, gold, split from f1 where question_id not in (select l_orderkey from lineitem)")

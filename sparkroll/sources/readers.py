@@ -146,7 +146,11 @@ def flatten_json_records(df: DataFrame, config: str, summary: str) -> DataFrame:
     for r in found:
         known = r["type"] in ("BIGINT", "DOUBLE", "BOOLEAN")
         kind = r["type"] if known else "DOUBLE" if r["type"].startswith("DECIMAL") else "STRING"
-        by_name.setdefault(r["key"], []).append(F.try_variant_get(f"__{r['source']}", r["path"], kind))
+        value = F.try_variant_get(f"__{r['source']}", r["path"], kind)
+        if kind == "STRING":  # a filled container of another run has columns of its own
+            shape = F.schema_of_variant(F.try_variant_get(f"__{r['source']}", r["path"], "variant"))
+            value = F.when(~shape.rlike("^(OBJECT<.+>|ARRAY<(?!VOID>).*)$"), value)
+        by_name.setdefault(r["key"], []).append(value)
     # keys that hold the separator may fall together with a nested one
     flat = [(c[0] if len(c) == 1 else F.coalesce(*[x.cast("string") for x in c])).alias(name) for name, c in by_name.items()]
     parsed = df.withColumns({f"__{c}": F.try_parse_json(c) for c in (config, summary)})

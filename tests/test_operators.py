@@ -12,7 +12,7 @@ from sparkroll.functions import extraction, grading, normalize, steps, text
 from sparkroll.operators import bleu, checkpoints, containment, credit, episodes, evaluation, fewshot, forecasting, logprobs, pairs, paths, sampling, trees
 from sparkroll.plugins import Registry, model_score_batch, row_generator
 from sparkroll.skew import rank_by_id
-from sparkroll.sources import readers, writers
+from sparkroll.sources import committed, readers, writers
 from sparkroll.streaming import jobs
 
 
@@ -237,11 +237,43 @@ def test_json_records_whose_keys_and_kinds_differ(spark):
     flat = {r["id"]: r.asDict() for r in readers.flatten_json_records(df, "c", "s").collect()}
     assert set(flat) == {1, 2, 3, 4} and len(flat[1]) == 13
     assert (flat[1]["cfg__a.b"], flat[1]["cfg__a.x.y.1"], flat[1]["cfg__a.x.y.2.z"], flat[1]["sum__m"]) == (1, 2.5, "q", 1.0)
-    assert (flat[2]["cfg__a"], flat[2]["cfg__it's"], flat[2]["sum__m"], flat[2]["sum__k#t"], flat[2]["cfg__a.b"]) == ("3", True, 0.5, 'u"}{', None)
+    assert (flat[2]["cfg__a"], flat[2]["cfg__it's"], flat[2]["sum__m"], flat[2]["sum__k#t"], flat[2]["cfg__a.b"]) == (3, True, 0.5, 'u"}{', None)
     assert not [v for k in (3, 4) for c, v in flat[k].items() if c != "id" and v is not None]
     assert readers.flatten_json_records(df.where("false"), "c", "s").columns == ["id"]
 
 
+def test_json_values_that_are_text_in_one_run_and_nested_in_another(spark):
+    df = spark.createDataFrame([(1, '{"a":"t","b":[]}', "{}"), (2, '{"a":{"k":1},"b":[5]}', "{}"), (3, '{"a":{},"b":2}', "{}")], "id int, c string, s string")
+    flat = {r["id"]: tuple(r[c] for c in ("cfg__a", "cfg__a.k", "cfg__b", "cfg__b.0")) for r in readers.flatten_json_records(df, "c", "s").collect()}
+    assert flat == {1: ("t", None, "[]", None), 2: (None, 1, None, 5), 3: ("{}", None, "2", None)}
+
+
+@pytest.mark.parametrize("kind", committed.KINDS)
+def test_iterations_are_committed_once(spark, tmp_path, kind):
+    path = str(tmp_path / "runs")
+    rows = spark.createDataFrame([(i % 3, f"é\n{i}" if i % 4 else None, i / 7, [i, i + 1]) for i in range(50)], "iteration bigint, t string, x double, l array<int>").repartition(4)
+    first = committed.write_missing(rows.where("iteration < 2"), path, kind=kind)
+    assert {tuple(map(str, r)) for r in first.drop("reused").collect()} == {tuple(map(str, r)) for r in rows.where("iteration < 2").collect()}
+    again = committed.write_missing(rows.withColumn("t", F.lit("new")), path, kind=kind)
+    assert {(r["iteration"], r["t"] == "new", r["reused"]) for r in again.collect()} == {(0, False, True), (1, False, True), (2, True, False)}
+    assert again.count() == 50
+    assert committed.write_missing(rows, path, kind=kind).where("reused").count() == 50
+
+
+def test_an_aborted_write_leaves_nothing(spark, tmp_path):
+    path = tmp_path / "runs"
+    rows = spark.range(1000).select((F.col("id") % 2).alias("iteration"), F.when(F.col("id") == 900, F.raise_error(F.lit("lost"))).otherwise("x").alias("t")).repartition(3)
+    with pytest.raises(Exception, match="lost"):
+        committed.write_missing(rows, str(path))
+    assert not [f for f in path.rglob("*") if f.is_file()]
+    nulls = spark.createDataFrame([(None, "a"), (1, "b")], "iteration bigint, t string")
+    with pytest.raises(Exception, match="belong to no iteration"):
+        committed.write_missing(nulls, str(path))
+    assert not [f for f in path.rglob("*") if f.is_file()]
+    assert committed.read_committed(spark, str(path), nulls.schema).count() == 0
+    assert committed.write_missing(nulls.where("t = 'b'"), str(path)).count() == 1
+
+
 def test_checkpoints_of_other_names(spark):
     names = ["ckpt--iter_0002--epoch_70000--step_1", "other", "ckpt--iter_0001--epoch_1--step_900000000", "ckpt--iter_0001--epoch_2--step_1"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
