@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sparkroll import fixtures as fx
 from sparkroll.catalog.base import query, r4
 from sparkroll.session import shared_folder
-from sparkroll.streaming import jobs
+from sparkroll.streaming import jobs, state
 
 
 def event_stream(spark, sf):
@@ -40,9 +40,13 @@ def _(spark, sf):
     return df.select("iteration", "count", r4("mean").alias("mean"), r4("var").alias("var"), *[r4(c).alias(c) for c in ("std", "batch_mean", "batch_std")])
 
 
-@query("adaptive_kl_coef", "f13", """with i as (select iteration, avg(score) / 50 as kl, count(*) as n_steps from f13 group by iteration),
+KL = """with i as (select iteration, avg(score) / 50 as kl, count(*) as n_steps from f13 group by iteration),
 m as (select *, ln(1 + least(greatest(kl / 0.9::double - 1, -0.2::double), 0.2::double) * n_steps / 5000.0::double) as l from i)
-select iteration, n_steps, round(0.05::double * exp(coalesce(sum(l) over (order by iteration rows between unbounded preceding and 1 preceding), 0)), 6) as kl_coef, 0.05::double as fixed_coef from m""")
+"""
+BEFORE = "round(0.05::double * exp(coalesce(sum(l) over (order by iteration rows between unbounded preceding and 1 preceding), 0)), 6) as kl_coef"
+
+
+@query("adaptive_kl_coef", "f13", KL + f"select iteration, n_steps, {BEFORE}, 0.05::double as fixed_coef from m")
 def _(spark, sf):
     per_iteration = fx.f13(spark, sf).groupBy("iteration").agg((F.avg("score") / 50).alias("kl"), F.count(F.lit(1)).alias("n_steps")).withColumn("run", F.lit("main"))
     df = jobs.adaptive_kl_coef(per_iteration, "run", "iteration", initial=0.05, target=0.9, horizon=5000.0)
@@ -50,6 +54,32 @@ def _(spark, sf):
     return fixed.select("iteration", "n_steps", F.col("adaptive").alias("kl_coef"), F.col("kl_coef").alias("fixed_coef"))
 
 
+def folded(spark, iterations, fold):
+    """The iterations arrive in three parts, the last one with a repeat; the job is started anew for each."""
+    folder = shared_folder(spark, "runs")
+    iterations.write.parquet(f"{folder}/all")
+    stored = spark.read.parquet(f"{folder}/all")
+    for part in ("iteration <= 10", "iteration between 11 and 20", "iteration > 18 or iteration is null"):
+        stored.where(part).write.mode("append").parquet(f"{folder}/arrived")
+        stream = spark.readStream.schema(stored.schema).parquet(f"{folder}/arrived")
+        state.fold_runs(stream, "run", "iteration", fold, f"{folder}/table", f"{folder}/progress").awaitTermination()
+    return spark.read.parquet(f"{folder}/table")
+
+
+@query("stream_adaptive_kl_coef", "f13", KL + f"select iteration, n_steps, {BEFORE} from m")
+def _(spark, sf):
+    per_iteration = fx.f13(spark, sf).groupBy("iteration").agg((F.avg("score") / 50).alias("kl"), F.count(F.lit(1)).alias("n_steps")).withColumn("run", F.lit("main"))
+    df = folded(spark, per_iteration, state.KlCoefficient(initial=0.05, target=0.9, horizon=5000.0))
+    return df.select("iteration", "n_steps", F.round("kl_coef", 6).alias("kl_coef"))
+
+
+@query("stream_state_moments", "f13", CUMULATIVE.replace(", round(bm, 4) as batch_mean, round(bs, 4) as batch_std", ""))
+def _(spark, sf):
+    scores = fx.f13(spark, sf).withColumn("run", F.lit("main"))
+    df = folded(spark, jobs.moments(scores, ["run", "iteration"], "score"), state.RunningMoments())
+    return df.select("iteration", "count", *[r4(c).alias(c) for c in ("mean", "var", "std")])
+
+
 @query("stream_episode_metrics", "f13", "select iteration, count(*) as episodes, round(avg(score), 4) as score_mean, round(stddev_pop(score), 4) as score_std from f13 group by iteration")
 def _(spark, sf):
     folder = shared_folder(spark, "metrics")

@@ -13,7 +13,7 @@ from sparkroll.operators import bleu, checkpoints, containment, credit, episodes
 from sparkroll.plugins import Registry, model_score_batch, row_generator
 from sparkroll.skew import rank_by_id
 from sparkroll.sources import committed, readers, writers
-from sparkroll.streaming import jobs
+from sparkroll.streaming import jobs, state
 
 
 def one(spark, column, **values):
@@ -531,6 +531,29 @@ def test_stream_restart_repeats_nothing(spark, tmp_path):
     assert run() == ({1: (3, 3.0), 2: (1, 7.0)}, ["a", "b"])
 
 
+def test_folds_of_runs_equal_the_batch_forms_over_restarts(spark, tmp_path):
+    rng = random.Random(8)
+    scores = spark.createDataFrame([(run, i, 1e6 + rng.gauss(0, 1)) for run in ("m", "n", None) for i in range(9) for _ in range(1 + 3 * (i % 3))], "r string, i int, score double")
+    rows = jobs.moments(scores, ["r", "i"], "score").withColumns({"kl": F.col("mean") - 1e6, "n_steps": F.when(F.col("i") != 4, F.col("n"))})
+    rows.write.parquet(str(tmp_path / "all"))
+    rows = spark.read.parquet(str(tmp_path / "all"))
+    kl, moments = state.KlCoefficient(0.5, 0.1, 20.0), state.RunningMoments()
+    for part in ("i < 3", "i between 2 and 5 and r is not null", "i > 5 or (i > 2 and r is null)"):
+        rows.where(part).write.mode("append").parquet(str(tmp_path / "in"))
+        for name, fold in (("kl", kl), ("m", moments)):
+            stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+            state.fold_runs(stream, "r", "i", fold, str(tmp_path / name), str(tmp_path / f"{name}-progress")).awaitTermination()
+    got = {(r["run"], r["iteration"]): r["kl_coef"] for r in spark.read.parquet(str(tmp_path / "kl")).collect()}
+    want = {(r["r"], r["i"]): r["kl_coef"] for r in jobs.adaptive_kl_coef(rows, "r", "i", 0.5, 0.1, 20.0).collect()}
+    assert len(want) == 27 and got == pytest.approx(want, rel=1e-9)
+    got = {(r["run"], r["iteration"]): (r["count"], r["mean"], r["var"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()}
+    batch = jobs.running_moments(rows, "r", "i").collect()
+    assert len(got) == len(batch) == 27
+    for r in batch:
+        count, mean, var = got[r["r"], r["i"]]
+        assert count == r["count"] and mean == pytest.approx(r["mean"], rel=1e-12) and var == pytest.approx(r["var"], rel=1e-6, abs=1e-12)
+
+
 def test_adaptive_kl(spark):
     df = spark.createDataFrame([("m", 1, 10.0, 100), ("m", 2, 0.0, 100), ("m", 3, 1.0, 100)], "run string, iteration int, kl double, n_steps int")
     got = [r["kl_coef"] for r in jobs.adaptive_kl_coef(df, "run", "iteration", 1.0, 1.0, 1000.0).orderBy("iteration").collect()]
