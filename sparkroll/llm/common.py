@@ -60,14 +60,18 @@ def bounded_sample(rows: DataFrame, label: str, key: str, bound: int) -> DataFra
     return rows.where(draw < share).orderBy(draw, key).limit(bound)
 
 
+COUNTED = "struct<numbers:binary,counts:binary>"
+
+
+def counted(lists: list[np.ndarray]) -> pa.Array:
+    """The distinct numbers of each list and how often they occur, packed as 32-bit integers (a column of type COUNTED)."""
+    unique = [np.unique(x, return_counts=True) for x in lists]
+    return pa.StructArray.from_arrays([pa.array([u[k].astype(np.int32).tobytes() for u in unique], pa.binary()) for k in range(2)], ["numbers", "counts"])
+
+
 def counted_features(rows: DataFrame, *columns: str) -> list[tuple]:
-    """Rows of a bounded sample on the driver: `columns`, then the two lists of the struct `f` as arrays; no object per number."""
-    found = rows.select(*columns, "f").toArrow().combine_chunks()
-    if found.num_rows == 0:
-        return []
-    struct = found.column("f").combine_chunks()
-    lists = [[x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in struct.field(k)] for k in range(2)]
-    return list(zip(*(found.column(c).to_pylist() for c in columns), *lists, strict=True))
+    """Rows of a bounded sample on the driver: `columns`, then the two lists of the COUNTED column `f` as arrays; no object per number."""
+    return [(*(r[c] for c in columns), *(np.frombuffer(x, np.int32).astype(np.int64) for x in r["f"])) for r in rows.select(*columns, "f").collect()]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

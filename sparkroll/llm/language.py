@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sparkroll.llm.common import LETTER, ODD, UPPER, bounded_sample, counted_features, character_tables, code_points, fold, mixed, pieces, prepared, sums_by, table, text_buffers
+from sparkroll.llm.common import COUNTED, LETTER, ODD, UPPER, bounded_sample, counted, counted_features, character_tables, code_points, fold, mixed, pieces, prepared, sums_by, table, text_buffers
 
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -87,8 +87,7 @@ def _subword_rows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for k, number in enumerate(numbers):
                 mine = [b[np.searchsorted(o, k) : np.searchsorted(o, k, side="right")] for b, o in found]
                 counts[number] = np.concatenate([counts[number], *mine])
-        unique = [np.unique(c, return_counts=True) for c in counts]
-        yield pa.StructArray.from_arrays([pa.array([u.astype(np.int32) for u, _ in unique], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in unique], pa.list_(pa.int32()))], ["buckets", "counts"])
+        yield counted(counts)
 
 
 def train(documents: DataFrame, bound: int = TRAINING_DOCUMENTS, seed: int = 7) -> Model | None:
@@ -100,7 +99,7 @@ def train(documents: DataFrame, bound: int = TRAINING_DOCUMENTS, seed: int = 7)
     picked = bounded_sample(labelled.select("doc_id", "lang"), "lang", "doc_id", bound).dropDuplicates(["doc_id"])
     # at most `bound` ids, so the broadcast has a fixed size
     sample = labelled.select("doc_id", "text", "lang").join(F.broadcast(picked.select("doc_id")), "doc_id").limit(2 * bound)
-    features = arrow_udf(_subword_rows, "struct<buckets:array<int>,counts:array<int>>")
+    features = arrow_udf(_subword_rows, COUNTED)
     rows = counted_features(sample.select("doc_id", "lang", features("text").alias("f")), "doc_id", "lang")
     rows = sorted((r for r in rows if len(r[2])), key=lambda r: (r[0], r[1], r[2][:8].tolist()))
     return fit([(buckets, counts.astype(float)) for _, _, buckets, counts in rows], [r[1] for r in rows], seed) if rows else None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from sparkroll.llm.common import (
-    LETTER, ODD, OTHER, SPACE, UPPER, bounded_sample, counted_features, character_tables, code_points, fold, mixed, pieces, prepared, run_hashes, sums_by, table, text_buffers,
+    COUNTED, LETTER, ODD, OTHER, SPACE, UPPER, bounded_sample, counted, counted_features, character_tables, code_points, fold, mixed, pieces, prepared, run_hashes, sums_by, table, text_buffers,
 )
 
 BITS = 18
@@ -84,8 +84,7 @@ def _feature_rows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for k, number in enumerate(numbers):
                 mine = [f[np.searchsorted(o, k) : np.searchsorted(o, k, side="right")] for f, o in found]
                 lists[number] = np.concatenate([lists[number], *mine])
-        unique = [np.unique(x, return_counts=True) for x in lists]
-        yield pa.StructArray.from_arrays([pa.array([u.astype(np.int32) for u, _ in unique], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in unique], pa.list_(pa.int32()))], ["numbers", "counts"])
+        yield counted(lists)
 
 
 def train(documents: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS, seed: int = 11) -> Model | None:
@@ -97,7 +96,7 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMEN
     picked = bounded_sample(known, "quality", "doc_id", bound)
     # at most `bound` ids with a label, so the broadcast has a fixed size
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(2 * bound)
-    rows = sample.select("doc_id", "quality", arrow_udf(_feature_rows, "struct<numbers:array<int>,counts:array<int>>")("text").alias("f"))
+    rows = sample.select("doc_id", "quality", arrow_udf(_feature_rows, COUNTED)("text").alias("f"))
     rows = sorted(counted_features(rows, "doc_id", "quality"), key=lambda r: (r[0], r[1], r[2][:8].tolist()))
     if not rows:
         return None
