@@ -9,7 +9,6 @@ from sparkroll.functions.text import TOKEN, token_spans
 from sparkroll.operators import paths as pp
 from sparkroll.operators import trees
 from sparkroll.plugins import row_generator
-from sparkroll.session import reliable_checkpoint
 
 DEPTH, BRANCH, SEED = 3, 4, 17
 FIELDS = ["node_id", "depth", "answer", "is_correct", "score"]
@@ -286,8 +285,7 @@ def _(spark, sf):
 @query("tree_from_json", "f1 f2 f4", "select tree_id, node_id, parent_id, depth, expanded, answer from f4")
 def _(spark, sf):
     """The texts of the documents are the ids of the nodes they were made of."""
-    docs = reliable_checkpoint(trees.tree_to_json(nodes(spark, sf)))
-    rows = reliable_checkpoint(trees.tree_from_json(docs, "tree"))
+    rows = trees.tree_from_json(trees.tree_to_json(nodes(spark, sf)), "tree")
     above = rows.select("tree_id", F.col("node_id").alias("parent_id"), F.col("text").alias("above"))
     return rows.join(above, ["tree_id", "parent_id"], "left").select("tree_id", F.col("text").alias("node_id"), F.col("above").alias("parent_id"), "depth", "expanded", "answer")
 

@@ -1,7 +1,11 @@
-"""Reasoning trees as an adjacency table, with ancestors found by pointer doubling.
+"""Reasoning trees as an adjacency table, worked level by level, or with ancestors found by pointer doubling.
 
 Columns: tree_id, node_id, parent_id, depth, expanded, answer, is_correct, and
-any others. Pointers to the parent become pointers to the ancestor 2, 4, 8, ...
+any others; depth counts the links to the root. The table is stored once, as it
+is read for every level; joins to it ask for a merge, since its compressed size
+would have Spark broadcast what is large. Trees of fewer than SHALLOW levels pass scores up and
+chains down, so that a chain is shuffled once for each parent, not once for
+each node below it. Deeper ones take few rounds: pointers to the parent become pointers to the ancestor 2, 4, 8, ...
 levels up by joining them with themselves; a set of nodes meets all its ancestors
 by taking one kind of pointer after the other, so a tree of depth d needs
 log2(d) rounds of joins, not d. Only ids travel in them; what else a chain holds is
@@ -22,12 +26,14 @@ from pyspark.sql import functions as F
 from sparkroll.functions.arrays import last
 from sparkroll.operators.bleu import group_bleu
 from sparkroll.operators.sampling import sample_per_group
-from sparkroll.session import reliable_checkpoint
+from sparkroll.session import reliable_checkpoint, reliable_table
 from sparkroll.skew import rank_in_group
 
 
 #: Rounds of doubling between two stores.
 STORE_EVERY = 2
+#: Trees with fewer levels are worked level by level.
+SHALLOW = 8
 
 
 def level(nodes: DataFrame, depth: int) -> DataFrame:
@@ -73,16 +79,33 @@ def ancestors(starts: DataFrame, pointers: DataFrame, depth: int) -> DataFrame:
 
 
 def tree_score(nodes: DataFrame, correct: Column | None = None) -> DataFrame:
-    """Score of every node: its grade if answered, else the unweighted mean of its children, 0 without any.
-
-    So an unanswered node has the sum of the grades of the answered nodes below
-    it, each times its share, where no other answered node stands between.
-    """
+    """Score of every node: its grade if answered, else the unweighted mean of its children, 0 without any."""
     grade = F.coalesce((F.col("is_correct") if correct is None else correct).cast("double"), F.lit(0.0))
     answered = F.col("answer").isNotNull()
+    nodes = reliable_table(nodes)
+    depth = deepest(nodes)
+    if not _shallow(nodes, depth):
+        return _score_by_doubling(nodes, depth, grade, answered)
+    parts: list[DataFrame] = []
+    for at in range(depth, -1, -1):
+        here, mean = level(nodes, at), F.lit(0.0)
+        if parts:
+            means = parts[-1].groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.avg("score").alias("__mean")).hint("merge")
+            here, mean = here.join(means, ["tree_id", "node_id"], "left"), F.coalesce("__mean", F.lit(0.0))
+        parts.append(here.withColumn("score", F.when(answered, grade).otherwise(mean)).select(*nodes.columns, "score"))
+    return _union(parts)
+
+
+def _shallow(nodes: DataFrame, depth: int) -> bool:
+    """True if every row has one of a few levels."""
+    return depth < SHALLOW and nodes.where(F.col("depth").isNull() | (F.col("depth") < 0)).isEmpty()
+
+
+def _score_by_doubling(nodes: DataFrame, depth: int, grade: Column, answered: Column) -> DataFrame:
+    """An unanswered node has the sum of the grades of the answered nodes below it, each times its share, where no other answered node stands between."""
     pointers = reliable_checkpoint(parent_pointers(nodes))
     graded = nodes.where(answered).select("tree_id", "node_id", grade.alias("__grade"))
-    met = ancestors(graded.where("__grade != 0"), pointers, deepest(nodes)).where((F.col("share") > 0) & (F.col("node_id") != F.col("above")))
+    met = ancestors(graded.where("__grade != 0"), pointers, depth).where((F.col("share") > 0) & (F.col("node_id") != F.col("above")))
     sums = met.join(graded, ["tree_id", "node_id"]).groupBy("tree_id", F.col("above").alias("node_id")).agg(F.sum(F.col("share") * F.col("__grade")).alias("__sum"))
     scored = nodes.join(sums, ["tree_id", "node_id"], "left")
     return scored.withColumn("score", F.when(answered, grade).otherwise(F.coalesce("__sum", F.lit(0.0)))).select(*nodes.columns, "score")
@@ -107,12 +130,48 @@ def chains(nodes: DataFrame, max_depth: int, fields: Sequence[str], branch_facto
     `wanted` says which nodes get a chain, else all do. A node that no chain of
     parents ties to a root (depth 0) has none.
     """
-    scored = "score" in fields
     kept = ["node_id", *[f for f in fields if f != "node_id"]]
     weight = importance_weight(F.col("depth"), branch_factor, max_depth) if branch_factor else F.lit(1.0)
-    ends = nodes if wanted is None else nodes.where(wanted)
+    columns = nodes.columns if keep_child else [c for c in nodes.columns if c in (*BASE, *kept)]
+    nodes = reliable_table(nodes.select(*columns, (F.lit(True) if wanted is None else wanted).alias("__wanted")))
+    depth = deepest(nodes.where("__wanted"))
+    build = _chains_by_level if _shallow(nodes, deepest(nodes)) else _chains_by_doubling
+    rows = build(nodes, depth, kept, weight)
+    if keep_child is None:
+        return rows
+    first_level = keep_child(level(nodes, 1)).select("tree_id", F.col("node_id").alias("__top"))
+    top = rows.withColumn("__top", F.try_element_at("path_key", F.lit(2)))
+    return top.where("depth = 0").drop("__top").unionByName(top.where("depth > 0").join(first_level, ["tree_id", "__top"], "left_semi").select(*rows.columns))
+
+
+def _chains_by_level(nodes: DataFrame, depth: int, kept: Sequence[str], weight: Column) -> DataFrame:
+    """The rows of `chains` where `__wanted`: each level takes the chains of its parents."""
+    fields = [F.col(f).alias(f) for f in kept]
+    unanswered, weight, gain = F.col("answer").isNull(), weight.alias("weight"), "score" in kept
+    root = F.struct(*fields, *([F.lit(None).cast("double").alias("advantage")] if gain else []), weight, unanswered.alias("open"))
+    above = last(F.col("__chain"))
+    advantage = [F.when(above["open"], F.col("score") - above["score"]).cast("double").alias("advantage")] if gain else []
+    node = F.struct(*fields, *advantage, weight, (above["open"] & unanswered).alias("open"))
+    whole, parts = None, []
+    for at in range(depth + 1):
+        here = level(nodes, at)
+
+        def chained(rows: DataFrame) -> DataFrame:
+            if whole is None:
+                return rows.select(*BASE, "__wanted", F.array(root).alias("chain"))
+            over = whole.select("tree_id", F.col("node_id").alias("parent_id"), F.col("chain").alias("__chain")).hint("merge")
+            return rows.join(over, ["tree_id", "parent_id"]).select(*BASE, "__wanted", F.concat("__chain", F.array(node)).alias("chain"))
+
+        parts.append(chained(here.where("__wanted")))
+        whole = chained(here)
+    return _union(parts).select(*BASE, "chain", F.transform("chain", lambda n: n["node_id"]).alias("path_key"))
+
+
+def _chains_by_doubling(nodes: DataFrame, depth: int, kept: Sequence[str], weight: Column) -> DataFrame:
+    """The rows of `chains` where `__wanted`: ends meet their ancestors as pairs of ids."""
+    ends = nodes.where("__wanted")
     edges = nodes.where(F.col("parent_id").isNotNull()).select("tree_id", "node_id", F.col("parent_id").alias("above"), F.lit(1.0).alias("share"))
-    met = ancestors(ends.select("tree_id", "node_id"), reliable_checkpoint(edges), deepest(ends)).drop("share")
+    met = ancestors(ends.select("tree_id", "node_id"), reliable_checkpoint(edges), depth).drop("share")
     entry = F.struct(F.col("depth").alias("__at"), *kept, weight.alias("weight"), F.col("answer").isNotNull().alias("__answered"))
     entries = nodes.select("tree_id", F.col("node_id").alias("above"), entry.alias("__entry"))
     # one row for each level of a node's own chain
@@ -125,16 +184,11 @@ def chains(nodes: DataFrame, max_depth: int, fields: Sequence[str], branch_facto
 
     def finished(n: Column, i: Column) -> Column:
         above = F.try_element_at("__raw", F.greatest(i, F.lit(1)))
-        gain = F.when((i > 0) & (i <= F.col("__first")), n["score"] - above["score"]) if scored else None
+        gain = F.when((i > 0) & (i <= F.col("__first")), n["score"] - above["score"]) if "score" in kept else None
         extra = [gain.cast("double").alias("advantage")] if gain is not None else []
         return F.struct(*[n[f].alias(f) for f in kept], *extra, n["weight"].alias("weight"), (i < F.col("__first")).alias("open"))
 
-    rows = rows.select(*BASE, F.transform("__raw", finished).alias("chain"), F.transform("__raw", lambda n: n["node_id"]).alias("path_key"))
-    if keep_child is None:
-        return rows
-    first_level = keep_child(level(nodes, 1)).select("tree_id", F.col("node_id").alias("__top"))
-    top = rows.withColumn("__top", F.try_element_at("path_key", F.lit(2)))
-    return top.where("depth = 0").drop("__top").unionByName(top.where("depth > 0").join(first_level, ["tree_id", "__top"], "left_semi").select(*rows.columns))
+    return rows.select(*BASE, F.transform("__raw", finished).alias("chain"), F.transform("__raw", lambda n: n["node_id"]).alias("path_key"))
 
 
 def tree_advantage(chained: DataFrame) -> DataFrame:
@@ -243,27 +297,26 @@ def tree_from_json(docs: DataFrame, column: str, fields: Mapping[str, str] = NOD
     """JSON trees of any depth to node rows; invalid documents are dropped, an empty child list still counts as expanded.
 
     A node's id is the path of its child indexes, so equal texts are different nodes; `fields` names what else
-    is read of a node, with types. Each level is parsed one node deep; the documents of the next one
-    stay text, and are stored so that no level is parsed again for those below.
+    is read of a node, with types. Each level is parsed once, one node deep, and stored; the documents of
+    the next one stay text.
     """
     schema = ", ".join(["text string", *[f"`{n}` {t}" for n, t in fields.items()], "children array<string>"])
     rows = docs.select("tree_id", F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("bigint").alias("child_idx"), F.from_json(column, schema).alias("n"))
-    rows, parts, depth = rows.where("n.text is not null"), [], 0
-    while True:
+    rows, parts, depth = reliable_table(rows.where("n.text is not null")), [], 0
+    while not parts or not rows.isEmpty():
         parts.append(rows.select(
             "tree_id", "node_id", "parent_id", F.lit(depth).cast("bigint").alias("depth"), "child_idx", F.col("n.text").alias("text"),
             F.col("n.children").isNotNull().alias("expanded"), *[F.col(f"n.{n}").alias(n) for n in fields]))
         below = rows.select("tree_id", "node_id", F.posexplode("n.children").alias("pos", "doc"))
-        below = reliable_checkpoint(below)
-        if below.isEmpty():
-            return _union(parts)
-        rows = below.select(
-            "tree_id", F.concat_ws(".", "node_id", "pos").alias("node_id"), F.col("node_id").alias("parent_id"), F.col("pos").cast("bigint").alias("child_idx"), F.from_json("doc", schema).alias("n"))
+        rows = reliable_table(below.select(
+            "tree_id", F.concat_ws(".", "node_id", "pos").alias("node_id"), F.col("node_id").alias("parent_id"), F.col("pos").cast("bigint").alias("child_idx"), F.from_json("doc", schema).alias("n")))
         depth += 1
+    return _union(parts)
 
 
 def tree_to_json(nodes: DataFrame, text: str = "node_id", fields: Sequence[str] = ("answer",)) -> DataFrame:
     """One sorted-key JSON document per tree, of whatever depth: text, depth, children, and the given string columns."""
+    nodes = reliable_table(nodes.select(*dict.fromkeys(["tree_id", "node_id", "parent_id", "depth", "expanded", text, *fields])))
     below = None
     for depth in range(deepest(nodes), -1, -1):
         here = level(nodes, depth)
@@ -275,15 +328,16 @@ def tree_to_json(nodes: DataFrame, text: str = "node_id", fields: Sequence[str]
         here = here.select("tree_id", "node_id", "parent_id", doc.alias("doc"))
         if depth == 0:
             return here.select("tree_id", F.col("doc").alias("tree"))
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("node_id", "doc"))), lambda c: c["doc"])
+        ordered = F.sort_array(F.collect_list(F.struct("node_id", "doc")))["doc"]
         below = here.groupBy("tree_id", "parent_id").agg(F.concat(F.lit("["), F.array_join(ordered, ", "), F.lit("]")).alias("__children")).select(
-            F.col("tree_id").alias("__tree"), F.col("parent_id").alias("__node"), "__children")
+            F.col("tree_id").alias("__tree"), F.col("parent_id").alias("__node"), "__children").hint("merge")
     raise AssertionError("unreachable")
 
 
 def _string(x: Column) -> Column:
     """A JSON string literal, null stays null."""
-    return F.when(x.isNotNull(), F.regexp_extract(F.to_json(F.struct(x.alias("s"))), r'^\{"s":([\s\S]*)\}$', 1))
+    # behind {"s": and before }, which a literal never ends with
+    return F.when(x.isNotNull(), F.rtrim(F.substr(F.to_json(F.struct(x.alias("s"))), F.lit(6)), F.lit("}")))
 
 
 def _object(fields: dict[str, Column]) -> Column:

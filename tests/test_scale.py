@@ -1,8 +1,11 @@
 """Plans that must hold at any size: what they send to the driver, store and shuffle."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from sparkroll import fixtures as fx
+from sparkroll.operators import trees
 
 TINY = "/root/testdata/sf0.001"
 
@@ -26,3 +29,57 @@ def test_expanded_is_three_valued_as_in(spark, tmp_path):
         spark.createDataFrame([(k, *row) for k in keys], lines).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
         got = fx.f4(spark, str(tmp_path)).where("depth = 2").collect()
         assert {r.node_id: r.expanded for r in got} == expected and len(got) == 3
+
+
+NODE_SCHEMA = "tree_id int, node_id string, parent_id string, depth int, expanded boolean, answer string, is_correct int"
+FIELDS = ["node_id", "answer", "score"]
+
+
+def forest():
+    """Trees of four levels with answered inner nodes, empty nodes, a bare root and an orphan; `"}` ends a text."""
+    rows = [(9, "alone", None, 0, False, "x", 1), (9, "lost", "gone", 2, False, "x", 1)]
+    for tree in range(3):
+        rows.append((tree, "r", None, 0, True, None, None))
+        for a in range(3):
+            rows.append((tree, f"{a}", "r", 1, a < 2, 'a"}' if a == 1 else None, 1 if a == 1 else None))
+            for b in range(3 if a < 2 else 0):
+                rows.append((tree, f"{a}.{b}", f"{a}", 2, b > 0, None, None))
+                rows += [(tree, f"{a}.{b}.{c}", f"{a}.{b}", 3, False, "\\}" if c else None, (tree + c) % 2) for c in range(b)]
+    return rows
+
+
+def test_trees_read_their_source_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = spark.createDataFrame(forest(), NODE_SCHEMA).mapInArrow(counted, NODE_SCHEMA)
+    for run in (lambda: trees.tree_score(source), lambda: trees.chains(source, 3, ["node_id", "answer"]), lambda: trees.tree_to_json(source)):
+        before = seen.value
+        run().collect()
+        assert seen.value - before == len(forest())
+
+
+def test_levels_equal_doubling(spark, monkeypatch):
+    nodes = spark.createDataFrame(forest(), NODE_SCHEMA)
+
+    def results():
+        scored = trees.tree_score(nodes)
+        paths = trees.chains(scored, 3, FIELDS, 4, wanted=~F.col("expanded"))
+        whole = trees.chains(scored, 3, FIELDS, 4)
+        return [sorted(df.collect(), key=str) for df in (scored.withColumn("score", F.round("score", 9)), paths.select("tree_id", "node_id", "path_key", rounded("chain").alias("c")), whole.select("tree_id", "node_id", rounded("chain").alias("c")))]
+
+    def rounded(chain):
+        return F.to_json(F.transform(chain, lambda n: n.withField("score", F.round(n["score"], 9)).withField("advantage", F.round(n["advantage"], 9) + 0.0)))
+
+    by_level = results()
+    monkeypatch.setattr(trees, "SHALLOW", 0)
+    assert results() == by_level and len(by_level[0]) == len(forest())
+
+
+def test_json_strings_keep_quotes_and_braces(spark):
+    docs = trees.tree_to_json(spark.createDataFrame([(1, 'r"}', None, 0, False, "\\}\n}", 1)], NODE_SCHEMA))
+    assert json.loads(docs.first().tree) == {"text": 'r"}', "depth": 0, "answer": "\\}\n}"}
