@@ -12,36 +12,42 @@ into one aggregation whose input is one row per token and gram length.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_N = 4
 WORDS = r"[^ \t\n\r\f]+"
+#: Grams that leave a Python worker in one batch.
+GRAMS = 20_000
 
 
-def _numbered_grams():
-    """All grams of a text as "length:occurrence:words", in one pass per text."""
+def numbered_grams(text: str | None) -> Iterator[str]:
+    """All grams of a text as "length:occurrence:words"."""
+    words = re.findall(WORDS, text or "")
+    for n in range(1, MAX_N + 1):
+        seen: dict[str, int] = {}
+        for at in range(len(words) - n + 1):
+            gram = " ".join(words[at : at + n])
+            seen[gram] = seen.get(gram, 0) + 1
+            yield f"{n}:{seen[gram]}:{gram}"
 
-    @F.pandas_udf("array<string>")
-    def grams(texts: pd.Series) -> pd.Series:
-        find = re.compile(WORDS).findall
 
-        def one(text):
-            words, out = find(text or ""), []
-            for n in range(1, MAX_N + 1):
-                seen = {}
-                for at in range(len(words) - n + 1):
-                    gram = " ".join(words[at : at + n])
-                    seen[gram] = seen.get(gram, 0) + 1
-                    out.append(f"{n}:{seen[gram]}:{gram}")
-            return out
+def _gram_rows(members: DataFrame, group: Sequence[str], text: str) -> DataFrame:
+    """One row for each gram, with the group; a worker holds the grams of one text and GRAMS more."""
+    rows = members.select(*group, F.col(text).alias("__g"))
 
-        return texts.map(one)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = ((k, g) for k in range(batch.num_rows) for g in numbered_grams(batch.column(len(group))[k].as_py()))
+            while piece := list(islice(grams, GRAMS)):
+                at = pa.array([k for k, _ in piece])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(len(group))], pa.array([g for _, g in piece], pa.string())], [*group, "__g"])
 
-    return grams
+    return rows.mapInArrow(run, rows.schema)
 
 
 def group_bleu(members: DataFrame, group: Sequence[str], idx: str, text: str) -> DataFrame:
@@ -51,8 +57,7 @@ def group_bleu(members: DataFrame, group: Sequence[str], idx: str, text: str) ->
     """
     group = list(group)
     orders = range(1, MAX_N + 1)
-    layers = members.select(*group, F.explode(_numbered_grams()(F.col(text))).alias("__g"))
-    holders = layers.groupBy(*group, "__g").agg(F.count(F.lit(1)).alias("__h")).where("__h > 1").withColumn("__n", F.substring("__g", 1, 1).cast("int"))
+    holders = _gram_rows(members, group, text).groupBy(*group, "__g").agg(F.count(F.lit(1)).alias("__h")).where("__h > 1").withColumn("__n", F.substring("__g", 1, 1).cast("int"))
     matched = holders.groupBy(*group).agg(*[F.sum(F.when(F.col("__n") == n, F.col("__h") * (F.col("__h") - 1) / 2).otherwise(0.0)).alias(f"__match_{n}") for n in orders])
     # member i predicts m - 1 - i times and is the reference i times: sums of sizes and of i * sizes say it all
     size = F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))

@@ -2,10 +2,11 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkroll import fixtures as fx
-from sparkroll.operators import trees
+from sparkroll.operators import bleu, trees
 
 TINY = "/root/testdata/sf0.001"
 
@@ -83,3 +84,20 @@ def test_levels_equal_doubling(spark, monkeypatch):
 def test_json_strings_keep_quotes_and_braces(spark):
     docs = trees.tree_to_json(spark.createDataFrame([(1, 'r"}', None, 0, False, "\\}\n}", 1)], NODE_SCHEMA))
     assert json.loads(docs.first().tree) == {"text": 'r"}', "depth": 0, "answer": "\\}\n}"}
+
+
+def test_workers_take_few_rows_at_once(spark):
+    rows = fx.table(spark, TINY, "lineitem").coalesce(1).select("l_orderkey")
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()
+    assert sum(r.n for r in sizes) == rows.count() and max(r.n for r in sizes) <= 512
+
+
+def test_grams_leave_in_pieces(spark, monkeypatch):
+    texts = [(1, 0, "a b c d e a b c d"), (1, 1, "b c d e a b c"), (2, 0, None), (2, 1, "a b"), (3, 0, "x")]
+    members = spark.createDataFrame(texts, "g int, i int, t string")
+    whole = sorted(bleu._gram_rows(members, ["g"], "t").collect())
+    assert len(whole) == sum(max(len((t or "").split()) - n, 0) for _, _, t in texts for n in range(4))
+    monkeypatch.setattr(bleu, "GRAMS", 3)
+    assert sorted(bleu._gram_rows(members, ["g"], "t").collect()) == whole
+    scores = {r.g: r.bleu for r in bleu.group_bleu(members, ["g"], "i", "t").collect()}
+    assert set(scores) == {1, 2} and scores[1] > 0 and scores[2] == 0
