@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkroll import fixtures as fx
+from sparkroll import session
 from sparkroll.operators import bleu, trees
 
 TINY = "/root/testdata/sf0.001"
@@ -101,3 +102,20 @@ def test_grams_leave_in_pieces(spark, monkeypatch):
     assert sorted(bleu._gram_rows(members, ["g"], "t").collect()) == whole
     scores = {r.g: r.bleu for r in bleu.group_bleu(members, ["g"], "i", "t").collect()}
     assert set(scores) == {1, 2} and scores[1] > 0 and scores[2] == 0
+
+
+def test_large_inputs_are_cut_finer(spark, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    lines = fx.table(spark, TINY, "lineitem")
+    assert spark.conf.get(key, None) == before, "a small table keeps the session's partitions"
+    monkeypatch.setattr(session, "INPUT_BYTES", 1024)
+    try:
+        lines = fx.table(spark, TINY, "lineitem").groupBy("l_orderkey").count()
+        wanted = int(spark.conf.get(key))
+        assert wanted > 50 and "hashpartitioning(l_orderkey#" in (text := lines._jdf.queryExecution().executedPlan().toString()) and f", {wanted})" in text
+        assert lines.count() == fx.table(spark, TINY, "lineitem").select("l_orderkey").distinct().count()
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
