@@ -31,7 +31,8 @@ def few_shot_sample(questions: DataFrame, qid: str, question: str, pool: DataFra
     placed = rank_by_id(pool.select(F.col(pid), F.col(example).alias("__ex")), pid, "__pos").select("__pos", "__ex", F.length("__ex").alias("__len"), F.sha2("__ex", 256).alias("__sha"))
     asked = questions.select(qid, F.length(question).alias("__qlen"), F.sha2(question, 256).alias("__qsha"))
     tries = asked.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)))).withColumn("__seed", F.col("attempt") + seed)
-    picks = tries.select("*", F.posexplode(permuted_picks(F.lit(size).cast("bigint"), k + 1, F.col("__seed"), qid)).alias("__j", "__pos"))
+    # an empty pool gives a position of null, which meets nothing; a plain explode would pick a second time to ask for that
+    picks = tries.select("*", F.posexplode_outer(permuted_picks(F.lit(size).cast("bigint"), k + 1, F.col("__seed"), qid)).alias("__j", "__pos"))
     met = picks.join(placed.select("__pos", "__len", "__sha"), "__pos").where(F.col("__sha") != F.col("__qsha"))
     # at most k + 1 examples per question and attempt: drop the one beyond k, or the question itself
     used = met.groupBy(qid, "attempt", "__qlen").agg(F.array_sort(F.collect_list(F.struct("__j", "__pos", "__len"))).alias("ex")).withColumn("ex", F.slice("ex", 1, k))

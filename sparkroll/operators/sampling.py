@@ -7,11 +7,12 @@ leading digits as ready-made slices, so nothing is sorted in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkroll.functions.arrays import let
 from sparkroll.skew import rank_by_hash, rank_by_id, seeded, with_group_stats
 
 
@@ -155,15 +156,21 @@ FEISTEL_ROUNDS, WALKS = 4, 64
 
 def _permuted(x: Column, digest: Column, wide: Column, high: Column) -> Column:
     """One keyed Feistel permutation of [0, high * wide): the halves x div wide and x mod wide are shifted by hashes of each other."""
-    left, right = F.floor(x / wide).cast("bigint"), x % wide
+
+    def round_of(k: int) -> Callable[[Column], Column]:
+        def shifted(h: Column) -> Column:
+            other = h["right"] if k % 2 == 0 else h["left"]
+            shift = F.conv(F.substring(F.md5(F.concat_ws("|", digest, F.lit(str(k)), other.cast("string"))), 1, 8), 16, 10).cast("bigint")
+            left, right = ((h["left"] + shift) % high, h["right"]) if k % 2 == 0 else (h["left"], (h["right"] + shift) % wide)
+            return F.struct(left.alias("left"), right.alias("right"))
+
+        return shifted
+
+    # each round is bound once: as plain expressions both halves would repeat all rounds before
+    halves = F.struct(F.floor(x / wide).cast("bigint").alias("left"), (x % wide).alias("right"))
     for k in range(FEISTEL_ROUNDS):
-        other = right if k % 2 == 0 else left
-        shift = F.conv(F.substring(F.md5(F.concat_ws("|", digest, F.lit(str(k)), other.cast("string"))), 1, 8), 16, 10).cast("bigint")
-        if k % 2 == 0:
-            left = (left + shift) % high
-        else:
-            right = (right + shift) % wide
-    return left * wide + right
+        halves = let(halves, round_of(k))
+    return let(halves, lambda h: h["left"] * wide + h["right"])
 
 
 def permuted_picks(size: Column, wanted: int, seed: int | Column, *key: str) -> Column:
@@ -176,14 +183,16 @@ def permuted_picks(size: Column, wanted: int, seed: int | Column, *key: str) ->
     ends; else the halves are above WALKS, and the chance of so long a walk is below 2 ** -384.
     """
     size = size.cast("bigint")
-    digest = seeded(seed, *key)
-    count = F.least(size, F.lit(wanted)).cast("bigint")
     high = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("bigint")
-    wide = F.floor((size + high - 1) / high).cast("bigint")
-    walks = F.sequence(F.lit(0), F.least(high * wide - size, F.lit(WALKS)).cast("int"))
+    bound = F.struct(size.alias("size"), F.least(size, F.lit(wanted)).cast("bigint").alias("count"), seeded(seed, *key).alias("digest"), high.alias("high"), F.floor((size + high - 1) / high).cast("bigint").alias("wide"))
+
+    def picks(p: Column) -> Column:
+        walks = F.sequence(F.lit(0), F.least(p["high"] * p["wide"] - p["size"], F.lit(WALKS)).cast("int"))
+
+        def pick(j: Column) -> Column:
+            first = _permuted(j, p["digest"], p["wide"], p["high"])
+            return F.aggregate(walks, first, lambda x, _: F.when(x < p["size"], x).otherwise(_permuted(x, p["digest"], p["wide"], p["high"])))
 
-    def pick(j: Column) -> Column:
-        return F.aggregate(walks, _permuted(j, digest, wide, high), lambda x, _: F.when(x < size, x).otherwise(_permuted(x, digest, wide, high)))
+        return F.when(p["count"] > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), p["count"] - 1), pick)).otherwise(F.array().cast("array<bigint>"))
 
-    picks = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), pick)
-    return F.when(count > 0, picks).otherwise(F.array().cast("array<bigint>"))
+    return let(bound, picks)

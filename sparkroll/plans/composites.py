@@ -12,7 +12,7 @@ from sparkroll.functions.arrays import let
 from sparkroll.functions.grading import grade_exact, reward
 from sparkroll.operators import credit, evaluation, logprobs, pairs, sampling
 from sparkroll.plugins import model_score_batch
-from sparkroll.session import reliable_checkpoint
+from sparkroll.session import reliable_checkpoint, reliable_table
 
 Evaluator = Callable[[Column, Column], Column]
 
@@ -29,20 +29,16 @@ def graded_rollouts(rollouts: DataFrame, penalty: float, evaluator: Evaluator |
 def ppo_episodes(rollouts: DataFrame, query: Column, response: Column, max_len: int, penalty: float) -> DataFrame:
     """Reward, tokenise together, truncate, drop empty responses."""
     df = graded_rollouts(rollouts, penalty).withColumns({"query_text": query, "response_text": response})
-
-    def split(toks: Column) -> Column:
-        n_query = text.tokens_before(toks, F.length("query_text"))
-        return let(n_query, lambda n: F.struct(
-            n.alias("n_query"), F.size(toks).alias("size"),
-            text.token_ids(F.slice(toks, n + 1, F.greatest(F.least(F.size(toks), F.lit(max_len)) - n, F.lit(0)))).alias("ids")))
-
-    df = df.withColumn("__s", let(text.tokens(F.concat("query_text", "response_text")), split))
-    cut = F.col("__s.size") > max_len
+    counted = let(text.tokens(F.concat("query_text", "response_text")), lambda toks: F.struct(
+        text.tokens_before(toks, F.length("query_text")).alias("n_query"), toks.alias("__toks")))
+    # a generated row is computed once, where a filter on an expression would repeat it; ids are made of what is left
+    df = df.select("*", F.inline(F.array(counted)))
+    size, room = F.size("__toks"), F.least(F.size("__toks"), F.lit(max_len)) - F.col("n_query")
+    df = df.withColumn("n_response", F.greatest(room, F.lit(0))).where("n_response > 0")
+    ids = text.token_ids(F.slice("__toks", F.col("n_query") + 1, F.col("n_response")))
     df = df.withColumns({
-        "n_query": F.col("__s.n_query"), "n_response": F.size("__s.ids"),
-        "reward": F.when(cut, float(penalty)).otherwise(F.col("reward")), "is_unfinished": F.col("is_unfinished") | cut})
-    ids = F.col("__s.ids")
-    return df.where("n_response > 0").withColumn("response_token_ids", F.when(F.col("is_unfinished"), ids).otherwise(F.concat(ids, F.array(F.lit(text.EOS_ID)))))
+        "reward": F.when(size > max_len, float(penalty)).otherwise(F.col("reward")), "is_unfinished": F.col("is_unfinished") | (size > max_len)})
+    return df.withColumn("response_token_ids", F.when(F.col("is_unfinished"), ids).otherwise(F.concat(ids, F.array(F.lit(text.EOS_ID))))).drop("__toks")
 
 
 def restem_episodes(episodes: DataFrame, threshold: float, per_question: int) -> DataFrame:
@@ -55,12 +51,12 @@ def dpo_episodes(episodes: DataFrame, threshold: float, max_pairs: int, seed: in
 
     The episode table is read for the ranks and for both sides, so it is stored once.
     """
-    episodes = reliable_checkpoint(episodes.select("question_id", "rollout_idx", "reward", "query_text", "response_text"))
+    episodes = reliable_table(episodes.select("question_id", "rollout_idx", "reward", "query_text", "response_text"))
     chosen = pairs.dpo_pairs(episodes.select("question_id", "rollout_idx", "reward"), threshold, max_pairs, seed)
     sides = episodes.select("question_id", "rollout_idx", "query_text", "response_text")
     accept = sides.select("question_id", F.col("rollout_idx").alias("accept_idx"), "query_text", F.col("response_text").alias("accept_text"))
     reject = sides.select("question_id", F.col("rollout_idx").alias("reject_idx"), F.col("response_text").alias("reject_text"))
-    return chosen.join(accept, ["question_id", "accept_idx"]).join(reject, ["question_id", "reject_idx"])
+    return chosen.join(accept.hint("merge"), ["question_id", "accept_idx"]).join(reject.hint("merge"), ["question_id", "reject_idx"])
 
 
 def vine_advantages(steps: DataFrame, state_text: Column, uid: Column, rollouts: DataFrame, penalty: float) -> DataFrame:

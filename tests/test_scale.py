@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkroll import fixtures as fx
 from sparkroll import session
-from sparkroll.operators import bleu, trees
+from sparkroll.operators import bleu, sampling, trees
+from sparkroll.plans import composites
 
 TINY = "/root/testdata/sf0.001"
 
@@ -119,3 +120,18 @@ def test_large_inputs_are_cut_finer(spark, monkeypatch):
         spark.conf.unset(key)
         if before is not None:
             spark.conf.set(key, before)
+
+
+def test_tokens_are_cut_once(spark):
+    rows = spark.createDataFrame([(1, 0, "A", "stop", 3, "A"), (1, 1, None, "stop", 0, "A")], "question_id int, rollout_idx int, answer string, finish_reason string, num_tokens int, gold string")
+    response = F.concat(F.array_join(F.array_repeat(F.lit(" so"), F.col("num_tokens")), ""), F.coalesce("answer", F.lit("")))
+    made = composites.ppo_episodes(rows, F.lit("Q?"), response, 6, -0.5)
+    assert plan(made).count("regexp_extract_all") == 1
+    assert [(r.rollout_idx, r.n_query, r.n_response, len(r.response_token_ids)) for r in made.collect()] == [(0, 2, 3, 4)]
+    # texts alone need no token ids
+    assert "md5" not in plan(made.select("question_id", "response_text"))
+
+
+def test_picks_hash_each_round_once(spark):
+    text = plan(spark.range(5).select(sampling.permuted_picks(F.col("id"), 4, 3, "id").alias("p")))
+    assert text.count("md5(") == 1 + 2 * sampling.FEISTEL_ROUNDS
