@@ -37,15 +37,19 @@ def fingerprint_bits(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprints(texts: pa.Array, words: int = WORDS) -> np.ndarray:
+    """SimHashes (uint64) of a batch of texts; 0 for a null one."""
+    data, offsets = text_buffers(texts)
+    raw = data.tobytes() if len(data) < 2 * (offsets[-1] - offsets[0] + 1) else data[: offsets[-1]].tobytes()
+    return np.array([fingerprint_bits(raw[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
+
+
 def fingerprint(text: str | Column, words: int = WORDS) -> Column:
     """SimHash of a whole text as a (signed) bigint column; 0 for a null text or one without words."""
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            data, offsets = text_buffers(batch)
-            raw = data.tobytes() if len(data) < 2 * (offsets[-1] - offsets[0] + 1) else data[: offsets[-1]].tobytes()
-            bits = [fingerprint_bits(raw[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.array(np.array(bits, np.uint64).view(np.int64))
+            yield pa.array(fingerprints(batch, words).view(np.int64))
 
     return arrow_udf(run, "bigint").asNondeterministic()(text)
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from sparkroll.llm import shingles
+from sparkroll.llm import shingles, simhash
 from sparkroll.llm.common import prepared, table
 
 STEP = dict(corpus_pipeline.STAGES)["near_duplicates"]
@@ -67,3 +67,17 @@ def test_repeated_ids_with_other_texts_lose_no_group(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = [(r.doc_id, r.text) for r in STEP(spark, frame, "").collect()]
     assert sorted(found, key=str) == sorted([(3, a), (3, b), (None, "alone"), (8, "")], key=str)
+
+
+def test_stage_takes_what_simhash_links(spark, monkeypatch):
+    """Without the prefix-filter join SimHash still finds candidates, and those that are far apart by their sets stay."""
+    whole = shingles._blockwise
+    monkeypatch.setattr(shingles, "_blockwise", lambda members, key, blocks, what, tree: whole(members, key, blocks, what, tree).where("a is null" if what == "sketch" else "true"))
+    long = [f"w{k}" for k in range(2000)]
+    cycle = " ".join(f"c{k}" for k in range(9))
+    tails = [" ".join([cycle] * 60 + [f"{c}{k}" for k in range(20)]) for c in "ab"]
+    rows = [(1, " ".join(long)), (2, " ".join([*long, "more"])), (3, tails[0]), (4, tails[1]), (5, "alone"), (6, ""), (7, None)]
+    bits = {k: simhash.fingerprint_bits((t or "").encode()) for k, t in rows}
+    assert (bits[1] ^ bits[2]).bit_count() <= 3 and (bits[3] ^ bits[4]).bit_count() <= 3
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert kept(frame, spark) == plain_kept(rows) == [(False, k) for k in (1, 3, 4, 5, 6)]
