@@ -3,10 +3,11 @@
 import json
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from sparkroll import catalog, session
 from sparkroll import fixtures as fx
-from sparkroll import session
 from sparkroll.operators import bleu, sampling, trees
 from sparkroll.plans import composites
 
@@ -22,6 +23,28 @@ def test_leaves_need_no_null_aware_anti_join(spark):
     assert "LeftAnti" not in plan(fx.f4(spark, TINY).where(~F.col("expanded")))
 
 
+#: Queries that must send no table to the driver, at any size.
+NO_BROADCAST = [
+    "pp_non_last_nodes_score_to_zero",
+]
+
+
+@pytest.mark.parametrize("key", NO_BROADCAST)
+def test_no_table_reaches_the_driver(spark, monkeypatch, key):
+    frames = []
+
+    def noted(df):
+        frames.append(df)
+        return spark.createDataFrame(spark.sparkContext.emptyRDD(), df.schema)
+
+    monkeypatch.setattr(trees, "reliable_table", noted)
+    # plans are enough: nothing is stored, and no job looks for the levels of the empty table
+    monkeypatch.setattr(trees, "deepest", lambda nodes: 3)
+    monkeypatch.setattr(trees, "_shallow", lambda nodes, depth: True)
+    frames.append(catalog.queries()[key](spark, TINY))
+    assert not [df for df in frames if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()]
+
+
 def test_expanded_is_three_valued_as_in(spark, tmp_path):
     orders = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp"
     lines = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_shipdate timestamp, l_extendedprice double, l_quantity double, l_returnflag string, l_tax double"
