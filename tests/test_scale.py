@@ -26,6 +26,7 @@ def test_leaves_need_no_null_aware_anti_join(spark):
 #: Queries that must send no table to the driver, at any size.
 NO_BROADCAST = [
     "pp_non_last_nodes_score_to_zero",
+    "tree_paths",
 ]
 
 
