@@ -27,6 +27,7 @@ def test_leaves_need_no_null_aware_anti_join(spark):
 NO_BROADCAST = [
     "pp_non_last_nodes_score_to_zero",
     "tree_paths",
+    "drop_query_only_paths",
 ]
 
 
