@@ -28,6 +28,7 @@ NO_BROADCAST = [
     "pp_non_last_nodes_score_to_zero",
     "tree_paths",
     "drop_query_only_paths",
+    "path_filter_non_zero_last_step_advantage",
 ]
 
 
