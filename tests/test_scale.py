@@ -29,6 +29,7 @@ NO_BROADCAST = [
     "tree_paths",
     "drop_query_only_paths",
     "path_filter_non_zero_last_step_advantage",
+    "path_filter_non_zero_last_step_score",
 ]
 
 
