@@ -30,6 +30,7 @@ NO_BROADCAST = [
     "drop_query_only_paths",
     "path_filter_non_zero_last_step_advantage",
     "path_filter_non_zero_last_step_score",
+    "path_filter_non_zero_score",
 ]
 
 
