@@ -31,6 +31,7 @@ NO_BROADCAST = [
     "path_filter_non_zero_last_step_advantage",
     "path_filter_non_zero_last_step_score",
     "path_filter_non_zero_score",
+    "path_filter_none",
 ]
 
 
