@@ -32,6 +32,7 @@ NO_BROADCAST = [
     "path_filter_non_zero_last_step_score",
     "path_filter_non_zero_score",
     "path_filter_none",
+    "path_filter_successful",
 ]
 
 
