@@ -33,6 +33,7 @@ NO_BROADCAST = [
     "path_filter_non_zero_score",
     "path_filter_none",
     "path_filter_successful",
+    "path_filter_zero_last_step_score",
 ]
 
 
