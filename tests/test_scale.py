@@ -34,6 +34,7 @@ NO_BROADCAST = [
     "path_filter_none",
     "path_filter_successful",
     "path_filter_zero_last_step_score",
+    "path_max_k",
 ]
 
 
