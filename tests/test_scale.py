@@ -35,6 +35,7 @@ NO_BROADCAST = [
     "path_filter_successful",
     "path_filter_zero_last_step_score",
     "path_max_k",
+    "path_strategy",
 ]
 
 
