@@ -36,6 +36,7 @@ NO_BROADCAST = [
     "path_filter_zero_last_step_score",
     "path_max_k",
     "path_strategy",
+    "path_top_k_percent",
 ]
 
 
