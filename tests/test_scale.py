@@ -37,6 +37,7 @@ NO_BROADCAST = [
     "path_max_k",
     "path_strategy",
     "path_top_k_percent",
+    "path_top_k_percent_sum",
 ]
 
 
