@@ -38,6 +38,7 @@ NO_BROADCAST = [
     "path_strategy",
     "path_top_k_percent",
     "path_top_k_percent_sum",
+    "path_unique",
 ]
 
 
