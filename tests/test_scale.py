@@ -40,6 +40,7 @@ NO_BROADCAST = [
     "path_top_k_percent_sum",
     "path_unique",
     "pp_all_advantages_to_one",
+    "pp_apply_importance_weights",
 ]
 
 
