@@ -41,6 +41,7 @@ NO_BROADCAST = [
     "path_unique",
     "pp_all_advantages_to_one",
     "pp_apply_importance_weights",
+    "pp_chop_up_to_first_negative_advantage",
 ]
 
 
