@@ -42,6 +42,7 @@ NO_BROADCAST = [
     "pp_all_advantages_to_one",
     "pp_apply_importance_weights",
     "pp_chop_up_to_first_negative_advantage",
+    "pp_keep_first_step_only",
 ]
 
 
