@@ -43,6 +43,7 @@ NO_BROADCAST = [
     "pp_apply_importance_weights",
     "pp_chop_up_to_first_negative_advantage",
     "pp_keep_first_step_only",
+    "pp_last_step_advantage_to_one",
 ]
 
 
