@@ -44,6 +44,7 @@ NO_BROADCAST = [
     "pp_chop_up_to_first_negative_advantage",
     "pp_keep_first_step_only",
     "pp_last_step_advantage_to_one",
+    "pp_non_last_nodes_advantage_to_zero",
 ]
 
 
