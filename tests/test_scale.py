@@ -45,6 +45,7 @@ NO_BROADCAST = [
     "pp_keep_first_step_only",
     "pp_last_step_advantage_to_one",
     "pp_non_last_nodes_advantage_to_zero",
+    "pp_zero_advantages_to_epsilon",
 ]
 
 
