@@ -46,6 +46,7 @@ NO_BROADCAST = [
     "pp_last_step_advantage_to_one",
     "pp_non_last_nodes_advantage_to_zero",
     "pp_zero_advantages_to_epsilon",
+    "trajectory_metrics",
 ]
 
 
