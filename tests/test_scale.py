@@ -47,6 +47,7 @@ NO_BROADCAST = [
     "pp_non_last_nodes_advantage_to_zero",
     "pp_zero_advantages_to_epsilon",
     "trajectory_metrics",
+    "pairs_i_lt_j",
 ]
 
 
