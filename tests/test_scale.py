@@ -48,6 +48,7 @@ NO_BROADCAST = [
     "pp_zero_advantages_to_epsilon",
     "trajectory_metrics",
     "pairs_i_lt_j",
+    "unique_response_count",
 ]
 
 
