@@ -49,6 +49,7 @@ NO_BROADCAST = [
     "trajectory_metrics",
     "pairs_i_lt_j",
     "unique_response_count",
+    "rollout_eval_callback",
 ]
 
 
