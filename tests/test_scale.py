@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkroll import catalog, session
 from sparkroll import fixtures as fx
-from sparkroll.operators import bleu, sampling, trees
+from sparkroll.operators import bleu, fewshot, sampling, trees
 from sparkroll.plans import composites
 
 TINY = "/root/testdata/sf0.001"
@@ -182,3 +182,22 @@ def test_tokens_are_cut_once(spark):
 def test_picks_hash_each_round_once(spark):
     text = plan(spark.range(5).select(sampling.permuted_picks(F.col("id"), 4, 3, "id").alias("p")))
     assert text.count("md5(") == 1 + 2 * sampling.FEISTEL_ROUNDS
+
+
+def test_attempts_ruled_out_by_length_are_not_made(spark, monkeypatch):
+    made = spark.createDataFrame([(0, 5), (1, 20), (2, 31), (3, None)], "q int, n int").select("q", fewshot.attempts_to_make(F.col("n"), 12, 30).alias("a"))
+    assert {r.q: r.a for r in made.collect()} == {0: [0], 1: list(range(10)), 2: [9], 3: list(range(10))}
+    pool = [(i, "x" * (i % 13)) for i in range(26)]
+    questions = spark.createDataFrame([(i, "x" * i) for i in range(60)] + [(60, None)], "q int, t string")
+    # copies and nulls may take all picks of an attempt: then every attempt counts
+    for rows in (pool, pool + [(30 + i, "x" * 3) for i in range(60)], pool[:1], [(1, None), (2, "xx"), (3, None)], []):
+        bank = spark.createDataFrame(rows, "p int, e string")
+
+        def picked():
+            return sorted(fewshot.few_shot_sample(questions, "q", "t", bank, "p", "e", 3, 1, 50, "|").collect())
+
+        with monkeypatch.context() as patched:
+            patched.setattr(fewshot, "attempts_to_make", lambda *_: F.sequence(F.lit(0), F.lit(9)))
+            whole = picked()
+        assert picked() == whole
+        assert rows != pool or len({r.attempt for r in whole}) > 2
