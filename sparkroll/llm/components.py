@@ -18,8 +18,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _hung(pairs: DataFrame, keep_above: bool) -> DataFrame:
-    """For each u: hang its neighbours above it (or itself and those below) on the least of them and u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(MASK)).alias("w"), F.least("u", "m").alias("m"))
+    """For each u: hang its neighbours above it (or itself and those below) on the least of them and u. A merge at every size: Spark expects too little of edges that came out of lists."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(MASK)).alias("w"), F.least("u", "m").alias("m")).hint("merge")
     hung = pairs.withColumn("w", F.col("u").bitwiseXOR(F.lit(MASK))).join(least, "w")
     hung = hung.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if keep_above else hung.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
     return hung.where("a <> b").distinct()

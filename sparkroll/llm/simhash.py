@@ -114,12 +114,13 @@ def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Da
     """
     if distance > 3:
         raise ValueError("two halves with one differing bit each allow a distance of 3")
+    # joins ask for a merge: the size that Spark expects of exploded rows is that of the rows before, and what it takes for small would be broadcast
     members = at_anchors(prints)
-    homes = members.where("home").select("key").distinct()
+    homes = members.where("home").select("key").distinct().hint("merge")
     # nearly all copies stand at anchors that are nobody's home
     met = stored(members.join(homes, "key").select("key", "fp"))
     # stored, so that both sides of the join are plain shuffles, which adaptive execution splits at a hot key
-    sizes = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sizes = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).hint("merge")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     placed = met.join(sizes, "key").select("key", "fp", blocks.alias("blocks")).select("key", "fp", "blocks", own.alias("own"))
@@ -151,11 +152,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     rows = stored(documents.select(F.col(key).alias("id"), fingerprint(text, words).alias("fp")))
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
     tree = components(links(prints.select("fp"), distance))
-    rooted = prints.join(tree, prints.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = prints.join(tree.hint("merge"), prints.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     reached = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = rooted.join(reached, "root").select("fp", "component_id")
+    named = rooted.join(reached.hint("merge"), "root").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return rows.join(named, "fp").select(F.col("id").alias(key), digits.alias("fingerprint"), "component_id")
+    return rows.join(named.hint("merge"), "fp").select(F.col("id").alias(key), digits.alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

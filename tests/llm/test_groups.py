@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -185,6 +186,15 @@ def test_block_pairs_of_a_hot_anchor_are_dealt_out(spark):
     assert re.search(r"hashpartitioning\(key#\d+L?, low#\d+, high#\d+", plan)
 
 
+def test_simhash_broadcasts_nothing(spark, docs, monkeypatch):
+    """Spark expects 34 anchors of a fingerprint to take the room of one, so no join may be left to its sizes."""
+    plans = []
+    for module in (simhash, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "stored", lambda df, whole=module.stored: (plans.append(df._jdf.queryExecution().executedPlan().toString()), whole(df))[1])
+    plans.append(simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names and {n for n in names if re.match(r"op\d+_", n)} == set(QUERIES)
