@@ -27,7 +27,7 @@ from sparkroll.functions.arrays import last
 from sparkroll.operators.bleu import group_bleu
 from sparkroll.operators.sampling import sample_per_group
 from sparkroll.session import reliable_checkpoint, reliable_table
-from sparkroll.skew import rank_in_group
+from sparkroll.skew import has_hot_group, rank_in_group
 
 
 #: Rounds of doubling between two stores.
@@ -282,8 +282,9 @@ def fish_bone_spine(solutions: DataFrame, key: str, steps: str, prompt: Column)
 def tree_bleu(nodes: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """BLEU of the child texts of every node with more than one child, and its averages over trees."""
     children = nodes.where(F.col("parent_id").isNotNull())
-    ranked = rank_in_group(children, ["tree_id", "parent_id"], [F.col("node_id")], "__idx")
-    per_node = group_bleu(ranked, ["tree_id", "parent_id", "depth"], "__idx", text)
+    hot = has_hot_group(children, ["tree_id", "parent_id"])
+    ranked = rank_in_group(children, ["tree_id", "parent_id"], [F.col("node_id")], "__idx", hot)
+    per_node = group_bleu(ranked, ["tree_id", "parent_id", "depth"], "__idx", text, hot)
     by_depth = per_node.groupBy("tree_id", "depth").agg(F.sum("bleu").alias("s"), F.count(F.lit(1)).alias("n"))
     per_tree = by_depth.groupBy("tree_id").agg((F.sum("s") / F.sum("n")).alias("mean"), F.avg(F.col("s") / F.col("n")).alias("by_depth"))
     summary = per_tree.agg(F.avg("mean").alias("avg_tree_bleu"), F.avg("by_depth").alias("avg_tree_bleu_depth_normalized"), F.count(F.lit(1)).alias("trees"))

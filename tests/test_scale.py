@@ -10,6 +10,7 @@ from sparkroll import catalog, session
 from sparkroll import fixtures as fx
 from sparkroll.operators import bleu, fewshot, sampling, trees
 from sparkroll.plans import composites
+from sparkroll.skew import with_group_stats
 
 TINY = "/root/testdata/sf0.001"
 
@@ -152,6 +153,26 @@ def test_grams_leave_in_pieces(spark, monkeypatch):
     assert set(scores) == {1, 2} and scores[1] > 0 and scores[2] == 0
 
 
+def test_whole_groups_shuffle_no_grams(spark, monkeypatch):
+    texts = [(g, i, " ".join("abcab"[(g + i + k) % 5] for k in range(3 + (g * i) % 7))) for g in range(40) for i in range(1 + g % 5)] + [(None, i, "a b c d e") for i in range(3)]
+    members = spark.createDataFrame(texts, "g int, i int, t string")
+    sized = with_group_stats(members, ["g"], {"n": F.count(F.lit(1))})
+    rows = bleu._added_up(sized, ["g"], "i", "t", "n").collect()
+    assert len(rows) == 41 and all(r["__g"] is None for r in rows)
+
+    def scores(hot=False):
+        return {r.g: (r.members, round(r.bleu, 12)) for r in bleu.group_bleu(members, ["g"], "i", "t", hot).collect()}
+
+    whole = scores()
+    assert len(whole) == 33 and whole[None] == (3, 0.0) and len(set(whole.values())) > 9
+    # a group that is spread over tasks, or holds too many grams, has the same score
+    assert scores(hot=True) == whole
+    monkeypatch.setattr(bleu, "HELD", 5)
+    assert scores() == whole
+    small = bleu._added_up(sized, ["g"], "i", "t", "n")
+    assert small.where("__g is not null").count() > 40 and small.agg(F.sum("members")).first()[0] == len(texts)
+
+
 def test_large_inputs_are_cut_finer(spark, monkeypatch):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     before = spark.conf.get(key, None)
