@@ -81,3 +81,15 @@ def test_stage_takes_what_simhash_links(spark, monkeypatch):
     assert (bits[1] ^ bits[2]).bit_count() <= 3 and (bits[3] ^ bits[4]).bit_count() <= 3
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert kept(frame, spark) == plain_kept(rows) == [(False, k) for k in (1, 3, 4, 5, 6)]
+
+
+def test_simhash_links_of_all_texts_of_a_set(spark, monkeypatch):
+    """Texts of one shingle set can have far fingerprints; whatever links with any of them is compared with the set."""
+    whole = shingles._blockwise
+    monkeypatch.setattr(shingles, "_blockwise", lambda members, key, blocks, what, tree: whole(members, key, blocks, what, tree).where("a is null" if what == "sketch" else "true"))
+    cycle, long = [f"c{k}" for k in range(9)], [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(cycle * 3 + long)), (2, " ".join(cycle * 300 + long)), (3, " ".join(cycle * 300 + long + ["more"])), (4, "alone")]
+    bits = {k: simhash.fingerprint_bits(t.encode()) for k, t in rows}
+    assert plain_set(rows[0][1]) == plain_set(rows[1][1]) and (bits[2] ^ bits[3]).bit_count() <= 3 and min((bits[1] ^ bits[k]).bit_count() for k in (2, 3)) > 3
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert kept(frame, spark) == plain_kept(rows) == [(False, 1), (False, 4)]
